@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perfusia.llm import chat_format
+from perfusia.llm import chat_format, packing, quality, warc
 
-_MODULES = (chat_format,)
+_MODULES = (quality, packing, warc, chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

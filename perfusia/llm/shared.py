@@ -58,21 +58,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(
         edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct()
     )
-    nodes = now
-    while True:
+
+    def state(rows: DataFrame):
+        return rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    mark = state(now)
+    while mark[0]:
         # large star: each neighbour above a node is linked to the least node around it
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node below is linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct("v", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.keep(small)
-        changed = after.exceptAll(now.select("u", "v")).limit(1).count() or now.select("u", "v").exceptAll(after).limit(1).count()
-        if now is not nodes:
-            scratch.drop(now)
+        mark, last = state(after), mark
+        scratch.drop(now)
         now = after
-        if not changed:
+        if mark == last:
             break
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
