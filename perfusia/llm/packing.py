@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,69 +32,83 @@ from perfusia.llm.shared import table
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A single space between characters that aren't white space: the tokenizer never joins across it.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
-PLAIN = re.compile(r" [^\s<]+")
-STEM = re.compile(r"( ?[^\W\d_]+)[.,;:!?]+")
-WIDE = re.compile(r"\s\s")
+#: A mark between a letter and white space is a token run of its own.
+MARK = re.compile(r"[.,](?=[ \n])(?<=[^\W\d_].)")
+#: What starts a key: a part of a text stands without a space before it, or came from a search for seams.
+BARE, SOUGHT = "\x02", "\x03"
 
 
 class CachedTokenizer:
-    """Exact ids by `tokenizers`, asked once for each piece between seams while the cache holds it."""
+    """Exact ids by `tokenizers`, asked once for each part of a text while the cache holds it."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # byte-level merges see each byte as a visible character: itself, or one from 256 on in order
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.visible = {b: 256 + i for i, b in enumerate(hidden)}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def pieces(self, text: str) -> list[str]:
-        if WIDE.search(text) or text[:1].isspace() or text[-1:].isspace():
-            found = SEAM.split(text)
-            return [found[0], *[" " + x for x in found[1:]]]
-        found = text.replace("\n", " \n").split(" ")  # a single line end is a token of its own
-        return [found[0], *[x if x[0] == "\n" else " " + x for x in found[1:]]]
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Pieces of one leading space and no other white space go as lines of one text, which splits at each line's end."""
-        stems = {x: m[1] for x in pieces if (m := STEM.fullmatch(x)) and m[1].strip().isalpha()}
-        if stems:  # letters and the marks after them are never one token
-            whole = [x for x in pieces if x not in stems]
-            asked = list({*stems.values(), *(x[len(s) :] for x, s in stems.items())} - {*whole}) + whole
-            found = dict(zip(asked, self.encode_pieces(asked)))
-            return [found[s] + found[x[len(s) :]] if (s := stems.get(x)) else found[x] for x in pieces]
-        plain = [i for i, x in enumerate(pieces) if PLAIN.fullmatch(x)]
-        rest = sorted({*range(len(pieces))} - {*plain})
-        ids: list[list[int]] = [[]] * len(pieces)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            ids[i] = e.ids
-        for first in range(0, len(plain), 4096):
-            part = plain[first : first + 4096]
-            found = self.tokenizer.encode("\n".join(pieces[i] for i in part), add_special_tokens=False).ids
-            at = -1
-            for i in part:
-                end = found.index(self.newline, at + 1) if i != part[-1] else len(found)
-                ids[i], at = found[at + 1 : end], end
-        return ids
+    def parts(self, text: str) -> list[str]:
+        """Keys of parts whose tokens, one after another, are the text's, unless a part is unsafe."""
+        if not text:
+            return []
+        if BARE in text or SOUGHT in text:
+            return [SOUGHT + text]
+        return (BARE + MARK.sub(" \x02\\g<0>", text)).replace("\n", " \x02\n").split(" ")
+
+    @staticmethod
+    def unsafe(key: str) -> bool:
+        """White space at an end may join with that of the next part."""
+        raw = key[1:] if key[:1] == BARE else key
+        return key[:1] != SOUGHT and (not raw or raw[-1].isspace() or raw[0].isspace() and raw is key)
+
+    @staticmethod
+    def sought(text: str) -> list[str]:
+        first, *rest = SEAM.split(text)
+        return [SOUGHT + first, *(f"{SOUGHT} {x}" for x in rest)]
+
+    def ids_of(self, keys: list[str]) -> list[list[int]]:
+        """A word of letters goes to the merges at once; the rest is split first."""
+        tokenize, out, other = self.tokenizer.model.tokenize, [], []
+        for key in keys:
+            if key.isalpha():
+                out.append([t.id for t in tokenize("\u0120" + key.encode().decode("latin-1").translate(self.visible))])
+            else:
+                other.append(key[1:] if key[:1] in (BARE, SOUGHT) else " " + key)
+                out.append(None)
+        found = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        return [next(found).ids if x is None else x for x in out]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.most:
             self.clear()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        flat = [x for p in cut for x in p]
-        if missing := [x for x in set(flat) if x not in self.index]:
-            ids = self.encode_pieces(missing)
+        cut = [self.parts(t) for t in texts]
+        flat = [*chain.from_iterable(cut)]
+        places = list(map(self.index.get, flat))
+        missing = {x for x, i in zip(flat, places) if i is None}
+        if unsafe := {x for x in missing if self.unsafe(x)}:  # these are never kept, so they always show here
+            cut = [p if unsafe.isdisjoint(p) else self.sought(t) for t, p in zip(texts, cut)]
+            flat = [*chain.from_iterable(cut)]
+            missing = {x for x in flat if x not in self.index}
+        if missing:
+            ids = self.ids_of(keys := list(missing))
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             base = len(self.index)
-            self.index.update(zip(missing, range(base, base + len(missing))))
+            self.index.update(zip(keys, range(base, base + len(keys))))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        if missing or unsafe:
+            places = map(self.index.__getitem__, flat)
+        at = np.fromiter(places, np.int64, len(flat))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         tokens = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]

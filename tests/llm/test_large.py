@@ -122,7 +122,7 @@ def test_neighbours_match_brute_force(spark):
     def linked(i, j):
         (_, a, x), (_, b, y) = rows[i], rows[j]
         good = lambda v: v and None not in v and np.isfinite(v).all() and np.any(v)
-        return x == y and x is not None and good(a) and good(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98
+        return bool(x == y and x is not None and good(a) and good(b)) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98
 
     assert [found[i].component_id for i in range(len(rows))] == brute_components(len(rows), linked)
     assert [found[i].n_links for i in range(len(rows))] == [sum(linked(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
