@@ -152,16 +152,17 @@ class Benchmark:
         return [(p, int(places[q]), n) for p, q, n in tiles_of(item, short, width)]
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_tile: int = 3, coverage: float = 0.8, part_bytes: int = 4 << 20) -> DataFrame:
-    """Pairs of documents (doc_id, text) and benchmark items (item_id, text) in columns PAIRS."""
+def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_tile: int = 3, coverage: float = 0.8, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of documents (doc_id, text) and benchmark items (item_id, text) in columns PAIRS, and the documents' columns of longs to carry."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // part_bytes) or 1
-    names = [x.split()[0] for x in PAIRS.partition(", tiles")[0].split(", ")] + ["tiles"]
+    names = [x.split()[0] for x in PAIRS.partition(", tiles")[0].split(", ")] + ["tiles", *carry]
     tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), tile_type]
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), tile_type, *[pa.int64()] * len(carry)]
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    schema = PAIRS + "".join(f", {c} long" for c in carry)
     out = None
     for part in range(parts):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
@@ -172,6 +173,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_ti
             for batch in batches:
                 for first in range(0, len(batch), 512):
                     ids = batch.column(0).slice(first, 512).to_pylist()
+                    more = [batch.column(c).slice(first, 512).to_pylist() for c in carry]
                     tokens = []
                     for text in batch.column(1).slice(first, 512).to_pylist():
                         found = np.array([bench.token(t) for t in (text or "").lower().split()], np.int64)
@@ -182,11 +184,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_ti
                         tiles = bench.tile(i, tokens[d], coverage)
                         covered = sum(t[2] for t in tiles or ())
                         if tiles and covered >= coverage * len(bench.items[i]):
-                            held.append((ids[d], bench.ids[i], covered / len(bench.items[i]), covered, len(bench.items[i]), [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles]))
+                            held.append((ids[d], bench.ids[i], covered / len(bench.items[i]), covered, len(bench.items[i]), [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles], *(m[d] for m in more)))
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
-        own = source.mapInArrow(run, PAIRS)
+        own = source.mapInArrow(run, schema)
         out = own if out is None else out.union(own)
     return out
 

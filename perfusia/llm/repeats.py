@@ -231,11 +231,12 @@ def _level(pieces: DataFrame, scratch: Scratch, length: int, anchor: int, hot_by
     return scratch.keep(spans), hot if hot.limit(1).count() else None
 
 
-def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336), hot_bytes: int = 1 << 18, block_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, bytes (the text's), spans (start, stop) to remove, in order and apart."""
+def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336), hot_bytes: int = 1 << 18, block_bytes: int = 1 << 20, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, bytes (the text's), spans (start, stop) to remove, in order, and other columns to carry."""
     scratch = Scratch(documents.sparkSession, "repeats")
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    base = base.select("doc_id", F.xxhash64("text").alias("tkey"), F.lit(0).cast("long").alias("base"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0), *carry).alias("more"))
+    rows = rows.withColumn("tkey", F.xxhash64("text"))
+    base = rows.select("doc_id", "tkey", F.lit(0).cast("long").alias("base"), "text")
     # joins are on ids without nulls: a null doc_id goes under a number of its own
     none = F.lit(-(1 << 63)).cast("long")
     pieces, spans = base.withColumn("doc_id", F.coalesce("doc_id", none)), None
@@ -246,8 +247,8 @@ def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] =
             break
     listed = spans.distinct().groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     empty = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")
-    joined = base.withColumn("id", F.coalesce("doc_id", none)).alias("a").join(listed.alias("b"), (F.col("a.id") == F.col("b.doc_id")) & (F.col("a.tkey") == F.col("b.tkey")), "left")
-    return joined.select(F.col("a.doc_id").alias("doc_id"), F.col("a.text").alias("bytes"), F.coalesce(F.col("b.spans"), empty).alias("spans"))
+    joined = rows.withColumn("id", F.coalesce("doc_id", none)).alias("a").join(listed.alias("b"), (F.col("a.id") == F.col("b.doc_id")) & (F.col("a.tkey") == F.col("b.tkey")), "left")
+    return joined.select(F.col("a.doc_id").alias("doc_id"), F.col("a.text").alias("bytes"), F.coalesce(F.col("b.spans"), empty).alias("spans"), *[F.col("a.more")[c].alias(c) for c in carry])
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -278,8 +279,8 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def strip_repeats(documents: DataFrame, **options) -> DataFrame:
-    """doc_id, text without repeated passages, cut at whole characters only, and had_repeats; one row a document."""
+def strip_repeats(documents: DataFrame, carry: list[str] | tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, text without repeated passages, cut at whole characters only, had_repeats, and columns to carry; one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,9 +289,10 @@ def strip_repeats(documents: DataFrame, **options) -> DataFrame:
                 raw, spans = raw.as_py(), merged(spans)
                 texts.append(kept(raw, whole_characters(raw, spans)).decode("utf-8", "replace"))
                 had.append(bool(spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(had)], ["doc_id", "text", "had_repeats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(had, pa.bool_()), *batch.columns[3:]], ["doc_id", "text", "had_repeats", *batch.schema.names[3:]])
 
-    return repeats(documents, **options).mapInArrow(run, "doc_id long, text string, had_repeats boolean")
+    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
+    return repeats(documents, carry=carry, **options).mapInArrow(run, f"doc_id long, text string, had_repeats boolean{kinds}")
 
 
 def op1_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,82 +1,14 @@
-"""Table access, durable intermediate tables and connected components."""
+"""Table access and what the library has for durable tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+from perfusia.operators.components import components
+from perfusia.sources.scratch import Scratch, shared_dir
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+__all__ = ["Scratch", "components", "shared_dir", "table"]
 
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept.scratch_path = path
-        return kept
-
-    def drop(self, *kept: DataFrame) -> None:
-        """Deletes tables that no later plan reads."""
-        for df in kept:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the smallest node reachable.
-
-    Alternates large-star and small-star rounds: each is a groupBy and a join over the edges, the
-    number of rounds is logarithmic in the longest path, and no group is collected into one task.
-    Empty edges give no rows; self-loops and repeated edges are harmless, null ends are ignored.
-    """
-    now = scratch.keep(
-        edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct()
-    )
-
-    def state(rows: DataFrame):
-        return rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    mark = state(now)
-    while mark[0]:
-        # large star: each neighbour above a node is linked to the least node around it
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: each node below is linked to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = scratch.keep(small)
-        mark, last = state(after), mark
-        scratch.drop(now)
-        now = after
-        if mark == last:
-            break
-    found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return found.union(roots)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

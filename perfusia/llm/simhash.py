@@ -51,15 +51,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint's 64 bits as a long."""
+def fingerprints(documents: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of longs to carry, and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py() or b"", width) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py() or b"", width) for x in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")))
 
 
 def segment_cells(prints: np.ndarray, segments: int) -> np.ndarray:
@@ -121,15 +122,15 @@ def links(distinct: DataFrame, scratch: Scratch, segments: int = 16, crowded: in
     return compared.union(hubs.select("a", F.explode("fps").alias("b")).where("a <> b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, width: int = 3, segments: int = 16, crowded: int = 128) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id of those linked."""
+def near_duplicates(documents: DataFrame, width: int = 3, segments: int = 16, crowded: int = 128, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of longs to carry, fp, component (the least fp linked) and component_id, the smallest doc_id of those linked."""
     scratch = Scratch(documents.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(documents, width))
+    prints = scratch.keep(fingerprints(documents, width, carry))
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     grouped = components(links(distinct.select("fp"), scratch, segments, crowded), scratch)
     named = scratch.keep(distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(names, "component").select("fp", "component", "component_id"), "fp").select("doc_id", *carry, "fp", "component", "component_id")
 
 
 def op7_simhash_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
