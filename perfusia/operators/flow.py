@@ -104,7 +104,8 @@ def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame,
     large = sizes.where(F.col("n") > dense).select("component")
     entries = matrix.join(active.select(F.col("node_id").alias("row"), "component"), "row").select("component", "row", "col", "value").union(named.select("component", "row", F.lit(None).cast("bigint"), "value"))
     # components fill buckets by their own hash; a bucket holds some thousand unknowns, not a share of the input
-    buckets = max(1, (named.count() + 4 * dense - 1) // (4 * dense))
+    room = 4 * max(dense, 1)
+    buckets = max(1, -(-named.count() // room))
     small = entries.join(large, "component", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
     solved = small.groupBy("bucket").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")
     if large.limit(1).count():
