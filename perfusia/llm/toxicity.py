@@ -4,8 +4,9 @@ A character trigram model is counted over all documents. A token that holds look
 letters or single letters set apart is a lattice: each position may stand for itself, for the letters it
 imitates, or, if it repeats or separates, for nothing. Viterbi search finds the reading of least channel
 cost plus language-model cost. Restored words are then scored: weights of words and word beginnings are
-log odds learned from labelled rows, and a logistic curve fitted on other labelled rows turns their sum
-over a text's distinct words into a probability.
+log odds learned from labelled rows. A logistic curve fitted on other labelled rows turns a text's two
+highest weights, the sum over its distinct words and its length, by which sums grow by chance, into a
+probability.
 
 Labelled rows are a bounded sample: at most `per_class` toxic and twice as many other rows, those of least
 hash of doc_id. The lexicon keeps at most `most_features` entries, those of highest likelihood ratio.
@@ -159,11 +160,15 @@ class Restorer:
         return re.sub(r"\S+", lambda m: decode(core, self.costs) if SUSPECT.match(core := m.group().strip(EDGES)) else m.group(), low)
 
 
+#: What the curve takes: a text's highest and second highest weight, their sum, the log of its length beyond 200 distinct tokens.
+TERMS = 4
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     costs: np.ndarray
     weights: dict[str, float]
-    curve: tuple[float, float]
+    curve: tuple[float, ...]  # a weight for each of TERMS, then the intercept
 
     def scorer(self):
         restorer, cache = Restorer(self.costs), {}
@@ -172,16 +177,17 @@ class ToxicityModel:
             found = [(self.weights[f], f, w) for w in restorer.words(token) for f in features(w) if f in self.weights]
             return max(found) if found else None
 
-        def evidence(text: str) -> tuple[float, list[str]]:
-            hits = {}
-            for token in restorer.tokens(text):
+        def evidence(text: str) -> tuple[list[float], list[str]]:
+            hits, tokens = {}, restorer.tokens(text)
+            for token in tokens:
                 if token not in cache:
                     if len(cache) >= 1_000_000:
                         cache.clear()
                     cache[token] = best(token)
                 if (hit := cache[token]) is not None:
                     hits[hit[1]] = hit
-            return sum(h[0] for h in hits.values()), sorted({h[2] for h in hits.values()})
+            top = sorted((h[0] for h in hits.values()), reverse=True)
+            return [*(top + [0.0, 0.0])[:2], sum(top), math.log(max(len(tokens), 200) / 200)], sorted({h[2] for h in hits.values()})
 
         return evidence
 
@@ -196,12 +202,12 @@ def _evidence(documents: DataFrame, model: ToxicityModel, extra: str = "") -> Da
         for batch in batches:
             found = [measure(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.string())), *batch.columns[2:]],
+                [batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.list_(pa.string())), *batch.columns[2:]],
                 ["doc_id", "evidence", "hits", *batch.schema.names[2:]],
             )
 
     kind = f", {extra} int" if extra else ""
-    return documents.select("doc_id", "text", *[extra] * bool(extra)).mapInArrow(run, f"doc_id long, evidence double, hits array<string>{kind}")
+    return documents.select("doc_id", "text", *[extra] * bool(extra)).mapInArrow(run, f"doc_id long, evidence array<double>, hits array<string>{kind}")
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, most_features: int = 20_000, least_rows: int = 8, least_ratio: float = 30.0) -> ToxicityModel:
@@ -229,29 +235,30 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, most_fea
     n = {r.feature: (r.clean, r.toxic) for r in seen.itertuples()}
     clean, toxic = n.pop("", (0, 0))
     if not clean or not toxic:
-        return ToxicityModel(costs, {}, (0.0, math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+        return ToxicityModel(costs, {}, (*[0.0] * TERMS, math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
     part = lambda k, e: k * math.log(k / e) if k else 0.0
     rated = []
     for f, (c, t) in n.items():
         weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         expected = (c + t) * toxic / (clean + toxic)
         ratio = 2 * (part(t, expected) + part(c, c + t - expected))
-        if weight > 1.5 and ratio > least_ratio:
+        if weight > 2.0 and ratio > least_ratio:
             rated.append((ratio, f, weight))
     weights = {f: w for _, f, w in sorted(rated, reverse=True)[:most_features]}
-    model = ToxicityModel(costs, weights, (0.0, 0.0))
+    model = ToxicityModel(costs, weights, (0.0,) * (TERMS + 1))
     other = _evidence(rows.where("half = 1"), model, "toxic").select("evidence", "toxic").toPandas()
     if other.toxic.nunique() < 2:
-        return ToxicityModel(costs, weights, (1.0, math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    slope, base = logistic(other[["evidence"]].to_numpy(float), other.toxic.to_numpy(float))
+        return ToxicityModel(costs, weights, (1.0, *[0.0] * (TERMS - 1), math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+    *slopes, base = map(float, logistic(np.array(other.evidence.tolist(), float), other.toxic.to_numpy(float)))
     odds = other.toxic.mean() / (1 - other.toxic.mean())
-    return ToxicityModel(costs, weights, (float(slope), float(base + math.log(share / (1 - share) / odds))))
+    return ToxicityModel(costs, weights, (*slopes, base + math.log(share / (1 - share) / odds)))
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, evidence, hits (restored words that count) and score."""
-    slope, base = model.curve
-    return _evidence(documents, model).withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") * slope + base))))
+    *slopes, base = model.curve
+    log_odds = sum((F.col("evidence")[i] * w for i, w in enumerate(slopes)), F.lit(base))
+    return _evidence(documents, model).withColumn("score", 1 / (1 + F.exp(-log_odds)))
 
 
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
