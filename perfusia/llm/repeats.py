@@ -231,7 +231,7 @@ def _level(pieces: DataFrame, scratch: Scratch, length: int, anchor: int, hot_by
     return scratch.keep(spans), hot if hot.limit(1).count() else None
 
 
-def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336), hot_bytes: int = 1 << 18, block_bytes: int = 1 << 20, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336, 384, 396), hot_bytes: int = 3 << 18, block_bytes: int = 1 << 19, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, bytes (the text's), spans (start, stop) to remove, in order, and other columns to carry."""
     scratch = Scratch(documents.sparkSession, "repeats")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0), *carry).alias("more"))
