@@ -231,8 +231,11 @@ def _level(pieces: DataFrame, scratch: Scratch, length: int, anchor: int, hot_by
     return scratch.keep(spans), hot if hot.limit(1).count() else None
 
 
-def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336, 384, 396), hot_bytes: int = 3 << 18, block_bytes: int = 1 << 19, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, bytes (the text's), spans (start, stop) to remove, in order, and other columns to carry."""
+def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] = (128, 336, 384, 396), hot_bytes: int = 3 << 18, block_bytes: int = 1 << 19, carry: list[str] | tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """doc_id, bytes (the text's), spans (start, stop) to remove, in order, and other columns to carry.
+
+    once: rows of equal doc_id and text are one document, which doesn't repeat itself by that.
+    """
     scratch = Scratch(documents.sparkSession, "repeats")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0), *carry).alias("more"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
@@ -240,6 +243,10 @@ def repeats(documents: DataFrame, length: int = 400, anchors: tuple[int, ...] =
     # joins are on ids without nulls: a null doc_id goes under a number of its own
     none = F.lit(-(1 << 63)).cast("long")
     pieces, spans = base.withColumn("doc_id", F.coalesce("doc_id", none)), None
+    if once:
+        several = scratch.keep(pieces.groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tkey"))
+        pieces = pieces.join(several, ["doc_id", "tkey"], "left_anti").union(pieces.join(several, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"]))
+        pieces = pieces.select("doc_id", "tkey", "base", "text")
     for anchor in (*anchors, length):
         own, pieces = _level(pieces, scratch, length, anchor, hot_bytes, block_bytes)
         spans = own if spans is None else spans.union(own)
@@ -279,14 +286,18 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def strip_repeats(documents: DataFrame, carry: list[str] | tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, text without repeated passages, cut at whole characters only, had_repeats, and columns to carry; one row a document."""
+def strip_repeats(documents: DataFrame, carry: list[str] | tuple[str, ...] = (), least_words: int = 0, long_bytes: int = 0, **options) -> DataFrame:
+    """doc_id, text without repeated passages, cut at whole characters only, had_repeats, and columns to carry; one row a document.
+
+    Passages of fewer than least_words words, parts of words counted, stay unless they have long_bytes bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, had = [], []
             for raw, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw, spans = raw.as_py(), merged(spans)
+                raw = raw.as_py()
+                spans = [(a, b) for a, b in merged(spans) if b - a >= long_bytes or len(raw[a:b].split()) >= least_words]
                 texts.append(kept(raw, whole_characters(raw, spans)).decode("utf-8", "replace"))
                 had.append(bool(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(had, pa.bool_()), *batch.columns[3:]], ["doc_id", "text", "had_repeats", *batch.schema.names[3:]])

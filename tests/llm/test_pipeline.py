@@ -86,6 +86,21 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             assert len(found) == len(rows)
 
 
+def test_repeated_passages_of_51_words_are_cut(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    own = lambda: " ".join(word(9) for _ in range(40))
+    passage, line = (" ".join(word(5) for _ in range(n)) for n in (51, 36))  # 305 and 215 bytes
+    texts = {i: f"{own()} {p} {own()}" for i, p in enumerate([passage, passage, line, line])}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    for i in (0, 1):
+        assert passage[1:-1] not in got[i].text and got[i].n_chars == len(got[i].text) and 700 < len(got[i].text) < 810
+    assert [got[i].text for i in (2, 3)] == [texts[2], texts[3]]
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 @pytest.mark.parametrize("name", ["op2_nn_descent", "op6_warc_round_trip", "op8_chat_prefix_targets"])
 def test_queries_match_their_sql(spark, name):
