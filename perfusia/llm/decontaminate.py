@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words in lower case without surrounding marks are tokens. Seeds, runs of `seed` tokens that a document
-shares with a benchmark item, are joined first. A pair goes on only if shared runs of `min_tile` tokens
-could cover `coverage` of the item, which bounds what tiles can. Tiling then marks the longest matches of unmarked tokens again and
+Words in lower case without surrounding marks are tokens. Seeds, runs of `min_tile` tokens that a document
+shares with a benchmark item, are counted first by their places in the item: fewer than could cover `coverage`
+of it, had they no token in common, drop the pair. A pair goes on only if the shared runs do cover as much,
+which bounds what tiles can. Tiling then marks the longest matches of unmarked tokens again and
 again, found by running Karp-Rabin hashes of falling length, so passages in another order count in full.
 A pair is reported if tiles cover at least `coverage` of the item's tokens.
 
@@ -84,15 +85,17 @@ def tiles_of(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[int
 class Benchmark:
     """Tokens and seeds of one part of the benchmark."""
 
-    def __init__(self, rows: list[tuple], seed: int, min_tile: int):
-        self.min_tile, self.words, self.known = min_tile, {}, {}
+    def __init__(self, rows: list[tuple], min_tile: int, coverage: float):
+        self.words, self.known = {}, {}
         self.ids, self.items = [], []
         for item_id, text in rows:
             words = [w for t in (text or "").lower().split() if (w := t.strip(EDGES))]
             if words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64))
-        self.width = [min(seed, len(x)) for x in self.items]
+        self.width = [min(min_tile, len(x)) for x in self.items]
+        #: places of seeds that a pair has to share at least
+        self.least = np.array([np.ceil((coverage * len(x) - 1e-9) / w) for x, w in zip(self.items, self.width)])
         self.by_width = {}
         for width in sorted(set(self.width)):
             hashes = [window_hashes(x, width) for x, w in zip(self.items, self.width) if w == width]
@@ -112,9 +115,9 @@ class Benchmark:
             self.known[raw] = found
         return found
 
-    def candidates(self, tokens: np.ndarray, docs: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) pairs that share a seed; documents lie one after another, parted by -1."""
-        out = set()
+    def candidates(self, tokens: np.ndarray, docs: np.ndarray, most: int = 1 << 21) -> list[tuple[int, int]]:
+        """(document, item) pairs that share enough seeds; documents lie one after another, parted by -1. At most about `most` places are held at once."""
+        out: list[tuple[int, int]] = []
         for width, (seeds, owners) in self.by_width.items():
             if len(tokens) < width:
                 continue
@@ -122,14 +125,28 @@ class Benchmark:
             h = window_hashes(tokens, width)[at]
             low, high = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
             hit = np.flatnonzero(high > low)
-            keys = np.unique(np.stack([docs[at[hit]], low[hit], high[hit]], 1), axis=0) if len(hit) else np.zeros((0, 3), int)
-            for d, a, b in keys.tolist():
-                out.update((d, i) for i in owners[a:b].tolist())
+            if not len(hit):
+                continue
+            # a seed counts once a document
+            d, low, high = np.unique(np.stack([docs[at[hit]], low[hit], high[hit]], 1), axis=0).T
+            sizes = high - low
+            heads = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            for first, last in zip(heads.tolist(), [*heads[1:].tolist(), len(d)]):
+                counts, start = np.zeros(len(self.items), np.int64), first
+                reached = np.cumsum(sizes[first:last])
+                while start < last:
+                    before = int(reached[start - first - 1]) if start > first else 0
+                    stop = max(start + 1, first + int(np.searchsorted(reached, before + most, "right")))
+                    n = sizes[start:stop]
+                    places = np.repeat(low[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    counts += np.bincount(owners[places], minlength=len(self.items))
+                    start = stop
+                out += [(int(d[first]), i) for i in np.flatnonzero((counts > 0) & (counts >= self.least)).tolist()]
         return out
 
     def tile(self, i: int, doc: np.ndarray, coverage: float) -> list[tuple[int, int, int]] | None:
         """Tiles of item i in a document, None if shared runs can't cover enough."""
-        item, width = self.items[i], min(self.min_tile, self.width[i])
+        item, width = self.items[i], self.width[i]
         usable = np.isin(doc, item)
         whole = np.lib.stride_tricks.sliding_window_view(usable, width).all(1) if len(doc) >= width else np.zeros(0, bool)
         near = np.zeros(len(doc) + 1, int)
@@ -152,7 +169,7 @@ class Benchmark:
         return [(p, int(places[q]), n) for p, q, n in tiles_of(item, short, width)]
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_tile: int = 3, coverage: float = 0.8, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, min_tile: int = 3, coverage: float = 0.8, part_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) in columns PAIRS, and the documents' columns of longs to carry."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -166,7 +183,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = 5, min_ti
     out = None
     for part in range(parts):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
-        shared = spark.sparkContext.broadcast(Benchmark(rows, seed, min_tile))
+        shared = spark.sparkContext.broadcast(Benchmark(rows, min_tile, coverage))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value

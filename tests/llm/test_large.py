@@ -184,6 +184,19 @@ def test_tiling_catches_reordered_passages(spark):
     assert decontaminate.find_leaks(docs(spark, []), bench).count() == 0 == decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("most", [1 << 21, 1])
+def test_tiling_catches_blocks_of_three_and_four(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate.Benchmark.candidates, "__defaults__", (most,))
+    rng = random.Random(16)
+    item = [f"i{k}" for k in range(40)]
+    shuffled = {n: [w for a in reversed(range(0, 40, n)) for w in item[a : a + n]] for n in (2, 3, 4)}
+    edited = [f"e{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    rows = [(1, " ".join(shuffled[4])), (2, words(rng, 30) + " " + " ".join(shuffled[3])), (3, " ".join(edited)), (4, " ".join(shuffled[2])), (5, " ".join(item[:30])), (6, " ".join(item[:12] * 4))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, words(rng, 40))], "item_id long, text string")
+    got = {r.doc_id: round(r.coverage, 3) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == {1: 1.0, 2: 0.975, 3: 0.8}  # one token is left of 40 in blocks of 3
+
+
 def test_tiles_match_a_plain_greedy_search():
     rng = random.Random(8)
     for _ in range(60):
