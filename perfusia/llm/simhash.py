@@ -16,7 +16,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,11 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 REACH = 2
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles in parts of bounded size; none without words."""
     words = text.translate(LOWER).split()  # bytes.split() parts at \x20 and \x09-\x0d
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -42,13 +43,23 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
         starts, ends = starts[: 1 - width], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    votes = np.zeros(64, np.int64)
     hashed = xxhash.xxh64_intdigest
     starts, ends = starts.tolist(), ends.tolist()
     for first in range(0, len(starts), 1 << 14):
-        h = np.array([hashed(line[a:b], seed) for a, b in zip(starts[first : first + (1 << 14)], ends[first : first + (1 << 14)])], "<u8")
+        yield np.array([hashed(line[a:b], seed) for a, b in zip(starts[first : first + (1 << 14)], ends[first : first + (1 << 14)])], "<u8")
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingle hashes: bits set in more than half of them."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in parts:
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(documents: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from perfusia.llm import decontaminate, language_id, neighbours, packing, quality, repeats, shared, simhash, toxicity, warc
+from perfusia.llm import decontaminate, language_id, neighbours, packing, quality, repeats, shared, similar, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -109,6 +109,38 @@ def test_simhash_matches_brute_force(spark, crowded):
     assert [found[i].component_id for i in range(len(texts))] == brute_components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_copies_match_brute_force(spark, block):
+    rng = random.Random(15)
+    line = words(rng, 12)
+    texts = [words(rng, 60) + " " + line for _ in range(20)]
+    for _ in range(8):
+        base = words(rng, rng.randrange(30, 300)).split()
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 25))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(99)}"
+            texts.append(" ".join(w))
+    texts += [None, "", " \t", "One", "one", "Two words", "two words", texts[0].upper(), texts[1] + " end"]
+    rng.shuffle(texts)
+    frame = docs(spark, enumerate(texts)).selectExpr("doc_id as k", "text")
+    named = {r.k: r.component for r in similar.near_copies(frame, ("k",), sample=5, block=block).collect()}
+    sets = [five_words(t) for t in texts]
+    want = brute_components(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    least = {}
+    assert [least.setdefault(named[i], i) for i in range(len(texts))] == want
+    assert similar.near_copies(frame.limit(0), ("k",)).count() == 0
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     rows, centre = [], rng.standard_normal((3, 16))

@@ -86,6 +86,22 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             assert len(found) == len(rows)
 
 
+def test_near_copies_with_a_few_edits_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    texts = {}
+    for i in range(10):
+        w = prose(rng, 120).split()
+        texts[10 * i] = " ".join(w)
+        for k in range(1, 3):  # two words edited: at most 10 of 116 shingles differ
+            texts[10 * i + k] = " ".join(f"{x}q" if at in (20 + k, 90 - k) else x for at, x in enumerate(w))
+        texts[10 * i + 3] = " ".join(f"{x}q" if at % 30 == 4 else x for at, x in enumerate(w))  # 4 words: 20 shingles each way, similarity 0.71
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {i for i in texts if i % 10 in (0, 3)}
+
+
 def test_repeated_passages_of_51_words_are_cut(spark):
     import corpus_pipeline
 
