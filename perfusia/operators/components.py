@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from perfusia.sources.scratch import Scratch
@@ -15,14 +15,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     number of rounds is logarithmic in the longest path, and no group is collected into one task.
     Empty edges give no rows; self-loops and repeated edges are harmless, null ends are ignored.
     """
-    now = scratch.keep(
-        edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct()
-    )
+    ends = edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct()
 
-    def state(rows: DataFrame):
-        return rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+        """The rows as a durable table, and their number and fingerprint, observed as they are written."""
+        seen = Observation()
+        kept = scratch.keep(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")))
+        return kept, (seen.get["n"], seen.get["mark"])
 
-    mark = state(now)
+    now, mark = written(ends)
     while mark[0]:
         # large star: each neighbour above a node is linked to the least node around it
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,8 +33,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = scratch.keep(small)
-        mark, last = state(after), mark
+        (after, mark), last = written(small), mark
         scratch.drop(now)
         now = after
         if mark == last:

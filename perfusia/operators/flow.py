@@ -1,15 +1,16 @@
 """Pressure-driven flow: conservation at every node whose pressure isn't given.
 
 Components are solved apart. Those of up to `dense` unknown nodes are gathered, some hundreds of small
-systems to a task, and solved directly. Larger ones are solved by preconditioned conjugate gradients whose
-matrix product is a join and a sum, so no task holds a component.
+systems to a task, and solved directly. Of larger ones chains are taken out first, round by round and exactly;
+what is left is solved directly if it has become small, else by preconditioned conjugate gradients whose
+matrix product is a join and a sum, so no task holds a large component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
@@ -40,48 +41,118 @@ def pressure_system(conductances: DataFrame, fixed: DataFrame) -> tuple[DataFram
 
 
 def _solve_small(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Direct solution of each component among the rows (component, row, col, value); the right side has a null col.
-    Components of one size are solved as one stack of matrices."""
-    right = pdf[pdf.col.isna()].sort_values(["component", "row"])
-    entries = pdf[pdf.col.notna()]
-    ids, values = right.row.to_numpy(), right.value.to_numpy()
-    _, first, of, sizes = np.unique(right.component.to_numpy(), return_index=True, return_inverse=True, return_counts=True)
-    by_id = np.argsort(ids)
-    place = lambda x: by_id[np.searchsorted(ids, x, sorter=by_id)]
-    row, col, value = place(entries.row.to_numpy()), place(entries.col.to_numpy().astype("int64")), entries.value.to_numpy()
-    out = np.empty(len(ids))
+    """Direct solution of each component among the rows (component, a, b, value): conductances between two nodes, and pressures of
+    fixed nodes with a null b. Components of as many unknown nodes are solved as one stack of matrices."""
+    known, links = pdf[pdf.b.isna()], pdf[pdf.b.notna()]
+    start, end, g = links.a.to_numpy(), links.b.to_numpy().astype("int64"), links.value.to_numpy()
+    order = np.argsort(known.a.to_numpy())
+    fixed, pressure = known.a.to_numpy()[order], known.value.to_numpy()[order]
+
+    def at(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Places in sorted ids, -1 where there is none."""
+        i = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
+        return np.where(ids[i] == x, i, -1) if len(ids) else np.full(len(x), -1)
+
+    rows = np.concatenate([start, end])
+    unknown, first_seen = np.unique(rows, return_index=True)
+    open_ = at(fixed, unknown) < 0
+    unknown, owner = unknown[open_], np.concatenate([links.component.to_numpy()] * 2)[first_seen[open_]]
+    by = np.lexsort((unknown, owner))
+    _, first, of, sizes = np.unique(owner[by], return_index=True, return_inverse=True, return_counts=True)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    row, col = (np.where(i >= 0, place[np.maximum(i, 0)], -1) if len(place) else i for i in (at(unknown, rows), at(unknown, np.concatenate([end, start]))))
+    g = np.concatenate([g, g])
+    outer = at(fixed, np.concatenate([end, start]))
+    right = np.zeros(len(by))
+    pick = (row >= 0) & (outer >= 0)
+    np.add.at(right, row[pick], g[pick] * pressure[outer[pick]])
+    out = np.empty(len(by))
     for n in np.unique(sizes):
         own = np.flatnonzero(sizes == n)
         slot = np.full(len(sizes), -1)
         slot[own] = np.arange(len(own))
-        pick = slot[of[row]] >= 0
         a = np.zeros((len(own), n, n))
-        k = of[row[pick]]
-        np.add.at(a, (slot[k], row[pick] - first[k], col[pick] - first[k]), value[pick])
-        at = first[own][:, None] + np.arange(n)
+        mine = np.flatnonzero((row >= 0) & (slot[of[row]] >= 0))
+        k = of[row[mine]]
+        np.add.at(a, (slot[k], row[mine] - first[k], row[mine] - first[k]), g[mine])
+        mine = mine[col[mine] >= 0]
+        k = of[row[mine]]
+        np.subtract.at(a, (slot[k], row[mine] - first[k], col[mine] - first[k]), g[mine])
+        where = first[own][:, None] + np.arange(n)
         scale = np.abs(a).max(axis=(1, 2))
-        out[at] = np.linalg.solve(a / scale[:, None, None], (values[at] / scale[:, None])[:, :, None])[:, :, 0]
-    return pd.DataFrame({"node_id": ids, "pressure": out})
+        out[where] = np.linalg.solve(a / scale[:, None, None], (right[where] / scale[:, None])[:, :, None])[:, :, 0]
+    return pd.DataFrame({"node_id": unknown[by], "pressure": out})
+
+
+def eliminate_chains(links: DataFrame, fixed: DataFrame, scratch: Scratch, enough: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b, g), a < b, without their chains, and the nodes taken out, round by round, as (node, p, gp, q, gq).
+
+    In each round those unknown nodes with one or two neighbours leave whose hash is the least among such neighbours, a third of them
+    or more: one with two neighbours becomes a link of both conductances in series, one with a single neighbour goes. It ends
+    with `enough` links or fewer, or when no such node is left. Pressures of those taken out follow from their neighbours', the last round first.
+    """
+    taken = []
+    while True:
+        if links.count() <= enough:
+            return links, taken
+        sides = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "g").union(links.select("b", "a", "g"))
+        light = sides.groupBy("node").agg(F.count("*").alias("degree"), F.min(F.struct("other", "g")).alias("p"), F.max(F.struct("other", "g")).alias("q")).where("degree <= 2")
+        light = scratch.keep(light.join(fixed.select(F.col("node_id").alias("node")), "node", "left_anti").withColumn("turn", F.struct(F.xxhash64("node", F.lit(len(taken))), "node")))
+        turn = lambda c: light.select(F.col("node").alias(c), F.col("turn").alias(f"{c}_turn"))
+        flat = light.select("node", "degree", "turn", F.col("p.other").alias("p"), F.col("p.g").alias("gp"), F.col("q.other").alias("q"), F.col("q.g").alias("gq"))
+        least = flat.join(turn("p"), "p", "left").join(turn("q"), "q", "left").where("(p_turn is null or turn < p_turn) and (q_turn is null or turn < q_turn)")
+        out = scratch.keep(least.select("node", "degree", "p", "gp", "q", "gq"))
+        if not out.limit(1).count():
+            return links, taken
+        gone = out.select("node")
+        rest = links.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b", "g")
+        made = out.where("degree = 2").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("gp") * F.col("gq") / (F.col("gp") + F.col("gq"))).alias("g"))
+        links = scratch.keep(rest.union(made).groupBy("a", "b").agg(F.sum("g").alias("g")))
+        taken.append(out)
+
+
+def restore_chains(pressures: DataFrame, taken: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(node_id, pressure) with the nodes that eliminate_chains took out."""
+    known = pressures.select("node_id", "pressure")
+    for out in reversed(taken):
+        at = lambda c, known=known: known.select(F.col("node_id").alias(c), F.col("pressure").alias(f"{c}_pressure"))
+        share = F.col("gp") / (F.col("gp") + F.col("gq"))
+        own = out.join(at("p"), "p").join(at("q"), "q").select(F.col("node").alias("node_id"), (F.col("p_pressure") * share + F.col("q_pressure") * (1 - share)).alias("pressure"))
+        known = scratch.keep(known.union(own))
+    return known
 
 
 def conjugate_gradient(matrix: DataFrame, right: DataFrame, tolerance: float = 1e-12, most: int = 10_000) -> DataFrame:
-    """(node_id, pressure) of a symmetric positive definite system in coordinate form, scaled by its diagonal."""
+    """(node_id, pressure) of a symmetric positive definite system in coordinate form, scaled by its diagonal; an error if it doesn't converge.
+
+    One job an iteration: the product with the matrix and both dot products, observed as the state is written.
+    """
     scratch = Scratch(matrix.sparkSession, "gradient")
-    diagonal = matrix.where("row = col").select("row", F.col("value").alias("d"))
     matrix = scratch.keep(matrix)
-    state = scratch.keep(right.join(diagonal, "row").select("row", "d", F.lit(0.0).alias("x"), F.col("value").alias("r"), (F.col("value") / F.col("d")).alias("p")))
-    rho = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+
+    def written(rows: DataFrame) -> tuple[DataFrame, float, float]:
+        """The state with w = A u, and the products (r, u) and (w, u)."""
+        product = matrix.join(rows.select(F.col("row").alias("col"), "u"), "col").groupBy("row").agg(F.sum(F.col("value") * F.col("u")).alias("w"))
+        seen = Observation()
+        kept = scratch.keep(rows.join(product, "row").observe(seen, F.sum(F.col("r") * F.col("u")).alias("ru"), F.sum(F.col("w") * F.col("u")).alias("wu")))
+        return kept, seen.get["ru"] or 0.0, seen.get["wu"] or 0.0
+
+    diagonal = matrix.where("row = col").select("row", F.col("value").alias("d"))
+    zero = F.lit(0.0)
+    start = right.join(diagonal, "row").select("row", "d", zero.alias("x"), F.col("value").alias("r"), zero.alias("p"), zero.alias("s"))
+    state, rho, product = written(scratch.keep(start.withColumn("u", F.col("r") / F.col("d"))))
+    first, alpha, beta = rho, rho / product if product else 0.0, 0.0
     for _ in range(most):
         if rho <= tolerance * tolerance * first or rho == 0:
-            break
-        moved = scratch.keep(matrix.join(state.select(F.col("row").alias("col"), "p"), "col").groupBy("row").agg(F.sum(F.col("value") * F.col("p")).alias("q")).join(state, "row"))
-        alpha = rho / moved.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        stepped = moved.select("row", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
-        new = stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
-        after = scratch.keep(stepped.withColumn("p", F.col("r") / F.col("d") + (new / rho) * F.col("p")))
-        scratch.drop(state, moved)
-        state, rho = after, new
-    return state.select(F.col("row").alias("node_id"), F.col("x").alias("pressure"))
+            return state.select(F.col("row").alias("node_id"), F.col("x").alias("pressure"))
+        stepped = state.withColumns({"p": F.col("u") + beta * F.col("p"), "s": F.col("w") + beta * F.col("s")})
+        stepped = stepped.select("row", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("s")).alias("r"), "p", "s")
+        after, new, product = written(stepped.withColumn("u", F.col("r") / F.col("d")))
+        scratch.drop(state)
+        state, beta = after, new / rho
+        alpha, rho = new / (product - beta * new / alpha) if new else 0.0, new
+    raise ArithmeticError(f"pressures haven't converged after {most} iterations")
 
 
 def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -94,27 +165,39 @@ def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame,
     scratch = Scratch(nodes.sparkSession, "flow")
     resistances = scratch.keep(segment_resistances(segments, viscosity))
     active = scratch.keep(pressure_connected(nodes, segments, fixed))
-    fixed = fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")).join(active.select("node_id"), "node_id")
-    live = resistances.join(active.select(F.col("node_id").alias("start_node")), "start_node", "left_semi")
+    fixed = scratch.keep(fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")).join(active, "node_id"))
+    live = resistances.where("start_node <> end_node").join(active.select(F.col("node_id").alias("start_node"), "component"), "start_node")
     largest = live.agg(F.max(1 / F.col("resistance"))).first()[0] or 1.0
     # conductances are scaled to one at most: in SI units they are far below what sums keep well
-    matrix, right = pressure_system(live.select("segment_id", "start_node", "end_node", (1 / F.col("resistance") / largest).alias("g")), fixed)
-    named = right.join(active.select(F.col("node_id").alias("row"), "component"), "row")
-    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > dense).select("component")
-    entries = matrix.join(active.select(F.col("node_id").alias("row"), "component"), "row").select("component", "row", "col", "value").union(named.select("component", "row", F.lit(None).cast("bigint"), "value"))
+    g = scratch.keep(live.select("component", F.col("start_node").alias("a"), F.col("end_node").alias("b"), (1 / F.col("resistance") / largest).alias("value")))
+    sizes = scratch.keep(active.join(fixed.select("node_id", F.lit(1).alias("known")), "node_id", "left").groupBy("component").agg(F.count_if(F.col("known").isNull()).alias("n")))
+    total, over = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > dense)).first()
+    small = g.union(fixed.select("component", F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("pressure").alias("value")))
+    solved = fixed.select("node_id", "pressure")
+    if over:
+        large = sizes.where(F.col("n") > dense).select("component")
+        ends = fixed.join(large, "component", "left_semi").select("node_id", "pressure")
+        links = g.join(large, "component", "left_semi").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("g"))
+        links, taken = eliminate_chains(scratch.keep(links), ends, scratch, dense)
+        rest = links.select(F.monotonically_increasing_id().alias("segment_id"), F.col("a").alias("start_node"), F.col("b").alias("end_node"), "g")
+        core = conjugate_gradient(*pressure_system(scratch.keep(rest), ends)) if links.count() > dense else _directly(links, ends)
+        solved = solved.union(restore_chains(ends.union(core), taken, scratch).join(ends, "node_id", "left_anti"))
+        small = small.join(large, "component", "left_anti")
     # components fill buckets by their own hash; a bucket holds some thousand unknowns, not a share of the input
-    room = 4 * max(dense, 1)
-    buckets = max(1, -(-named.count() // room))
-    small = entries.join(large, "component", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    solved = small.groupBy("bucket").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")
-    if large.limit(1).count():
-        pick = active.join(large, "component", "left_semi").select(F.col("node_id").alias("row"))
-        solved = solved.union(conjugate_gradient(matrix.join(pick, "row", "left_semi"), right.join(pick, "row", "left_semi")))
-    pressures = scratch.keep(fixed.union(solved))
+    buckets = max(1, -(-total // (4 * max(dense, 1))))
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    pressures = scratch.keep(solved.union(small.groupBy("bucket").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")))
     return pressures, segment_flows(resistances, pressures)
 
 
+def _directly(links: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(node_id, pressure) of what eliminate_chains left, some thousand links at most."""
+    ends = links.select(F.col("a").alias("node_id")).union(links.select("b")).distinct()
+    known = fixed.join(ends, "node_id", "left_semi").select(F.lit(0).cast("bigint").alias("component"), F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("pressure").alias("value"))
+    rows = links.select(F.lit(0).cast("bigint").alias("component"), "a", "b", F.col("g").alias("value")).union(known)
+    return rows.groupBy("component").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")
+
+
 def solve_network_flow_mmhg(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:
     """fixed: (node_id, pressure_mmhg)."""
     return solve_network_flow(nodes, segments, fixed.select("node_id", scalars.pascal(F.col("pressure_mmhg")).alias("pressure")), viscosity, dense)
@@ -130,6 +213,10 @@ def segment_flows(resistances: DataFrame, pressures: DataFrame) -> DataFrame:
     )
 
 
+def segment_flow_um3_per_s(flows: DataFrame, segment_id: int) -> DataFrame:
+    return flows.where(F.col("segment_id") == segment_id).select("segment_id", "flow_um3_per_s")
+
+
 def node_pressure_mmhg(pressures: DataFrame, node_id: int) -> DataFrame:
     return pressures.where(F.col("node_id") == node_id).select("node_id", scalars.mmhg(F.col("pressure")).alias("pressure_mmhg"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
@@ -15,11 +17,12 @@ NODES = "node_id bigint, x double, y double"
 def network_from_tables(nodes: DataFrame, edges: DataFrame, centerlines: DataFrame | None = None, scale: float = 1.0, min_length: float = 10.0, min_radius: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, row, col, ..) and edges (edge_id, start_node, end_node, length_px, mean_radius, ..) as a network.
 
-    All nodes stay. Edges below a minimum go. A traced centerline (edge_id, points) is used where there is
+    All nodes stay. Edges below a minimum go; of the rest, repeated ids and ends that aren't nodes are an error. A traced centerline (edge_id, points) is used where there is
     one, else a straight one of as many points as the edge has pixels.
     """
     at = nodes.select("node_id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     kept = edges.where((F.col("length_px") >= min_length) & (F.col("mean_radius") >= min_radius))
+    validate(at, kept.select(F.col("edge_id").alias("segment_id"), "start_node", "end_node"))
     ends = (
         kept.join(at.select(F.col("node_id").alias("start_node"), F.col("x").alias("x0"), F.col("y").alias("y0")), "start_node")
         .join(at.select(F.col("node_id").alias("end_node"), F.col("x").alias("x1"), F.col("y").alias("y1")), "end_node")
@@ -36,29 +39,36 @@ def network_from_tables(nodes: DataFrame, edges: DataFrame, centerlines: DataFra
 
 
 def network_from_graph(nodes: DataFrame, edges: DataFrame, radius_map: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Generic graphs. Nodes have `ord`, `name` and a position under x and y, pos, position or coord, in this order of
-    preference; edges have `ord`, two names and points under centerline, pixels, points, path or coords, else run straight.
-    Ids are ranks by `ord`; radii are those of the map (r, c, radius) at the rounded, clipped points."""
+    """Generic graphs. Nodes have a `name`, which is their id as a number, and a position under x and y, pos, position or coord, in this
+    order of preference; edges have a unique `ord`, two names and points under centerline, pixels, points, path or coords, else run
+    straight. A segment's id is its edge's rank by `ord`, from 0; radii are those of the map (r, c, radius) at the rounded, clipped points."""
     has = set(nodes.columns)
     found = [F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))] if {"x", "y"} <= has else []
     found += [F.col(c) for c in ("pos", "position", "coord") if c in has]
     place = F.coalesce(*found) if found else F.lit(None)
-    at = nodes.select(_rank("ord").alias("node_id"), "name", F.when(place.isNull(), F.raise_error(F.lit("node without a position")).cast("struct<x:double,y:double>")).otherwise(place).alias("p"))
-    at = at.select("node_id", "name", "p.x", "p.y")
+    at = nodes.select(F.col("name").cast("long").alias("node_id"), F.when(place.isNull(), F.raise_error(F.lit("node without a position")).cast("struct<x:double,y:double>")).otherwise(place).alias("p"))
+    at = at.select("node_id", "p.x", "p.y")
+    named = ranked(edges, "ord", "segment_id").withColumns({"start_node": F.col("start_name").cast("long"), "end_node": F.col("end_name").cast("long")})
+    validate(at, named)
     ends = (
-        edges.withColumn("segment_id", _rank("ord"))
-        .join(at.select(F.col("name").alias("start_name"), F.col("node_id").alias("start_node"), F.struct("x", "y").alias("p0")), "start_name")
-        .join(at.select(F.col("name").alias("end_name"), F.col("node_id").alias("end_node"), F.struct("x", "y").alias("p1")), "end_name")
+        named.join(at.select(F.col("node_id").alias("start_node"), F.struct("x", "y").alias("p0")), "start_node")
+        .join(at.select(F.col("node_id").alias("end_node"), F.struct("x", "y").alias("p1")), "end_node")
     )
     lines = [F.col(c) for c in ("centerline", "pixels", "points", "path", "coords") if c in edges.columns]
     segments = ends.select("segment_id", "start_node", "end_node", F.coalesce(*lines, F.array("p0", "p1")).alias("centerline"))
     radii = sample_radii(segments, radius_map)
-    return at.drop("name"), segments.join(radii, "segment_id", "left").withColumn("scale", F.lit(scale)).withColumn("meta_length_px", F.lit(None).cast("double"))
+    return at, segments.join(radii, "segment_id", "left").withColumn("scale", F.lit(scale)).withColumn("meta_length_px", F.lit(None).cast("double"))
 
 
-def _rank(order: str):
-    """Rank from 0 by a unique ordinal, counted without one sort of all rows: ordinals are taken as they are if they are long."""
-    return F.col(order).cast("long")
+def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their rank from 0 by a unique column: ranges are sorted apart and moved by the counts of those before, a number a task."""
+    scratch = Scratch(rows.sparkSession, "ranks")
+    dealt = scratch.keep(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    counts = dict(sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect()))
+    before = dict(zip(counts, accumulate(counts.values(), initial=0)))
+    moved = F.create_map(*[F.lit(x).cast("long") for k, n in before.items() for x in (k, n)]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return dealt.withColumn(name, place + moved[F.col("_range").cast("long")]).drop("_range")
 
 
 def sample_radii(segments: DataFrame, radius_map: DataFrame) -> DataFrame:
@@ -84,6 +94,25 @@ def validate(nodes: DataFrame, segments: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.problem}: {r.id}" for r in found))
 
 
+def invalid_segments(segments: DataFrame) -> DataFrame:
+    """(segment_id, problem) of segments without points, with radii that fit neither the segment nor its points, or a negative radius."""
+    points, radii = F.coalesce(F.size("centerline"), F.lit(0)), F.coalesce(F.size("radii"), F.lit(0))
+    checks = {
+        "no points": points < 1,
+        "radii are neither one nor one a point": (radii != 1) & (radii != points),
+        "radius is negative": F.coalesce(F.exists("radii", lambda x: x.isNull() | (x < 0)), F.lit(False)),
+    }
+    found = F.array_compact(F.array(*[F.when(wrong, F.lit(problem)) for problem, wrong in checks.items()]))
+    return segments.select("segment_id", F.explode(found).alias("problem"))
+
+
+def drawable_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of which both ends are among the nodes."""
+    for end in ("start_node", "end_node"):
+        edges = edges.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    return edges
+
+
 def measured(segments: DataFrame) -> DataFrame:
     """Adds length and radius in pixels and micrometres, cross section, surface and volume."""
     length = F.coalesce("meta_length_px", scalars.centerline_length(F.col("centerline")))

@@ -1,20 +1,25 @@
 """Skeleton graphs and shortest paths along them.
 
 All edges are traced at once by level-synchronous breadth-first search: a frontier row is (edge, pixel).
-Each level joins the frontier with the adjacency, drops pixels already seen for that edge and keeps, of
-several parents, the one that a queue would have reached first; frontiers and visited sets are durable
-tables, and edges whose end is reached leave. What a task holds doesn't grow with the image.
+Each level joins the frontier with the adjacency, drops pixels of the two levels before and keeps, of
+several parents, the one that a queue would have reached first; a level is a durable table, and edges whose
+end is reached leave. Paths are then read back from the last level to the first, each level once. There is
+one job a level; what a task holds doesn't grow with the image.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from perfusia.sources.scratch import Scratch
 
 #: Order in which a pixel's eight neighbours are visited.
 STEPS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+#: Levels read back between two durable tables.
+BACK = 4
 
 
 def skeleton_graph(skeleton: DataFrame) -> DataFrame:
@@ -46,40 +51,48 @@ def trace_paths(skeleton: DataFrame, ends: DataFrame, on_missing: str = "fail")
     scratch = Scratch(skeleton.sparkSession, "trace")
     graph = scratch.keep(skeleton_graph(skeleton))
     ends = scratch.keep(ends.select("edge_id", "sr", "sc", "er", "ec"))
-    # rank: place in the queue of its level
-    frontier = scratch.keep(ends.select("edge_id", F.col("sr").alias("r"), F.col("sc").alias("c"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("int").alias("pr"), F.lit(None).cast("int").alias("pc")))
-    seen = [frontier]
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    level = 0
-    while True:
-        done = union(seen).join(ends, "edge_id").where("r = er and c = ec").select("edge_id").distinct()
-        open_edges = frontier.join(done, "edge_id", "left_anti")
-        level += 1
-        reached = open_edges.join(graph, ["r", "c"]).groupBy("edge_id", F.col("nr").alias("nr"), F.col("nc").alias("nc")).agg(F.min(F.struct("rank", "ord", "r", "c")).alias("by"))
-        fresh = reached.select("edge_id", F.col("nr").alias("r"), F.col("nc").alias("c"), "by").join(union(seen).select("edge_id", "r", "c"), ["edge_id", "r", "c"], "left_anti")
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int, int]:
+        """A level as a durable table, its rows and those of them that are an edge's end."""
+        seen = Observation()
+        kept = scratch.keep(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("end")).alias("ends")))
+        return kept, seen.get["n"], seen.get["ends"]
+
+    # rank: place in the queue of its level; an edge leaves with the level that holds its end
+    first = ends.select("edge_id", F.col("sr").alias("r"), F.col("sc").alias("c"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("int").alias("pr"), F.lit(None).cast("int").alias("pc"), ((F.col("sr") == F.col("er")) & (F.col("sc") == F.col("ec"))).alias("end"))
+    level, n, hits = written(first)
+    levels, found = [level], [hits]
+    while n > hits:
+        frontier = levels[-1]
+        if hits:
+            frontier = frontier.join(frontier.where("end").select("edge_id"), "edge_id", "left_anti")
+        reached = frontier.join(graph, ["r", "c"]).groupBy("edge_id", "nr", "nc").agg(F.min(F.struct("rank", "ord", "r", "c")).alias("by"))
+        reached = reached.select("edge_id", F.col("nr").alias("r"), F.col("nc").alias("c"), "by")
+        # neighbours of a level lie in it, in the one before or in the one after
+        for known in levels[-2:]:
+            reached = reached.join(known.select("edge_id", "r", "c"), ["edge_id", "r", "c"], "left_anti")
         queue = Window.partitionBy("edge_id").orderBy("by.rank", "by.ord")
-        after = scratch.keep(fresh.select("edge_id", "r", "c", F.lit(level).alias("level"), F.row_number().over(queue).cast("long").alias("rank"), F.col("by.r").alias("pr"), F.col("by.c").alias("pc")))
-        if not after.limit(1).count():
+        fresh = reached.join(ends.select("edge_id", "er", "ec"), "edge_id")
+        fresh = fresh.select("edge_id", "r", "c", F.row_number().over(queue).cast("long").alias("rank"), F.col("by.r").alias("pr"), F.col("by.c").alias("pc"), ((F.col("r") == F.col("er")) & (F.col("c") == F.col("ec"))).alias("end"))
+        level, n, hits = written(fresh)
+        if not n:
             break
-        seen.append(after)
-        frontier = after
-        if len(seen) > 16:
-            seen = [scratch.keep(union(seen))]
-    visited = scratch.keep(union(seen))
-    last = visited.join(ends, "edge_id").where("r = er and c = ec").select("edge_id", "r", "c", "level", "pr", "pc")
-    if on_missing == "fail" and ends.join(last, "edge_id", "left_anti").limit(1).count():
+        levels.append(level)
+        found.append(hits)
+    if on_missing == "fail" and sum(found) < ends.count():
         raise ValueError("no path along the skeleton between the ends of an edge")
-    # back from the ends, a level at a time
-    path, step = [scratch.keep(last)], 0
-    while True:
-        here = path[-1]
-        back = here.where("pr is not null").select("edge_id", F.col("pr").alias("r"), F.col("pc").alias("c")).join(visited, ["edge_id", "r", "c"]).select("edge_id", "r", "c", "level", "pr", "pc")
-        back = scratch.keep(back)
-        step += 1
-        if not back.limit(1).count():
-            break
-        path.append(back)
-    return union(path).select("edge_id", F.col("level").alias("pos"), "r", "c")
+    # back from the ends: a level is joined with the pixels that the one above came from, and read once
+    parts, above = [], None
+    for at in reversed(range(len(levels))):
+        own = levels[at].where("end") if found[at] else levels[at].where("false")
+        if above is not None:
+            own = own.unionByName(levels[at].join(above, ["edge_id", "r", "c"], "left_semi"))
+        own = own.select("edge_id", F.lit(at).alias("pos"), "r", "c", "pr", "pc")
+        if at % BACK == 0:
+            own = scratch.keep(own)
+        parts.append(own.select("edge_id", "pos", "r", "c"))
+        above = own.where("pr is not null").select("edge_id", F.col("pr").alias("r"), F.col("pc").alias("c"))
+    return scratch.keep(reduce(DataFrame.union, parts))
 
 
 def edge_centerlines(skeleton: DataFrame, nodes: DataFrame, edges: DataFrame, height: int, width: int, on_missing: str = "fail") -> DataFrame:

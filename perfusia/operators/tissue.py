@@ -47,6 +47,11 @@ def set_vessel_mask(cells: DataFrame, mask: DataFrame, concentration: float) ->
     }).drop("_in")
 
 
+def masked(cells: DataFrame, mask: DataFrame, fields: list[str]) -> DataFrame:
+    """(r, c, fields) of the cells in a mask of cells (r, c)."""
+    return cells.select("r", "c", *fields).join(mask.select("r", "c"), ["r", "c"], "left_semi")
+
+
 def set_uniform_consumption(cells: DataFrame, vmax: float, km: float = 0.05) -> DataFrame:
     return cells.withColumns({"vmax": F.when(F.col("vessel"), F.lit(0.0)).otherwise(F.lit(vmax)), "km": F.lit(km)})
 

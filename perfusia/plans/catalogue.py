@@ -15,11 +15,12 @@ from perfusia.functions import scalars
 from perfusia.functions.species import CARBON_DIOXIDE, OXYGEN
 from perfusia.operators import flow, iterate, network, raster, scaling, skeleton, stencil, tissue, transport
 from perfusia.plans import simulate
-from perfusia.sources import derived
+from perfusia.sources import derived, storage
 from perfusia.sources.scratch import Scratch
 
-H, W = derived.SHAPE
 STEP = stencil.StepParams(dt=0.05)
+#: Rows and columns of the image of orders in SQL.
+H, W = f"(SELECT {derived.APART} * max(l_orderkey) + {derived.APART} FROM lineitem)", derived.WIDTH
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -90,10 +91,10 @@ def steps_sql(steps: int, dt: float = 0.05, reset: bool = True) -> str:
 
 STATE = f"r, c, {r('o2', 'o2')}, {r('co2', 'co2')}"
 
-PATHS = """lines AS (
+PATHS = f"""lines AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS pos FROM lineitem
 ), nodes AS (
-  SELECT l_orderkey * 1000 + pos AS node_id, (l_orderkey % 509)::DOUBLE AS y, (pos * 12 + l_partkey % 7)::DOUBLE AS x, l_orderkey, pos FROM lines
+  SELECT l_orderkey * 1000 + pos AS node_id, (l_orderkey * {derived.APART})::DOUBLE AS y, (pos * 12 + l_partkey % 7)::DOUBLE AS x, l_orderkey, pos FROM lines
 ), edges AS (
   SELECT * FROM (
     SELECT l_orderkey, pos, l_orderkey * 1000 + pos AS segment_id, l_orderkey * 1000 + pos AS start_node, lead(l_orderkey * 1000 + pos) OVER (PARTITION BY l_orderkey ORDER BY pos) AS end_node,
@@ -114,15 +115,17 @@ def disk_sql(outer: str, inner: str | None = None) -> str:
     ring = f" AND dy * dy + dx * dx > ({inner}) * ({inner})" if inner else ""
     return f"""SELECT DISTINCT segment_id, y + dy AS y, x + dx AS x FROM (SELECT *, unnest(range(-ceil({outer})::INT, ceil({outer})::INT + 1))::INT AS dy FROM inside) p,
   LATERAL (SELECT unnest(range(-ceil(p.radius + 1)::INT, ceil(p.radius + 1)::INT + 1))::INT AS dx)
-  WHERE dy * dy + dx * dx <= ({outer}) * ({outer}){ring} AND y + dy BETWEEN 0 AND {H - 1} AND x + dx BETWEEN 0 AND {W - 1}"""
+  WHERE dy * dy + dx * dx <= ({outer}) * ({outer}){ring} AND y + dy BETWEEN 0 AND {H} - 1 AND x + dx BETWEEN 0 AND {W - 1}"""
 
 
 MASK = PIXELS + f", vessel AS MATERIALIZED (SELECT DISTINCT y, x FROM ({disk_sql('radius')}))"
 BOUNDARY = MASK + """, full_cells AS (
   SELECT y, x FROM (SELECT y + dy AS y, x + dx AS x FROM vessel, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) GROUP BY y, x HAVING count(*) = 9
 ), boundary AS MATERIALIZED (SELECT y, x FROM vessel ANTI JOIN full_cells USING (y, x))"""
-OWNED = BOUNDARY + """, best AS (SELECT y AS py, x AS px, min((segment_id, pos)) AS ord FROM inside GROUP BY y, x),
-owned AS MATERIALIZED (SELECT y, x, arg_min(ord[1], ((y - py) * (y - py) + (x - px) * (x - px), ord)) AS segment_id FROM boundary, best GROUP BY y, x)"""
+#: A boundary pixel lies in a disk of radius 1.5 at most, so that a centerline pixel lies within two rows and columns.
+OWNED = BOUNDARY + """, best AS (SELECT y AS py, x AS px, min((segment_id, pos)) AS ord FROM inside GROUP BY y, x), near AS (
+  SELECT y, x, y + dy AS py, x + dx AS px FROM boundary, (SELECT unnest([-2, -1, 0, 1, 2]) AS dy), (SELECT unnest([-2, -1, 0, 1, 2]) AS dx)
+), owned AS MATERIALIZED (SELECT y, x, arg_min(ord[1], ((y - py) * (y - py) + (x - px) * (x - px), ord)) AS segment_id FROM near JOIN best USING (py, px) GROUP BY y, x)"""
 
 MU = scalars.BLOOD_VISCOSITY_PA_S
 FLOW = PATHS + f""", res AS (
@@ -173,6 +176,38 @@ def _(spark, d):
     return rounded(derived.tissue_grid(spark, d).select("r", "c", "vessel", "o2", "epsilon", "tau", "vmax", "km", "vessel_o2", "d_o2", "d_co2"))
 
 
+def seeded(k: int, low: float, high: float) -> str:
+    x = f"((r::BIGINT * 73856093 + c::BIGINT * 19349663 + {42 + k}::BIGINT * 83492791) % 1000003)"
+    return f"{low} + ({high} - {low})::DOUBLE * (({x} * {x} + {x}) % 1000003) / 1000003"
+
+
+CORNERS = "(r BETWEEN 20 AND 24 AND c BETWEEN 20 AND 24 OR r BETWEEN 50 AND 54 AND c BETWEEN 70 AND 74 OR r BETWEEN 80 AND 84 AND c BETWEEN 40 AND 44)"
+CELLS = "cells AS (SELECT i // 64 AS r, i % 64 AS c FROM (SELECT unnest(range((SELECT (max(vec_id) + 1) * 64 FROM embeddings))) AS i))"
+
+
+def _rows(spark: SparkSession, d: str) -> int:
+    return derived.table(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+
+
+@query("s12_seeded_fields", f"WITH {CELLS} SELECT r::INT AS r, c::INT AS c, {r(seeded(0, 0.5, 10.0), 'o2')}, {r(seeded(1, 0.0, 2.0), 'co2')}, {r(seeded(2, 0.8, 1.2), 'd_o2')}, {CORNERS} AS vessel, CASE WHEN {CORNERS} THEN 10.0 ELSE 0.0 END::DOUBLE AS vessel_o2 FROM cells")
+def _(spark, d):
+    return rounded(derived.seeded_fields(spark, _rows(spark, d), 64).select("r", "c", "o2", "co2", "d_o2", "vessel", "vessel_o2"))
+
+
+@query("s13_benchmark_fields", f"WITH {CELLS} SELECT r::INT AS r, c::INT AS c, 1.0::DOUBLE AS o2, 1.0::DOUBLE AS d_o2, 0.01::DOUBLE AS vmax, 1.0::DOUBLE AS km, false AS vessel FROM cells")
+def _(spark, d):
+    return derived.benchmark_fields(spark, _rows(spark, d), 64).select("r", "c", "o2", "d_o2", "vmax", "km", "vessel")
+
+
+@query("s11_case_round_trip", f"WITH {GRID} SELECT r, c, {r('o2', 'o2')}, {r('vmax', 'vmax')}, vessel, 0.05::DOUBLE AS dt FROM g0")
+def _(spark, d):
+    cells = derived.tissue_grid(spark, d).withColumn("case_id", F.floor(F.col("r") / 16))
+    path = Scratch(spark, "cases").path()
+    storage.write_cases(cells.withColumn("r", F.col("r") % 16), path, dt=0.05)
+    back = storage.read_case(spark, path)
+    return rounded(back.select((F.col("case_id") * 16 + F.col("r")).cast("int").alias("r"), "c", "o2", "vmax", "vessel", "dt"))
+
+
 @query("p02_initial_concentration_after_vessels", f"WITH {GRID} SELECT r, c, 0.25::DOUBLE AS o2, vessel_o2 FROM g0")
 def _(spark, d):
     return tissue.set_initial_concentration(derived.tissue_grid(spark, d), 0.25).select("r", "c", "o2", "vessel_o2")
@@ -355,23 +390,17 @@ def _(spark, d):
     return near.select("node_id", F.array_join("neighbors", ",").alias("neighbors"))
 
 
-PARTS = PATHS + """, pairs AS (
-  SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY pos) AS b FROM lines
-)"""
-
-
-@query("g01_violations", f"WITH {PARTS}, seg AS (SELECT a, b FROM pairs WHERE b IS NOT NULL), e AS (SELECT a AS n FROM seg UNION ALL SELECT b FROM seg) SELECT 'end doesn''t exist' AS problem, count(*) AS n FROM e WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+@query("g01_violations", f"WITH {PATHS}, seg AS (SELECT l_orderkey * 1000 + pos AS id, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY pos) AS b FROM lines), known AS (SELECT p_partkey FROM part WHERE p_size > 25) SELECT 'end doesn''t exist' AS problem, id FROM seg WHERE b IS NOT NULL AND (a NOT IN (SELECT * FROM known) OR b NOT IN (SELECT * FROM known))")
 def _(spark, d):
     nodes, segments = derived.part_graph(spark, d)
-    ends = network.incidence(segments).join(nodes.where("x > 25").select("node_id"), "node_id", "left_anti")
-    return ends.agg(F.count("*").alias("n")).select(F.lit("end doesn't exist").alias("problem"), "n")
+    return network.violations(nodes.where("x > 25"), segments)
 
 
-@query("g02_f12_connected_segments", f"WITH {PATHS}, {INCIDENT} SELECT DISTINCT node_id, segment_id, other FROM inc WHERE node_id % 1000 = 1")
+@query("g02_f12_connected_segments", f"WITH {PATHS}, {INCIDENT} SELECT DISTINCT node_id, segment_id, other FROM inc")
 def _(spark, d):
     found = lines(spark, d)
     segments = derived.path_edges(found).withColumnRenamed("edge_id", "segment_id")
-    at = network.connected_segments(segments, derived.path_nodes(found).where("node_id % 1000 = 1")).join(segments.select("segment_id", "start_node", "end_node"), "segment_id")
+    at = network.connected_segments(segments, derived.path_nodes(found)).join(segments.select("segment_id", "start_node", "end_node"), "segment_id")
     return at.select("node_id", "segment_id", scalars.other_node(F.col("start_node"), F.col("end_node"), F.col("node_id")).alias("other"))
 
 
@@ -398,14 +427,15 @@ def _(spark, d):
     return network.flagged_nodes(lines(spark, d).select("node_id", (F.col("pos") == 0).alias("is_inlet")), "is_inlet").select("node_id")
 
 
-@query("s07_s09_j12_network_from_graph", f"WITH {PATHS}, {GRID} SELECT e.segment_id, a.x AS x0, b.y AS y1, {r('ga.o2', 'first_radius')} FROM edges e JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node JOIN raw ga ON ga.r = least(greatest(a.y::INT, 0), (SELECT max(r) FROM raw)) AND ga.c = least(greatest(a.x::INT, 0), 63)")
+@query("s07_s09_j12_network_from_graph", f"WITH {PATHS}, {GRID} SELECT row_number() OVER (ORDER BY e.segment_id) - 1 AS segment_id, start_node, a.x AS x0, b.y AS y1, {r('ga.o2', 'first_radius')} FROM edges e JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node JOIN raw ga ON ga.r = least(greatest(a.y::INT, 0), (SELECT max(r) FROM raw)) AND ga.c = least(greatest(a.x::INT, 0), 63)")
 def _(spark, d):
     found = lines(spark, d)
     at, edges = derived.path_nodes(found), derived.path_edges(found)
-    nodes = at.select(F.col("node_id").alias("ord"), F.col("node_id").cast("string").alias("name"), F.when(F.col("node_id") % 2 == 0, F.col("x")).alias("x"), F.when(F.col("node_id") % 2 == 0, F.col("y")).alias("y"), F.when(F.col("node_id") % 2 == 1, F.struct("x", "y")).alias("pos"))
+    even = F.col("node_id") % 2 == 0  # half of the nodes have their place in x and y, the others in pos
+    nodes = at.select(F.col("node_id").cast("string").alias("name"), F.when(even, F.col("x")).alias("x"), F.when(even, F.col("y")).alias("y"), F.when(~even, F.struct("x", "y")).alias("pos"))
     own = edges.select(F.col("edge_id").alias("ord"), F.col("start_node").cast("string").alias("start_name"), F.col("end_node").cast("string").alias("end_name"))
     _, segments = network.network_from_graph(nodes, own, derived.raw_grid(spark, d).select("r", "c", F.col("o2").alias("radius")))
-    return rounded(segments.select("segment_id", F.element_at("centerline", 1)["x"].alias("x0"), F.element_at("centerline", -1)["y"].alias("y1"), F.element_at("radii", 1).alias("first_radius")))
+    return rounded(segments.select("segment_id", "start_node", F.element_at("centerline", 1)["x"].alias("x0"), F.element_at("centerline", -1)["y"].alias("y1"), F.element_at("radii", 1).alias("first_radius")))
 
 
 # ---- flow ----
@@ -416,6 +446,36 @@ def _(spark, d):
     return rounded(solved_paths(spark, d)[0].select("node_id", scalars.mmhg(F.col("pressure")).alias("pressure_mmhg")))
 
 
+CHAIN = f"""chain AS (
+  SELECT o_orderkey AS node_id, sum(CASE WHEN next IS NULL THEN 0.0 ELSE 8.0 * {MU} * ((10 + o_totalprice::DOUBLE / 1000) * 1e-6) / ({math.pi} * pow(2e-6, 4.0)) END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT *, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next FROM orders)
+)"""
+
+
+@query("g11_large_component", f"WITH {CHAIN} SELECT node_id, round(35.0 - 20.0 * coalesce(before, 0.0) / (SELECT max(before) FROM chain), 5) + 0.0 AS pressure_mmhg FROM chain")
+def _(spark, d):
+    nodes, edges = derived.order_chain(spark, d)
+    own, segments = network.network_from_tables(nodes, edges)
+    ends = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).select(F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.lit(35.0).alias("pressure_mmhg")), F.struct(F.col("b").alias("node_id"), F.lit(15.0).alias("pressure_mmhg")))).alias("e")).select("e.*")
+    return rounded(flow.solve_network_flow_mmhg(own, segments, ends, dense=500)[0].select("node_id", scalars.mmhg(F.col("pressure")).alias("pressure_mmhg")), 5)
+
+
+@query("f13_point_lookups", f"WITH {FLOW} SELECT 'node' AS kind, node_id AS id, {r('mmhg', 'value', 4)} FROM solved WHERE node_id = (SELECT min(node_id) FROM nodes) UNION ALL SELECT 'segment', segment_id, {r('q * 1e18', 'value', 2)} FROM flows WHERE segment_id = (SELECT min(segment_id) FROM edges)")
+def _(spark, d):
+    pressures, flows = solved_paths(spark, d)
+    node, segment = (df.agg(F.min(c)).first()[0] for df, c in ((pressures, "node_id"), (flows, "segment_id")))
+    one = rounded(flow.node_pressure_mmhg(pressures, node).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.col("pressure_mmhg").alias("value")), 4)
+    return one.union(rounded(flow.segment_flow_um3_per_s(flows, segment).select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), F.col("flow_um3_per_s").alias("value")), 2))
+
+
+@query("f15_invalid_segments", f"WITH {NETWORK} SELECT segment_id, 'radii are neither one nor one a point' AS problem FROM segments WHERE 1 + (l_orderkey + pos) % 2 NOT IN (1, n) UNION ALL SELECT segment_id, 'radius is negative' FROM segments WHERE radius < 0.6")
+def _(spark, d):
+    _, s = own_network(spark, d)
+    radius = F.element_at("radii", 1) - F.when(F.element_at("radii", 1) < 0.6, 1.0).otherwise(0.0)
+    at = F.floor(F.col("segment_id") / 1000) + F.col("segment_id") % 1000
+    return network.invalid_segments(s.withColumn("radii", F.array_repeat(radius, (1 + at % 2).cast("int"))))
+
+
 @query("g13_j05_segment_flows", f"WITH {FLOW} SELECT segment_id, {r('q * 1e18', 'flow_um3_per_s', 2)} FROM flows")
 def _(spark, d):
     return rounded(solved_paths(spark, d)[1].select("segment_id", "flow_um3_per_s"), 2)
@@ -458,113 +518,128 @@ def _(spark, d):
 
 @query("r01_p10_p12_f10_centerline_mask", f"WITH {PIXELS} SELECT DISTINCT y, x FROM inside")
 def _(spark, d):
-    return raster.centerline_mask(own_network(spark, d)[1], H, W)
+    return raster.centerline_mask(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("r02_r04_u02_vessel_mask", f"WITH {MASK} SELECT y, x FROM vessel")
 def _(spark, d):
-    return raster.source_mask(own_network(spark, d)[1], H, W)
+    return raster.source_mask(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("r05_a15_w12_segment_pixel_map", f"WITH {PIXELS} {disk_sql('radius')}")
 def _(spark, d):
-    return raster.segment_pixel_map(own_network(spark, d)[1], H, W)
+    return raster.segment_pixel_map(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("t01_sorted_pixel_lists", f"WITH {PIXELS}, m AS ({disk_sql('radius')}) SELECT segment_id, string_agg(y || ':' || x, ' ' ORDER BY y, x) AS pixels FROM m GROUP BY segment_id")
 def _(spark, d):
-    found = raster.as_sorted_lists(raster.segment_pixel_map(own_network(spark, d)[1], H, W))
+    found = raster.as_sorted_lists(raster.segment_pixel_map(own_network(spark, d)[1], *derived.image_shape(spark, d)))
     return found.select("segment_id", F.array_join(F.transform("pixels", lambda p: F.concat_ws(":", p["y"], p["x"])), " ").alias("pixels"))
 
 
 @query("r03_u01_exchange_mask", f"WITH {MASK}, wide AS (SELECT DISTINCT y, x FROM ({disk_sql('radius + 1')})) SELECT y, x FROM wide ANTI JOIN vessel USING (y, x)")
 def _(spark, d):
-    return raster.exchange_mask(own_network(spark, d)[1], H, W)
+    return raster.exchange_mask(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("r06_u04_exchange_pixel_map", f"WITH {PIXELS} {disk_sql('radius + 1', 'radius')}")
 def _(spark, d):
-    return raster.exchange_pixel_map(own_network(spark, d)[1], H, W)
+    return raster.exchange_pixel_map(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("r07_w10_u03_boundary_mask", f"WITH {BOUNDARY} SELECT y, x FROM boundary")
 def _(spark, d):
-    return raster.boundary_mask(raster.vessel_mask(own_network(spark, d)[1], H, W))
+    return raster.boundary_mask(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)))
 
 
 @query("p09_outline_with_skeleton", f"WITH {BOUNDARY}, bone AS (SELECT DISTINCT y, x, true AS b FROM inside) SELECT coalesce(o.y, s.y) AS y, coalesce(o.x, s.x) AS x, 1.0::DOUBLE AS red, CASE WHEN b THEN 0.0 ELSE 1.0 END::DOUBLE AS green, CASE WHEN b THEN 0.0 ELSE 1.0 END::DOUBLE AS blue FROM boundary o FULL JOIN bone s ON o.y = s.y AND o.x = s.x")
 def _(spark, d):
+    shape = derived.image_shape(spark, d)
     _, s = own_network(spark, d)
-    return raster.outline_with_skeleton(raster.boundary_mask(raster.vessel_mask(s, H, W)), raster.centerline_mask(s, H, W))
+    return raster.outline_with_skeleton(raster.boundary_mask(raster.vessel_mask(s, *shape)), raster.centerline_mask(s, *shape))
 
 
 @query("a10_r16_mask_counts", f"WITH {BOUNDARY} SELECT 'centerline' AS mask, count(*) AS pixels FROM (SELECT DISTINCT y, x FROM inside) UNION ALL SELECT 'vessel', count(*) FROM vessel UNION ALL SELECT 'outline', count(*) FROM boundary")
 def _(spark, d):
+    shape = derived.image_shape(spark, d)
     _, s = own_network(spark, d)
-    masks = raster.debug_masks(s, raster.centerline_mask(s, H, W), raster.vessel_mask(s, H, W), H, W)
+    masks = raster.debug_masks(s, raster.centerline_mask(s, *shape), raster.vessel_mask(s, *shape), *shape)
     return raster.mask_counts({k: masks[k] for k in ("centerline", "vessel", "outline")})
 
 
 @query("s03_despeckle", f"WITH {MASK}, n AS (SELECT y, x, count(*) AS n FROM (SELECT y + dy AS y, x + dx AS x FROM vessel, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dy <> 0 OR dx <> 0) GROUP BY y, x) SELECT y, x FROM vessel JOIN n USING (y, x) WHERE n >= 3")
 def _(spark, d):
-    return raster.despeckle(raster.vessel_mask(own_network(spark, d)[1], H, W), 3)
+    return raster.despeckle(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)), 3)
 
 
 @query("p06_fit_mask", f"WITH {MASK} SELECT y, x FROM vessel WHERE y < 100 AND x < 50")
 def _(spark, d):
-    return raster.fit_mask(raster.vessel_mask(own_network(spark, d)[1], H, W), 100, 50)
+    return raster.fit_mask(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)), 100, 50)
 
 
 @query("j08_r08_boundary_pixel_map", f"WITH {OWNED} SELECT segment_id, y, x FROM owned")
 def _(spark, d):
+    shape = derived.image_shape(spark, d)
     _, s = own_network(spark, d)
-    return raster.reconstructed_boundary_pixel_map(s, raster.vessel_mask(s, H, W), H, W)
+    return raster.reconstructed_boundary_pixel_map(s, raster.vessel_mask(s, *shape), *shape)
 
 
-LEFT = "SELECT segment_id, 0.5 + 10 * l_discount::DOUBLE AS oxygen, -l_tax::DOUBLE AS carbon_dioxide FROM (SELECT l_orderkey * 1000 + pos AS segment_id, l_discount, l_tax FROM lines) WHERE segment_id % 3 <> 0"
-CENTRES = "centre AS (SELECT segment_id, avg(y) AS cy, avg(x) AS cx FROM {m} GROUP BY segment_id)"
-LOOKUP = f"""left_conc AS ({LEFT}), {CENTRES.format(m='rows_')}, fill AS (
-  SELECT l.segment_id, arg_min((c.oxygen, c.carbon_dioxide), (pow(l.cy - s.cy, 2) + pow(l.cx - s.cx, 2), s.segment_id)) AS v
-  FROM centre l, centre s JOIN left_conc c ON c.segment_id = s.segment_id WHERE l.segment_id NOT IN (SELECT segment_id FROM left_conc) GROUP BY l.segment_id
-), lookup AS (SELECT * FROM left_conc UNION ALL SELECT segment_id, v[1], v[2] FROM fill)"""
-#: Boundary pixels by rows of the image, so that there are some hundred owners.
-ROWED = OWNED + f", rows_ AS (SELECT min(segment_id) OVER (PARTITION BY y // 4) AS segment_id, y, x FROM owned), {LOOKUP}"
+KNOWN = "SELECT segment_id, 0.5 + 10 * l_discount::DOUBLE AS oxygen, -l_tax::DOUBLE AS carbon_dioxide FROM (SELECT l_orderkey * 1000 + pos AS segment_id, l_discount, l_tax, l_returnflag FROM lines) WHERE l_returnflag <> 'R'"
+#: The nearest centroid lies in the own band of 64 rows or a neighbouring one: a band holds some twenty orders.
+LOOKUP = f"""known AS ({KNOWN}), centre AS (SELECT segment_id, avg(y) AS cy, avg(x) AS cx FROM map_ GROUP BY segment_id), solved AS (
+  SELECT s.*, oxygen, carbon_dioxide, (cy // 64)::BIGINT + d AS band FROM centre s JOIN known USING (segment_id), (SELECT unnest([-1, 0, 1]) AS d)
+), fill AS (
+  SELECT l.segment_id, arg_min((s.oxygen, s.carbon_dioxide), (pow(l.cy - s.cy, 2) + pow(l.cx - s.cx, 2), s.segment_id)) AS v
+  FROM centre l ANTI JOIN known USING (segment_id) JOIN solved s ON s.band = (l.cy // 64)::BIGINT GROUP BY l.segment_id
+), lookup AS (SELECT * FROM known UNION ALL SELECT segment_id, v[1], v[2] FROM fill)"""
+BORDERS = OWNED + f", map_ AS (SELECT segment_id, y, x FROM owned), {LOOKUP}"
+DISKS = PIXELS + f", map_ AS MATERIALIZED ({disk_sql('radius')}), {LOOKUP}"
 
 
-def _rowed(spark, d) -> tuple[DataFrame, DataFrame]:
-    found = lines(spark, d)
-    _, s = network.network_from_tables(derived.path_nodes(found), derived.path_edges(found))
-    owned = raster.reconstructed_boundary_pixel_map(s, raster.vessel_mask(s, H, W), H, W)
-    least = owned.groupBy(F.floor(F.col("y") / 4).alias("k")).agg(F.min("segment_id").alias("segment_id"))
-    rows = owned.select("y", "x", F.floor(F.col("y") / 4).alias("k")).join(least, "k").select("segment_id", "y", "x")
-    known = found.where("node_id % 3 <> 0").select(F.col("node_id").alias("segment_id"), (0.5 + 10 * F.col("l_discount")).alias("oxygen"), (-F.col("l_tax")).alias("carbon_dioxide"))
-    return Scratch(spark, "rows").keep(rows), known
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Concentrations of the lines that weren't returned; segments of the others have none."""
+    kept = lines(spark, d).where("l_returnflag <> 'R'")
+    return kept.select(F.col("node_id").alias("segment_id"), (0.5 + 10 * F.col("l_discount")).alias("oxygen"), (-F.col("l_tax")).alias("carbon_dioxide"))
 
 
-@query("a06_centroids", f"WITH {ROWED} SELECT segment_id, {r('cy', 'cy')}, {r('cx', 'cx')} FROM centre")
+def _borders(spark: SparkSession, d: str) -> DataFrame:
+    """Boundary pixels with their one owner."""
+    shape = derived.image_shape(spark, d)
+    _, s = own_network(spark, d)
+    return Scratch(spark, "borders").keep(raster.reconstructed_boundary_pixel_map(s, raster.vessel_mask(s, *shape), *shape))
+
+
+def _disks(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of segments, where neighbours share some."""
+    return Scratch(spark, "disks").keep(raster.segment_pixel_map(own_network(spark, d)[1], *derived.image_shape(spark, d)))
+
+
+@query("a06_centroids", f"WITH {BORDERS} SELECT segment_id, {r('cy', 'cy')}, {r('cx', 'cx')} FROM centre")
 def _(spark, d):
-    return rounded(transport.centroids(_rowed(spark, d)[0]))
+    return rounded(transport.centroids(_borders(spark, d)))
 
 
-@query("r11_j09_completed_concentrations", f"WITH {ROWED} SELECT segment_id, {r('oxygen', 'oxygen')}, {r('carbon_dioxide', 'carbon_dioxide')} FROM lookup")
+@query("r11_j09_completed_concentrations", f"WITH {BORDERS} SELECT segment_id, {r('oxygen', 'oxygen')}, {r('carbon_dioxide', 'carbon_dioxide')} FROM lookup")
 def _(spark, d):
-    return rounded(transport.complete_concentrations(*_rowed(spark, d)))
+    return rounded(transport.complete_concentrations(_borders(spark, d), _known(spark, d)))
 
 
-@query("r12_a07_j10_source_maps", f"WITH {ROWED}, size AS (SELECT segment_id, count(*) AS n FROM rows_ GROUP BY segment_id) SELECT y, x, {r('sum(2.0 * oxygen / n)', 'oxygen')}, {r('sum(carbon_dioxide / n)', 'carbon_dioxide')} FROM (SELECT DISTINCT * FROM rows_) JOIN lookup USING (segment_id) JOIN size USING (segment_id) GROUP BY y, x")
+@query("r12_a07_j10_source_maps", f"WITH {DISKS}, size AS (SELECT segment_id, count(*) AS n FROM map_ GROUP BY segment_id) SELECT y, x, {r('sum(2.0 * oxygen / n)', 'oxygen')}, {r('sum(carbon_dioxide / n)', 'carbon_dioxide')} FROM map_ JOIN lookup USING (segment_id) JOIN size USING (segment_id) GROUP BY y, x")
 def _(spark, d):
-    return rounded(transport.boundary_source_maps(H, W, *_rowed(spark, d), oxygen_scale=2.0, normalize=True))
+    shape = derived.image_shape(spark, d)
+    return rounded(transport.boundary_source_maps(*shape, _disks(spark, d), _known(spark, d), oxygen_scale=2.0, normalize=True))
 
 
-@query("r13_concentration_maps", f"WITH {ROWED} SELECT y, x, {r('arg_max(oxygen, segment_id)', 'oxygen')}, {r('arg_max(carbon_dioxide, segment_id)', 'carbon_dioxide')} FROM rows_ JOIN lookup USING (segment_id) GROUP BY y, x")
+@query("r13_concentration_maps", f"WITH {DISKS} SELECT y, x, {r('arg_max(oxygen, segment_id)', 'oxygen')}, {r('arg_max(carbon_dioxide, segment_id)', 'carbon_dioxide')} FROM map_ JOIN lookup USING (segment_id) GROUP BY y, x")
 def _(spark, d):
-    return rounded(transport.boundary_concentration_maps(H, W, *_rowed(spark, d)))
+    return rounded(transport.boundary_concentration_maps(*derived.image_shape(spark, d), _disks(spark, d), _known(spark, d)))
 
 
-@query("a08_source_summary", f"WITH {ROWED}, m AS (SELECT y, x, sum(oxygen) AS o, sum(carbon_dioxide) AS k FROM (SELECT DISTINCT * FROM rows_) JOIN lookup USING (segment_id) GROUP BY y, x) SELECT {r('sum(o)', 'oxygen_total', 4)}, {r('greatest(max(o), 0)', 'oxygen_max')}, {r('sum(k)', 'carbon_dioxide_total', 4)}, {r('greatest(max(k), 0)', 'carbon_dioxide_max')}, {r('least(min(k), 0)', 'carbon_dioxide_min')} FROM m")
+@query("a08_source_summary", f"WITH {DISKS}, m AS (SELECT y, x, sum(oxygen) AS o, sum(carbon_dioxide) AS k FROM map_ JOIN lookup USING (segment_id) GROUP BY y, x) SELECT {r('sum(o)', 'oxygen_total', 3)}, {r('greatest(max(o), 0)', 'oxygen_max')}, {r('sum(k)', 'carbon_dioxide_total', 3)}, {r('greatest(max(k), 0)', 'carbon_dioxide_max')}, {r('least(min(k), 0)', 'carbon_dioxide_min')} FROM m")
 def _(spark, d):
-    s = transport.summarize_sources(transport.boundary_source_maps(H, W, *_rowed(spark, d)), H, W)
-    return s.select(*[(F.round(c, 4 if c.endswith("total") else 6) + 0.0).alias(c) for c in s.columns])
+    shape = derived.image_shape(spark, d)
+    s = transport.summarize_sources(transport.boundary_source_maps(*shape, _disks(spark, d), _known(spark, d)), *shape)
+    return s.select(*[(F.round(c, 3 if c.endswith("total") else 6) + 0.0).alias(c) for c in s.columns])
 
 
 # ---- scaling and skeletons ----
@@ -580,40 +655,48 @@ def _(spark, d):
     return rounded(scaling.scale_nodes(derived.path_nodes(lines(spark, d)).select("node_id", "row", "col"), (100, 200), (200, 100)))
 
 
-@query("r14_a12_scaled_skeleton", f"WITH {GRID} SELECT least(round_even(r * 0.3::DOUBLE, 0)::INT, 149) AS r, least(round_even(c * 0.5::DOUBLE, 0)::INT, 31) AS c, {r('max(o2 * 0.4::DOUBLE)', 'radius')} FROM raw WHERE (r + c) % 3 = 0 GROUP BY 1, 2")
+SHRUNK = "shape AS (SELECT max(r) + 1 AS rows, greatest((max(r) + 1) * 3 // 10, 1) AS t FROM raw)"
+
+
+@query("r14_a12_scaled_skeleton", f"WITH {GRID}, {SHRUNK} SELECT least(round_even(r * (t::DOUBLE / rows), 0)::INT, t - 1)::INT AS r, least(round_even(c * 0.5::DOUBLE, 0)::INT, 31) AS c, {r('max(o2 * ((t::DOUBLE / rows + 0.5::DOUBLE) / 2))', 'radius')} FROM raw, shape GROUP BY 1, 2")
 def _(spark, d):
-    cells = derived.raw_grid(spark, d)
-    return rounded(scaling.scale_skeleton(cells.where("(r + c) % 3 = 0").select("r", "c"), cells.select("r", "c", F.col("o2").alias("radius")), (500, 64), (150, 32)))
+    cells = derived.raw_grid(spark, d).select("r", "c", F.col("o2").alias("radius"))
+    rows = cells.agg(F.max("r")).first()[0] + 1
+    return rounded(scaling.scale_skeleton(cells.select("r", "c"), cells, (rows, 64), (max(rows * 3 // 10, 1), 32)))
 
 
 BONES = PATHS + ", bones AS (SELECT y::INT AS r, unnest(range(min(x)::INT, max(x)::INT + 1))::INT AS c FROM nodes GROUP BY y)"
 
 
-@query("g06_j07_skeleton_graph", f"WITH {BONES} SELECT a.r, a.c, b.r AS nr, b.c AS nc, (CASE WHEN (b.r - a.r) * 3 + b.c - a.c > 0 THEN (b.r - a.r) * 3 + b.c - a.c + 3 ELSE (b.r - a.r) * 3 + b.c - a.c + 4 END)::INT AS ord FROM bones a JOIN bones b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND (a.r <> b.r OR a.c <> b.c)")
+STEPS = ", ".join(f"({i}, {dr}, {dc})" for i, (dr, dc) in enumerate(skeleton.STEPS))
+
+
+@query("g06_j07_skeleton_graph", f"WITH {BONES} SELECT a.r, a.c, b.r AS nr, b.c AS nc, ord FROM bones a, (VALUES {STEPS}) s(ord, dr, dc) JOIN bones b ON b.r = a.r + dr AND b.c = a.c + dc")
 def _(spark, d):
     return skeleton.skeleton_graph(derived.skeleton_of(derived.path_nodes(lines(spark, d))))
 
 
-@query("j11_nearest_skeleton_pixel", f"WITH {BONES} SELECT n.node_id AS id, arg_min(b.r, ((b.r - n.y - 1) * (b.r - n.y - 1) + (b.c - n.x) * (b.c - n.x), b.r, b.c)) AS sr, arg_min(b.c, ((b.r - n.y - 1) * (b.r - n.y - 1) + (b.c - n.x) * (b.c - n.x), b.r, b.c)) AS sc FROM nodes n JOIN bones b ON abs(b.r - n.y - 1) <= 3 AND abs(b.c - n.x) <= 3 GROUP BY n.node_id")
+@query("j11_nearest_skeleton_pixel", f"""WITH {BONES}, asked AS (SELECT node_id, y::INT + 1 + dy AS r, x::INT + dx AS c, dy * dy + dx * dx AS d2 FROM nodes, (SELECT unnest(range(-3, 4))::INT AS dy), (SELECT unnest(range(-3, 4))::INT AS dx))
+SELECT node_id AS id, arg_min(r, (d2, r, c)) AS sr, arg_min(c, (d2, r, c)) AS sc FROM asked JOIN bones USING (r, c) GROUP BY node_id""")
 def _(spark, d):
     nodes = derived.path_nodes(lines(spark, d))
     moved = nodes.select(F.col("node_id").alias("id"), (F.col("row") + 1).alias("row"), "col")
-    return skeleton.nearest_skeleton_pixel(moved, derived.skeleton_of(nodes), H, W).select("id", "sr", "sc")
+    return skeleton.nearest_skeleton_pixel(moved, derived.skeleton_of(nodes), *derived.image_shape(spark, d)).select("id", "sr", "sc")
 
 
 @query("g07_g08_p13_j03_traced_centerlines", f"WITH {PATHS} SELECT e.segment_id AS edge_id, (abs(b.x - a.x) + 1)::INT AS points, a.x AS x_first, b.x AS x_last, a.y AS y FROM edges e JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node")
 def _(spark, d):
     found = lines(spark, d)
     nodes = derived.path_nodes(found)
-    traced = skeleton.edge_centerlines(derived.skeleton_of(nodes), nodes, derived.path_edges(found), H, W)
+    traced = skeleton.edge_centerlines(derived.skeleton_of(nodes), nodes, derived.path_edges(found), *derived.image_shape(spark, d))
     return traced.select("edge_id", F.size("points").alias("points"), F.element_at("points", 1)["x"].alias("x_first"), F.element_at("points", -1)["x"].alias("x_last"), F.element_at("points", 1)["y"].alias("y"))
 
 
-@query("j02_traced_or_straight", f"WITH {NETWORK} SELECT segment_id, CASE WHEN segment_id % 2 = 0 THEN 2 ELSE n END AS points FROM segments")
+@query("j02_traced_or_straight", f"WITH {NETWORK} SELECT segment_id, CASE WHEN tax > 0.04 THEN 2 ELSE n END AS points FROM segments")
 def _(spark, d):
     found = lines(spark, d)
     nodes, edges = derived.path_nodes(found), derived.path_edges(found)
-    two = edges.where("edge_id % 2 = 0").select("edge_id", F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))).alias("points"))
+    two = edges.where("normalized_radius > 0.04").select("edge_id", F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))).alias("points"))
     _, s = network.network_from_tables(nodes, edges, two)
     return s.select("segment_id", F.size("centerline").alias("points"))
 
@@ -621,20 +704,46 @@ def _(spark, d):
 @query("j04_drawable_edges", f"WITH {PATHS} SELECT segment_id AS edge_id, radius AS mean_radius FROM edges e WHERE EXISTS (SELECT 1 FROM nodes WHERE node_id = start_node AND x < 30) AND EXISTS (SELECT 1 FROM nodes WHERE node_id = end_node AND x < 30)")
 def _(spark, d):
     found = lines(spark, d)
-    shown = derived.path_nodes(found).where("x < 30")
-    edges = derived.path_edges(found)
-    for end in ("start_node", "end_node"):
-        edges = edges.join(shown.select(F.col("node_id").alias(end)), end, "left_semi")
-    return edges.select("edge_id", "mean_radius")
+    return network.drawable_edges(derived.path_nodes(found).where("x < 30"), derived.path_edges(found)).select("edge_id", "mean_radius")
 
 
 @query("j13_masked_fields", f"WITH {GRID} SELECT r, c, {r('o2', 'o2')} FROM g0 WHERE vessel")
 def _(spark, d):
     cells = derived.tissue_grid(spark, d)
-    mask = derived.raw_grid(spark, d).where("label = 0 and c % 8 < 3").select("r", "c")
-    return rounded(cells.select("r", "c", "o2").join(mask, ["r", "c"]))
+    return rounded(tissue.masked(cells, cells.where("vessel").select("r", "c"), ["o2"]))
 
 
 @query("t04_first_pixels", f"WITH {MASK} SELECT y, x FROM vessel ORDER BY y, x LIMIT 5")
 def _(spark, d):
-    return raster.vessel_mask(own_network(spark, d)[1], H, W).orderBy("y", "x").limit(5)
+    return raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)).orderBy("y", "x").limit(5)
+
+
+@query("s05_reconstructed_mask", f"WITH {GRID} SELECT DISTINCT y, x FROM (SELECT r + dy AS y, c + dx AS x, 2 * o2 AS rad, dy, dx FROM raw, LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dy), LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dx) WHERE label = 1) WHERE dy * dy + dx * dx <= rad * rad AND y BETWEEN 0 AND (SELECT max(r) FROM raw) AND x BETWEEN 0 AND 63")
+def _(spark, d):
+    bones = derived.raw_grid(spark, d).where("label = 1").select("r", "c", (2 * F.col("o2")).alias("radius"))
+    return simulate.reconstruct_mask(bones, _rows(spark, d), 64)
+
+
+@query("s10_saved_geometry", f"WITH {PATHS} SELECT node_id, {r('y', 'row')}, {r('x', 'col')}, segment_id, {r('length_px', 'length_px')}, {r('radius', 'mean_radius')} FROM nodes JOIN edges ON start_node = node_id")
+def _(spark, d):
+    found = lines(spark, d)
+    folder = Scratch(spark, "geometry").path()
+    storage.save_geometry({"nodes": derived.path_nodes(found), "edges": derived.path_edges(found)}, folder)
+    back = storage.load_geometry(spark, folder, ["nodes", "edges"])
+    edges = back["edges"].select(F.col("start_node").alias("node_id"), F.col("edge_id").alias("segment_id"), "length_px", "mean_radius")
+    return rounded(back["nodes"].select("node_id", "row", "col").join(edges, "node_id"))
+
+
+@query("r15_domain_from_structure", f"""WITH {BONES}, shape AS (SELECT {H} AS rows, {H} // 6 + 1 AS t), scaled AS (
+  SELECT DISTINCT least(round_even(r * (t::DOUBLE / rows), 0)::INT, t - 1) AS r, least(round_even(c * 0.25::DOUBLE, 0)::INT, 63) AS c, 6.0::DOUBLE * ((t::DOUBLE / rows + 0.25::DOUBLE) / 2) AS rad FROM bones, shape
+), mask AS (
+  SELECT DISTINCT r + dy AS r, c + dx AS c FROM scaled, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE dy * dy + dx * dx <= rad * rad
+), cells AS (SELECT i // 64 AS r, i % 64 AS c FROM (SELECT unnest(range((SELECT t * 64 FROM shape))) AS i))
+SELECT c.r::INT AS r, c.c::INT AS c, m.r IS NOT NULL AS vessel, CASE WHEN m.r IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS vessel_o2, CASE WHEN m.r IS NOT NULL THEN 0.0 ELSE 0.05 END::DOUBLE AS vmax FROM cells c LEFT JOIN mask m ON m.r = c.r AND m.c = c.c""")
+def _(spark, d):
+    found = lines(spark, d)
+    nodes, edges, source = derived.path_nodes(found), derived.path_edges(found), derived.image_shape(spark, d)
+    bones = derived.skeleton_of(nodes)
+    mask = bones.select(F.col("r").alias("y"), F.col("c").alias("x"))
+    built = simulate.domain_from_structure("orders", Scratch(spark, "domain").path(), mask, bones, bones.withColumn("radius", F.lit(6.0)), nodes, edges, source, (source[0] // 6 + 1, source[1] // 4))
+    return built["cells"].select("r", "c", "vessel", "vessel_o2", "vmax")

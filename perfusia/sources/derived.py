@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perfusia.operators.tissue import set_uniform_consumption, set_vessel_mask, with_defaults, with_diffusivities
+from perfusia.operators.tissue import dense_grid, set_uniform_consumption, set_vessel_mask, with_defaults, with_diffusivities
 from perfusia.functions.species import Species
 
 LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
-SHAPE = (512, 256)
+#: Rows of the image between two orders, so that their skeletons don't touch; columns of the image.
+APART, WIDTH = 3, 256
 #: Free diffusivities in cells^2 a unit of time, for grids whose cells are units.
 UNIT_OXYGEN, UNIT_CARBON_DIOXIDE = Species("Oxygen", 32.0, 2.0), Species("Carbon Dioxide", 44.01, 1.6)
 
@@ -24,6 +27,29 @@ def raw_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("r", "c", F.abs(F.col("v").cast("double")).alias("o2"), "label")
 
 
+def seeded_fields(spark: SparkSession, height: int, width: int, seed: int = 42) -> DataFrame:
+    """The random test case: fields spread evenly by arithmetic on seed and cell, three square vessels, one diffusivity for both species."""
+    cells = with_defaults(dense_grid(spark, height, width).select("r", "c"))
+    x = lambda k: (F.col("r").cast("long") * 73856093 + F.col("c") * 19349663 + F.lit((seed + k) * 83492791)) % 1000003
+    unit = lambda k: (x(k) * x(k) + x(k)) % 1000003 / 1000003
+    # Ranges, corners and side of the vessels, what they hold, kinetics.
+    low_high = {"o2": (0.5, 10.0), "co2": (0.0, 2.0), "d_o2": (0.8, 1.2)}
+    corners, side, held = ((20, 20), (50, 70), (80, 40)), 5, 10.0
+    cells = cells.withColumns({c: a + (b - a) * unit(i) for i, (c, (a, b)) in enumerate(low_high.items())})
+    vessel = reduce(lambda a, b: a | b, (F.col("r").between(r, r + side - 1) & F.col("c").between(c, c + side - 1) for r, c in corners))
+    return cells.withColumns({
+        "d_co2": F.col("d_o2"), "vmax": F.lit(0.5), "km": F.lit(1.0), "vessel": vessel,
+        "vessel_o2": F.when(vessel, held).otherwise(0.0), "vessel_co2": F.lit(0.0),
+    })
+
+
+def benchmark_fields(spark: SparkSession, height: int = 1000, width: int = 1000) -> DataFrame:
+    """The benchmark's uniform start: ones, no vessels."""
+    # Concentration, diffusivity, vmax and km.
+    values = {"o2": 1.0, "co2": 0.0, "d_o2": 1.0, "d_co2": 1.0, "vmax": 0.01, "km": 1.0, "vessel_o2": 0.0, "vessel_co2": 0.0}
+    return dense_grid(spark, height, width).withColumns({k: F.lit(v) for k, v in values.items()} | {"vessel": F.lit(False)})
+
+
 def tissue_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid with properties by label, vessels in label 0, consumption and diffusivities."""
     raw = raw_grid(spark, sf_dir)
@@ -39,11 +65,17 @@ def path_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_nodes(lines: DataFrame) -> DataFrame:
-    """Nodes (node_id, row, col, x, y): each order is a path in a row of the grid."""
-    at = lines.select("node_id", (F.col("l_orderkey") % 509).cast("double").alias("row"), (F.col("pos") * 12 + F.col("l_partkey") % 7).cast("double").alias("col"))
+    """Nodes (node_id, row, col, x, y): each order is a path in a row of its own."""
+    at = lines.select("node_id", (F.col("l_orderkey") * APART).cast("double").alias("row"), (F.col("pos") * 12 + F.col("l_partkey") % 7).cast("double").alias("col"))
     return at.select("node_id", "row", "col", F.col("col").alias("x"), F.col("row").alias("y"))
 
 
+def image_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Rows and columns of an image that holds all orders."""
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    return APART * (last or 0) + APART, WIDTH
+
+
 def path_edges(lines: DataFrame) -> DataFrame:
     """Edges between lines that follow each other in an order."""
     order = Window.partitionBy("l_orderkey").orderBy("pos")
@@ -55,6 +87,17 @@ def path_edges(lines: DataFrame) -> DataFrame:
     )
 
 
+def order_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as one path: nodes are orders, a segment joins an order with that of the next key."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("node_id"), F.col("o_totalprice").cast("double").alias("price"))
+    after = orders.select((F.col("node_id") - 1).alias("node_id"), F.col("node_id").alias("end_node"))
+    edges = orders.join(after, "node_id").select(
+        F.col("node_id").alias("edge_id"), F.col("node_id").alias("start_node"), "end_node", (10 + F.col("price") / 1000).alias("length_px"), F.lit(2.0).alias("mean_radius")
+    )
+    nodes = orders.select("node_id", F.lit(0.0).alias("row"), F.col("node_id").cast("double").alias("col"))
+    return nodes, edges
+
+
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes are parts, segments join parts that follow each other in an order of few lines, so that there are many components."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("node_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))

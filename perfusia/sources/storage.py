@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASE_FIELDS = ("oxygen_concentration", "carbon_dioxide_concentration", "diffusivity", "vmax", "km", "vessel_mask", "vessel_oxygen_concentration", "vessel_carbon_dioxide_concentration")
-CASE = "width int, height int, dx double, dy double, dt double, co2_yield double, " + ", ".join(f"{f} array<{'boolean' if f == 'vessel_mask' else 'double'}>" for f in CASE_FIELDS)
+CASE = "case_id long, width int, height int, dx double, dy double, dt double, co2_yield double, " + ", ".join(f"{f} array<{'boolean' if f == 'vessel_mask' else 'double'}>" for f in CASE_FIELDS)
 
 
 def save_geometry(tables: dict[str, DataFrame], folder: str) -> None:
@@ -20,24 +20,25 @@ def load_geometry(spark: SparkSession, folder: str, names: list[str]) -> dict[st
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
 
 
-def read_case(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON case of flat row-major arrays as cells."""
-    case = spark.read.schema(CASE).option("multiLine", True).json(path)
-    at = case.select("width", "dx", "dy", "dt", "co2_yield", F.posexplode(F.arrays_zip(*CASE_FIELDS)).alias("i", "x"))
+def read_case(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """JSON cases of flat row-major arrays as cells; case_id is null where a case has none."""
+    case = spark.read.schema(CASE).option("multiLine", multi_line).json(path)
+    at = case.select("case_id", "width", "dx", "dy", "dt", "co2_yield", F.posexplode(F.arrays_zip(*CASE_FIELDS)).alias("i", "x"))
     return at.select(
-        (F.col("i") / F.col("width")).cast("int").alias("r"), (F.col("i") % F.col("width")).alias("c"), "dx", "dy", "dt", "co2_yield",
+        "case_id", (F.col("i") / F.col("width")).cast("int").alias("r"), (F.col("i") % F.col("width")).alias("c"), "dx", "dy", "dt", "co2_yield",
         F.col("x.oxygen_concentration").alias("o2"), F.col("x.carbon_dioxide_concentration").alias("co2"), F.col("x.diffusivity").alias("d_o2"), F.col("x.diffusivity").alias("d_co2"),
         F.col("x.vmax").alias("vmax"), F.col("x.km").alias("km"), F.col("x.vessel_mask").alias("vessel"),
         F.col("x.vessel_oxygen_concentration").alias("vessel_o2"), F.col("x.vessel_carbon_dioxide_concentration").alias("vessel_co2"),
     )
 
 
-def write_case(cells: DataFrame, path: str, dt: float, dx: float = 1.0, dy: float = 1.0, co2_yield: float = 1.0) -> None:
-    """One JSON record of a small grid; a case is one record by its format."""
+def write_cases(cells: DataFrame, path: str, dt: float, dx: float = 1.0, dy: float = 1.0, co2_yield: float = 1.0) -> None:
+    """A JSON record for each case_id, a small grid by its format; cells without the column are one case."""
     names = dict(zip(CASE_FIELDS, ("o2", "co2", "d_o2", "vmax", "km", "vessel", "vessel_o2", "vessel_co2")))
-    rows = cells.agg(F.sort_array(F.collect_list(F.struct("r", "c", *names.values()))).alias("x"), (F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
+    keys = ["case_id"] if "case_id" in cells.columns else []
+    rows = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "c", *names.values()))).alias("x"), (F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
     extra = {"dx": dx, "dy": dy, "dt": dt, "co2_yield": co2_yield}
-    rows.select("width", "height", *[F.lit(v).alias(k) for k, v in extra.items()], *[F.col(f"x.{v}").alias(k) for k, v in names.items()]).write.mode("overwrite").json(path)
+    rows.select(*keys, "width", "height", *[F.lit(v).alias(k) for k, v in extra.items()], *[F.col(f"x.{v}").alias(k) for k, v in names.items()]).write.mode("overwrite").json(path)
 
 
 def cells_from_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> DataFrame:

@@ -108,7 +108,7 @@ def test_species(spark):
 def test_case_round_trip(spark, tmp_path):
     f = random_arrays(5, 6)
     cells = storage.cells_from_arrays(spark, f)
-    storage.write_case(cells, str(tmp_path / "case"), 0.1)
+    storage.write_cases(cells, str(tmp_path / "case"), 0.1)
     back = storage.read_case(spark, str(tmp_path / "case"))
     assert np.allclose(storage.arrays_from_cells(back, ["o2"])["o2"], f["o2"]) and back.first().dt == 0.1
 
