@@ -3,13 +3,16 @@
 Vectors are compared within a label by cosine. Bit-equal vectors are one node with a count. A first
 neighbour graph comes from several random hyperplane orders: vectors sorted by their sign codes are
 compared in overlapping runs of `leaf`. Rounds of NN-descent join neighbours of neighbours: all neighbours
-that a node has in either direction meet, in blocks of bounded size, and better neighbours are kept. A list
-that is saturated, all of its `k` at or above the threshold, is enlarged to `enlarged`. After each round
-recall is audited on a bounded sample against brute force, and rounds go on until it is enough.
+that a node has in either direction meet, in blocks of bounded size dealt anew each round, and better
+neighbours are kept. A list that is saturated, all of its `k` at or above the threshold, is enlarged to
+`enlarged`, and by as much again each round that it stays saturated.
 
-Links at or above the threshold, verified in double precision, make components. At last every component's
-members are compared block against block, so that each list covers its whole component and links are
-counted exactly; only counts leave a task, never pairs.
+Whatever meets at or above the threshold counts, also what no list has room for: each meeting gives a spanning
+forest of its links, verified in double precision, and components grow from these edges over the rounds. After
+each round recall is audited by brute force on a bounded sample, of nodes with a near neighbour first, and
+rounds go on until it is `recall`; after the last one a recall below `least_recall` is an error.
+At last every component's members are compared block against block, so that each list covers its whole
+component and links are counted exactly; only counts leave a task, never pairs.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite numbers, or whose label or id
 is null, links with nothing and is its own component; vectors of other length never link; repeated rows are
@@ -19,6 +22,7 @@ other vectors with equal values, and link; an empty table gives no rows; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,11 @@ from pyspark.sql import functions as F
 from perfusia.llm.shared import Scratch, components, table
 
 
+#: Half precision moves a cosine by less than this.
+HALF = 0.003
+EDGE = ["a", "b", "sim", "link"], [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+
+
 def _unit(values: list[float]) -> np.ndarray:
     x = np.asarray(values, np.float64)
     x = x / np.abs(x).max()
@@ -42,6 +51,32 @@ def _batch(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def _forest(near: np.ndarray, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a spanning forest of the links `near`; with `joined`, those of its links that connect trees of near."""
+    root = list(range(len(near)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def grow(links: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(links, 1)))):
+            if (r := top(p)) != (t := top(q)):
+                root[t] = r
+                out.append((p, q))
+        return out
+
+    found = grow(near)
+    if joined is not None:
+        tree = np.array([top(k) for k in range(len(near))])
+        i, j = np.nonzero(np.triu(joined, 1) & (tree[:, None] != tree[None, :]))
+        return i, j
+    return (np.array([x[0] for x in found], int), np.array([x[1] for x in found], int))
+
+
 def _nodes(rows: DataFrame, tables: int, planes: int, seed: int) -> DataFrame:
     """node, space (what may be compared), rep (least id), copies, u (unit vector, doubles), codes (signs for each order)."""
     grouped = rows.where("node is not null").groupBy("node", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
@@ -62,7 +97,10 @@ def _nodes(rows: DataFrame, tables: int, planes: int, seed: int) -> DataFrame:
 
 
 def _first_graph(nodes: DataFrame, k: int, threshold: float, leaf: int) -> DataFrame:
-    """Directed edges (a, b, sim) between vectors near each other in an order of sign codes."""
+    """Directed edges (a, b, sim, link) between vectors near each other in an order of sign codes.
+
+    link: 2 for a spanning forest of links, 1 for pairs that half precision leaves open between its trees, 0 for candidates.
+    """
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +115,11 @@ def _first_graph(nodes: DataFrame, k: int, threshold: float, leaf: int) -> DataF
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
             ranks = np.argsort(np.argsort(-sims, axis=1), axis=1)
-            i, j = np.nonzero(((ranks < k) | (sims >= threshold)) & (sims > -2))
+            sure, maybe = sims >= threshold + HALF, (sims >= threshold - HALF) & (sims < threshold + HALF)
+            parts = [(*np.nonzero((ranks < k) & (sims > -2)), 0), (*_forest(sure, maybe), 1), (*_forest(sure), 2)]
             ids = np.array([r[1] for r in rows], np.int64)
-            return _batch([ids[i], ids[j], sims[i, j].astype(float)], ["a", "b", "sim"], [pa.int64(), pa.int64(), pa.float64()])
+            i, j, link = (np.concatenate(x) for x in zip(*((i, j, np.full(len(i), kind)) for i, j, kind in parts)))
+            return _batch([ids[i], ids[j], sims[i, j].astype(float), link], *EDGE)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -97,24 +137,25 @@ def _first_graph(nodes: DataFrame, k: int, threshold: float, leaf: int) -> DataF
     orders = nodes.select("node", "space", "u", "codes").mapInArrow(half, "node long, space long, u binary, codes array<long>").select(F.posexplode("codes").alias("t", "code"), "node", "space", "u")
     # sorted by code within each order: equal codes are spread over tasks by node, so no key is hot
     orders = orders.select(F.xxhash64("t", "space").alias("g"), "code", "node", "u").repartitionByRange("g", "code", "node").sortWithinPartitions("g", "code", "node")
-    return orders.select("g", "node", "u").mapInArrow(compare, "a long, b long, sim double")
+    return orders.select("g", "node", "u").mapInArrow(compare, "a long, b long, sim double, link int")
 
 
 def _best(edges: DataFrame, k: int, enlarged: int, threshold: float) -> DataFrame:
-    """a, near: its best neighbours (sim, b), k or, if these are all at or above the threshold, up to `enlarged`."""
-    lists = edges.groupBy("a").agg(F.sort_array(F.collect_set(F.struct("sim", "b")), asc=False).alias("near"))
+    """a, near: its best neighbours (sim, b), each once: k or, if these are all at or above the threshold, up to `enlarged`."""
+    once = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    lists = once.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), asc=False).alias("near"))
     return lists.select("a", F.when(F.try_element_at("near", F.lit(k))["sim"] >= threshold, F.slice("near", 1, enlarged)).otherwise(F.slice("near", 1, k)).alias("near"))
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
-    """New edges (a, b, sim) among the neighbours that a node has in either direction."""
+def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, block: int, turn: int) -> DataFrame:
+    """New edges (a, b, sim, link) among the neighbours that a node has in either direction; link: 2 for a spanning forest of links, 0 for candidates."""
     out = graph.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"))
     met = out.union(out.select("b", "a")).toDF("pivot", "x").distinct()
     blocks = met.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     worst = graph.select(F.col("a").alias("x"), F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(-1.0).alias("worst"))
     with_vectors = nodes.select(F.col("node").alias("x"), "u").join(worst, "x", "left")
     lists = (
-        met.join(blocks, "pivot").withColumn("part", F.pmod(F.xxhash64("x"), F.col("blocks"))).join(with_vectors, "x")
+        met.join(blocks, "pivot").withColumn("part", F.pmod(F.xxhash64("x", F.lit(turn)), F.col("blocks"))).join(with_vectors, "x")
         .groupBy("pivot", "part").agg(F.collect_list(F.struct("x", F.coalesce("worst", F.lit(-1.0)).alias("worst"), "u")).alias("l")).where("size(l) > 1").select("l")
     )
 
@@ -124,39 +165,42 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, block
             for members in batch.column(0):
                 flat = members.values
                 ids, worst = flat.field("x").to_numpy(), flat.field("worst").to_numpy()
-                x = _matrix(flat.field("u").to_pylist(), "f8").astype(np.float32)
+                x = _matrix(flat.field("u").to_pylist(), "f8")
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 ranks = np.argsort(np.argsort(-sims, axis=1), axis=1)
-                i, j = np.nonzero((sims > worst[:, None] + 1e-6) & (ranks < k))
-                found.append((ids[i], ids[j], sims[i, j]))
+                for i, j, kind in ((*np.nonzero((sims > worst[:, None] + 1e-6) & (ranks < max(k, len(ids) // 4))), 0), (*_forest(sims >= threshold), 2)):
+                    found.append((ids[i], ids[j], sims[i, j], np.full(len(i), kind)))
             if found:
-                yield _batch([np.concatenate(c) for c in zip(*found)], ["a", "b", "sim"], [pa.int64(), pa.int64(), pa.float64()])
+                yield _batch([np.concatenate(c) for c in zip(*found)], *EDGE)
 
-    return lists.mapInArrow(run, "a long, b long, sim double")
+    return lists.mapInArrow(run, "a long, b long, sim double, link int")
 
 
-def _linked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) of the graph at or above the threshold in double precision."""
-    near = graph.select("a", F.explode("near").alias("n")).where(F.col("n.sim") >= threshold - 0.003).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
+def _linked(open_pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those at or above the threshold in double precision."""
+    near = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = near.join(nodes.select(F.col("node").alias("a"), F.col("u").alias("ua")), "a").join(nodes.select(F.col("node").alias("b"), F.col("u").alias("ub")), "b").select("a", "b", "ua", "ub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (_matrix(batch.column(i).to_pylist(), "f8") if len({len(v) for v in batch.column(i).to_pylist()}) == 1 else None for i in (2, 3))
-                if x is not None and y is not None:
-                    same = np.einsum("ij,ij->i", x, y) >= threshold
-                else:  # vectors of several lengths in one batch
-                    same = np.array([np.frombuffer(p, "f8") @ np.frombuffer(q, "f8") >= threshold for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(same)) for i in (0, 1)], ["a", "b"])
+            same = np.array([np.frombuffer(p, "f8") @ np.frombuffer(q, "f8") >= threshold for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(same, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _audit(nodes: DataFrame, classes: DataFrame, threshold: float, sample: int) -> tuple[float, int]:
-    """Of the links of `sample` nodes at most, found by brute force over all nodes, the share within a component, and their number."""
-    chosen = [tuple(r) for r in nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample).select("node", "space", "u").collect()]
+def _audit(nodes: DataFrame, graph: DataFrame, classes: DataFrame, threshold: float, sample: int) -> tuple[float, int]:
+    """Of the links of `sample` nodes at most, found by brute force over all nodes, the share within a component, and their number.
+
+    Half of the sample are nodes with the nearest neighbours known below the threshold or not far above it, where links are missed
+    if anywhere, the rest any nodes, by hash.
+    """
+    close = graph.select(F.col("a").alias("node"), F.element_at("near", 1)["sim"].alias("best")).where((F.col("best") >= threshold - 0.05))
+    mixed = F.xxhash64("node", F.lit(11))
+    first = nodes.join(close, "node", "left_semi").orderBy(mixed, "node").limit(sample // 2)
+    rest = nodes.orderBy(mixed, "node").limit(sample - sample // 2)
+    chosen = list({r.node: tuple(r) for r in first.select("node", "space", "u").union(rest.select("node", "space", "u")).collect()}.values())
     shared = nodes.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +250,20 @@ def _count_links(nodes: DataFrame, classes: DataFrame, threshold: float, block:
     return lists.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(
+@dataclass(frozen=True)
+class Search:
+    """The result of a search, and how it was audited."""
+
+    found: DataFrame
+    recall: float
+    links_audited: int
+    rounds: int
+
+
+def search(
     embeddings: DataFrame, threshold: float = 0.98, k: int = 8, enlarged: int = 64, tables: int = 6, planes: int = 30, leaf: int = 64,
-    rounds: int = 4, recall: float = 0.99, sample: int = 500, block: int = 256, seed: int = 7,
-) -> DataFrame:
+    rounds: int = 6, recall: float = 0.99, least_recall: float = 0.9, sample: int = 1000, block: int = 256, count_block: int = 1024, seed: int = 7,
+) -> Search:
     """vec_id, n_links, component_id and kept of embeddings (vec_id, embedding, label)."""
     scratch = Scratch(embeddings.sparkSession, "neighbours")
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -220,14 +274,25 @@ def near_duplicates(
     )
     rows = rows.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "v")))
     nodes = scratch.keep(_nodes(rows, tables, planes, seed))
-    graph = scratch.keep(_best(_first_graph(nodes, k, threshold, leaf), k, enlarged, threshold))
-    for done in range(rounds):
-        old = graph.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"), F.col("n.sim").alias("sim"))
-        graph = scratch.keep(_best(old.union(_descend(graph, nodes, k, threshold, block)), k, enlarged, threshold))
-        classes = scratch.keep(components(_linked(graph, nodes, threshold), scratch))
-        if _audit(nodes, classes, threshold, sample)[0] >= recall:
-            break
-    counted = _count_links(nodes, classes, threshold, block)
+    met = scratch.keep(_first_graph(nodes, k, threshold, leaf))
+    forest = met.where("link = 2").select("a", "b").union(_linked(met.where("link = 1"), nodes, threshold))
+    graph, edges, most, done = None, met, enlarged, 0
+    while True:
+        graph = scratch.keep(_best(edges.where("link = 0").select("a", "b", "sim"), k, most, threshold))
+        classes = scratch.keep(components(forest, scratch))
+        if done:
+            reached, links = _audit(nodes, graph, classes, threshold, sample)
+            if reached >= recall or done == rounds:
+                break
+        done, most = done + 1, most * 2
+        met = scratch.keep(_descend(graph, nodes, k, threshold, block, done))
+        old = graph.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"), F.col("n.sim").alias("sim"), F.lit(0).alias("link"))
+        edges = old.union(met)
+        # components so far are a star each, and grow by the links of this round
+        forest = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(met.where("link = 2").select("a", "b"))
+    if reached < least_recall:
+        raise ArithmeticError(f"NN-descent found {reached:.3f} of {links} audited links after {done} rounds")
+    counted = _count_links(nodes, classes, threshold, count_block)
     named = classes.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     known = (
         nodes.select("node", "rep", "copies").join(classes, "node", "left").join(named, "component", "left").join(counted, "node", "left")
@@ -235,7 +300,12 @@ def near_duplicates(
     )
     found = rows.select("vec_id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    found = found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return Search(found, reached, links, done)
+
+
+def near_duplicates(embeddings: DataFrame, **options) -> DataFrame:
+    return search(embeddings, **options).found
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
