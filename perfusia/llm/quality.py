@@ -1,21 +1,22 @@
 """Quality by compression: zstandard dictionaries of good and bad text, and a calibrated size difference.
 
-A dictionary is trained from labelled good documents and one from bad ones. Each whole text is
-compressed with either, in blocks, so that a dictionary helps throughout a long text. What makes the
-score is (size with bad dictionary - size with good) / (larger of the two), calibrated by a logistic
-function of it and of the compressed share of the text, whose scale differs between languages and
-repetitive texts; it is fitted on labelled rows that trained no dictionary. Labelled rows are a bounded sample: at most `per_class` rows of each label, those of least
-hash of doc_id, of texts up to `max_train_bytes`. Everything else reads whole texts of all rows.
+Labelled good documents are dealt to a few groups, each with a dictionary of its own, and so are bad ones: a
+document goes to the dictionary that packs it best, dictionaries are built anew, and so on for some rounds.
+Each whole text is compressed in small blocks, so that dictionaries help throughout a long text, each block
+with the good and with the bad dictionary that pack it best. The score is a logistic function of
+(size with bad dictionaries - size with good) / (larger of the two) alone, fitted on labelled rows that trained
+no dictionary. Labelled rows are a bounded sample: at most `per_class` rows of each label, those of least hash
+of doc_id, of texts up to `max_train_bytes`. Everything else reads whole texts of all rows.
 
 Defined cases: a null text is an empty text, which gets the score of difference 0; a null label trains
-nothing; without rows of both labels the score is 0.5; a null doc_id isn't held out; repeated rows are
+nothing; with fewer than 16 rows of either label the score is 0.5; dictionaries of equal size go by order; a null doc_id isn't held out; repeated rows are
 scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,45 +52,71 @@ def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> np
 
 @dataclass(frozen=True)
 class CompressionModel:
-    good: bytes
-    bad: bytes
+    good: tuple[bytes, ...]
+    bad: tuple[bytes, ...]
     weights: tuple[float, ...]
     level: int = 3
-    block_bytes: int = 4096
-
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
-        found = []
-        for raw in (self.good, self.bad):
-            dictionary = zstandard.ZstdCompressionDict(raw)
-            dictionary.precompute_compress(level=self.level)
-            found.append(zstandard.ZstdCompressor(level=self.level, dict_data=dictionary, write_content_size=False, write_dict_id=False))
-        return found
+    block_bytes: int = 512
 
     def sizes(self, texts: Iterable) -> np.ndarray:
-        """Bytes, and compressed bytes with the good and the bad dictionary, of each text (a buffer or None)."""
-        good, bad = (c.compress for c in self.compressors())
+        """Bytes, and compressed bytes with good and with bad dictionaries, of each text (a buffer or None)."""
+        good, bad = ([_compressor(raw, self.level) for raw in side] for side in (self.good, self.bad))
         rows = []
         for text in texts:
             view = memoryview(text or b"")
-            blocks = [view[i : i + self.block_bytes] for i in range(0, len(view), self.block_bytes)]
-            rows.append((len(view), sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)))
+            g = b = 0
+            for i in range(0, len(view), self.block_bytes):
+                block = view[i : i + self.block_bytes]
+                g += min([len(c(block)) for c in good])
+                b += min([len(c(block)) for c in bad])
+            rows.append((len(view), g, b))
         return np.array(rows, float).reshape(-1, 3)
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([calibration_terms(sizes), np.ones(len(sizes))]) @ np.array(self.weights), -30, 30)))
 
 
+def _compressor(raw: bytes, level: int):
+    dictionary = zstandard.ZstdCompressionDict(raw)
+    dictionary.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_dict_id=False).compress
+
+
 def difference(sizes: np.ndarray) -> np.ndarray:
     return (sizes[:, 2] - sizes[:, 1]) / np.maximum(np.maximum(sizes[:, 1], sizes[:, 2]), 1)
 
 
 def calibration_terms(sizes: np.ndarray) -> np.ndarray:
-    d, share = 10 * difference(sizes), sizes[:, 1] / np.maximum(sizes[:, 0], 1)
-    low = np.log(share + 0.02)
-    return np.column_stack([d, d * d, d**3, low, low * low, low**3, d * low, d * low * low])
-
-
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_train_bytes: int = 65536, dictionary_bytes: int = 112640, level: int = 3) -> CompressionModel | None:
+    """The difference and its powers, so that the curve needn't be symmetric."""
+    d = 10 * difference(sizes)
+    return np.column_stack([d, d * d, d**3])
+
+
+def _dictionary(texts: list[bytes], size: int, level: int, block: int, most: int) -> bytes:
+    """A dictionary from blocks of texts, `most` of them, spread evenly; the texts themselves where there are too few or too like."""
+    blocks = [t[i : i + block] for t in texts for i in range(0, len(t), block)]
+    blocks = blocks[:: -(-len(blocks) // most)]
+    try:
+        return zstandard.train_dictionary(size, blocks, level=level).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(blocks)[:size]
+
+
+def dictionaries(texts: list[bytes], many: int, size: int, level: int, block: int, rounds: int = 3, most: int = 6000) -> tuple[bytes, ...]:
+    """`many` dictionaries of texts, fewer if there are under 16 texts for each, grouped by which of them packs a text's first 4 KiB best."""
+    many = max(1, min(many, len(texts) // 16))
+    group = [i % many for i in range(len(texts))]
+    found: list[bytes] = []
+    for _ in range(rounds if many > 1 else 1):
+        own = [[t for t, g in zip(texts, group) if g == k] for k in range(many)]
+        found = [_dictionary(x if len(x) >= 8 else texts[k::many], size, level, block, most) for k, x in enumerate(own)]
+        packers = [_compressor(raw, level) for raw in found]
+        cost = [[sum(len(c(t[i : i + block])) for i in range(0, min(len(t), 4096), block)) for c in packers] for t in texts]
+        group = [x.index(min(x)) for x in cost]
+    return tuple(found)
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_train_bytes: int = 65536, dictionary_bytes: int = 112640, many: int = 6, block_bytes: int = 512, level: int = 3) -> CompressionModel | None:
     """labels (doc_id, quality). Rows of even hash rank train the dictionaries, the others the calibration."""
     texts = {}
     for label in (1, 0):
@@ -98,12 +125,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_trai
         texts[label] = [r.text.encode() for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(per_class).collect()]
     if min(map(len, texts.values())) < 16:
         return None
-    train = [zstandard.train_dictionary(dictionary_bytes, texts[k][::2], level=level).as_bytes() for k in (1, 0)]
-    model = CompressionModel(train[0], train[1], (), level)
+    good, bad = (dictionaries(texts[k][::2], many, dictionary_bytes, level, block_bytes) for k in (1, 0))
+    model = CompressionModel(good, bad, (), level, block_bytes)
     rest = texts[1][1::2], texts[0][1::2]
-    terms = calibration_terms(model.sizes([*rest[0], *rest[1]]))
-    w = logistic(terms, np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])]))
-    return CompressionModel(train[0], train[1], tuple(map(float, w)), level)
+    w = logistic(calibration_terms(model.sizes([*rest[0], *rest[1]])), np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])]))
+    return replace(model, weights=tuple(map(float, w)))
 
 
 def score(documents: DataFrame, model: CompressionModel | None) -> DataFrame:
