@@ -2,8 +2,8 @@
 
 A document's tokens are those of its whole text and one end-of-document id. Attention over a sequence
 costs `linear` a token and `quadratic` a squared piece length. Each task packs its own rows in blocks of
-`block_tokens`: pieces of descending length go to the sequence of lowest cost that still has room, cut
-where no low-cost sequence takes them whole. A block's sequences are full but for its last tokens,
+`block_tokens`: pieces of descending length go to the sequence of lowest cost that has room for them, the
+first of equals; where none takes a piece whole, that of lowest cost takes what fits. A block's sequences are full but for its last tokens,
 which fill sequences of descending powers of two, so nothing is padded. There is no shuffle, a task
 holds one block, and a lost task is run again on the same rows.
 
@@ -126,7 +126,7 @@ def tokenizer(path: str) -> CachedTokenizer:
     return _TOKENIZERS[path]
 
 
-def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, look: int = 8) -> list[tuple[int, int, int, int, int]]:
+def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these token counts."""
     out, rest, sequence = [], [], 0
     for doc, n in enumerate(lengths):
@@ -137,28 +137,44 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float,
             rest.append((-(n % capacity), doc, n - n % capacity))
     total = -sum(r[0] for r in rest)
     full = total // capacity
-    used = [0] * full
-    bins = [(0.0, i) for i in range(full)]
+    used, costs = [0] * full, [0.0] * full
+    # pieces come in descending length: a sequence without room waits by its room until they are short enough
+    ready: list[tuple[float, int]] = [(0.0, i) for i in range(full)]
+    waiting: list[list[int]] = [[] for _ in range(capacity)]
+    least: list[tuple[float, int]] = []  # of those that wait; entries of others are passed over
+    waits = [False] * full
     heapq.heapify(rest)
-    while bins:
+    free, wanted = full, capacity
+    while free:
         size, doc, start = heapq.heappop(rest)
-        size, passed, chosen = -size, [], None
-        while bins and len(passed) < look:
-            cost, i = heapq.heappop(bins)
-            if used[i] + size <= capacity:
-                chosen = cost, i
-                break
-            passed.append((cost, i))
-        if chosen is None:
-            chosen, passed = passed[0], passed[1:]
-        for x in passed:
-            heapq.heappush(bins, x)
-        cost, i = chosen
+        size = -size
+        for room in range(size, wanted):
+            for i in waiting[room]:
+                if waits[i] and capacity - used[i] == room:
+                    waits[i] = False
+                    heapq.heappush(ready, (costs[i], i))
+            waiting[room] = []
+        wanted = size
+        if ready:
+            _, i = heapq.heappop(ready)
+        else:
+            cost, i = heapq.heappop(least)
+            while not waits[i] or cost != costs[i]:
+                cost, i = heapq.heappop(least)
+            waits[i] = False
         part = min(size, capacity - used[i])
         out.append((doc, start, part, sequence + i, used[i]))
         used[i] += part
-        if used[i] < capacity:
-            heapq.heappush(bins, (cost + linear * part + quadratic * part * part, i))
+        costs[i] += linear * part + quadratic * part * part
+        room = capacity - used[i]
+        if not room:
+            free -= 1
+        elif room >= size:
+            heapq.heappush(ready, (costs[i], i))
+        else:
+            waits[i] = True
+            waiting[room].append(i)
+            heapq.heappush(least, (costs[i], i))
         if part < size:
             heapq.heappush(rest, (part - size, doc, start + part))
     sequence += full
