@@ -9,7 +9,7 @@ highest weights, the sum over its distinct words and its length, by which sums g
 probability.
 
 Labelled rows are a bounded sample: at most `per_class` toxic and twice as many other rows, those of least
-hash of doc_id. The lexicon keeps at most `most_features` entries, those of highest likelihood ratio.
+hash of doc_id. The lexicon holds all of their words and beginnings that pass a likelihood-ratio test.
 Counts of the character model and scores cover whole texts of all rows.
 
 Defined cases: a null text is an empty text and scores as one without evidence; null labels train nothing;
@@ -210,7 +210,7 @@ def _evidence(documents: DataFrame, model: ToxicityModel, extra: str = "") -> Da
     return documents.select("doc_id", "text", *[extra] * bool(extra)).mapInArrow(run, f"doc_id long, evidence array<double>, hits array<string>{kind}")
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, most_features: int = 20_000, least_rows: int = 8, least_ratio: float = 30.0) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, least_rows: int = 8, least_ratio: float = 30.0) -> ToxicityModel:
     """labels (doc_id, toxic). Half of the sample, by hash, makes the lexicon and the other half the curve."""
     costs = trigram_costs(count_trigrams(documents))
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
@@ -237,14 +237,13 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, most_fea
     if not clean or not toxic:
         return ToxicityModel(costs, {}, (*[0.0] * TERMS, math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
     part = lambda k, e: k * math.log(k / e) if k else 0.0
-    rated = []
-    for f, (c, t) in n.items():
+    weights = {}
+    for f, (c, t) in sorted(n.items()):
         weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         expected = (c + t) * toxic / (clean + toxic)
         ratio = 2 * (part(t, expected) + part(c, c + t - expected))
         if weight > 2.0 and ratio > least_ratio:
-            rated.append((ratio, f, weight))
-    weights = {f: w for _, f, w in sorted(rated, reverse=True)[:most_features]}
+            weights[f] = weight
     model = ToxicityModel(costs, weights, (0.0,) * (TERMS + 1))
     other = _evidence(rows.where("half = 1"), model, "toxic").select("evidence", "toxic").toPandas()
     if other.toxic.nunique() < 2:
