@@ -94,7 +94,7 @@ STATE = f"r, c, {r('o2', 'o2')}, {r('co2', 'co2')}"
 PATHS = f"""lines AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS pos FROM lineitem
 ), nodes AS (
-  SELECT l_orderkey * 1000 + pos AS node_id, (l_orderkey * {derived.APART})::DOUBLE AS y, (pos * 12 + l_partkey % 7)::DOUBLE AS x, l_orderkey, pos FROM lines
+  SELECT l_orderkey * 1000 + pos AS node_id, (l_orderkey * {derived.APART})::DOUBLE AS y, (pos * 4 + l_partkey % 3)::DOUBLE AS x, l_orderkey, pos FROM lines
 ), edges AS (
   SELECT * FROM (
     SELECT l_orderkey, pos, l_orderkey * 1000 + pos AS segment_id, l_orderkey * 1000 + pos AS start_node, lead(l_orderkey * 1000 + pos) OVER (PARTITION BY l_orderkey ORDER BY pos) AS end_node,

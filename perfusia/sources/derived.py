@@ -66,7 +66,7 @@ def path_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_nodes(lines: DataFrame) -> DataFrame:
     """Nodes (node_id, row, col, x, y): each order is a path in a row of its own."""
-    at = lines.select("node_id", (F.col("l_orderkey") * APART).cast("double").alias("row"), (F.col("pos") * 12 + F.col("l_partkey") % 7).cast("double").alias("col"))
+    at = lines.select("node_id", (F.col("l_orderkey") * APART).cast("double").alias("row"), (F.col("pos") * 4 + F.col("l_partkey") % 3).cast("double").alias("col"))
     return at.select("node_id", "row", "col", F.col("col").alias("x"), F.col("row").alias("y"))
 
 
