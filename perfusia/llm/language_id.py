@@ -26,11 +26,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfusia.llm.shared import Scratch, table
-from perfusia.llm.toxicity import SIZE, codes
+from perfusia.llm.toxicity import LETTERS
 
 UNKNOWN = "und"
 
 
+#: Codes of letters: 0 is no letter, then those of LETTERS, then codes that all other letters share.
+SIZE = 96
+SHARED = SIZE - len(LETTERS) - 1
+_CODES = np.array([1 + len(LETTERS) + c * 40503 % 65521 % SHARED if chr(c).isalpha() else 0 for c in range(0x10000)], np.int64)
+_CODES[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
+
+
+def codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    beyond = 1 + len(LETTERS) + points.astype(np.int64) * 40503 % 65521 % SHARED
+    return np.where(points < len(_CODES), _CODES[np.minimum(points, len(_CODES) - 1)], beyond)
+
+
 def trigrams(text: str) -> np.ndarray:
     c = codes(text)
     if len(c) > 1:
@@ -40,7 +53,9 @@ def trigrams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TextModel:
-    languages: tuple[str, ...]  # UNKNOWN is the last
+    """Log probabilities of trigrams for some languages; UNKNOWN is the last of the last part."""
+
+    languages: tuple[str, ...]
     logs: np.ndarray  # languages x trigrams
     full_at: int = 400
     strength: float = 0.25
@@ -59,77 +74,96 @@ class TextModel:
         return out
 
 
-def fit_text_model(documents: DataFrame, most_languages: int = 32, least_rows: int = 5) -> TextModel:
-    """From documents (text, lang), lang as declared; the commonest languages if there are more than most_languages."""
-    known = documents.where("lang is not null and lang <> '' and text is not null").select(F.lower(F.trim("lang")).alias("lang"), "text")
-    rows = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    languages = sorted(r.lang for r in rows if r.lang != UNKNOWN)
-    place = {x: i for i, x in enumerate(languages)}
+def fit_text_model(documents: DataFrame, scratch: Scratch, part: int = 16) -> list[TextModel]:
+    """From documents (text, lang), lang as declared: models of all languages, `part` in each."""
+    known = documents.where("lang is not null and text is not null").select(F.lower(F.trim("lang")).alias("lang"), "text").where(F.col("lang").isin("", UNKNOWN) == F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), SIZE**3), np.int64)
         for batch in batches:
+            found: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if lang in place:
-                    at, n = np.unique(trigrams(text.as_py()), return_counts=True)
-                    total[place[lang], at] += n
-        k, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(total[k, at])], ["k", "trigram", "n"])
-
-    counts = np.zeros((len(languages), SIZE**3))
-    if languages:  # at most a row for each language and trigram reaches the driver
-        found = known.mapInArrow(count, "k long, trigram long, n long").groupBy("k", "trigram").agg(F.sum("n").alias("n")).toPandas()
-        counts[found.k.to_numpy(int), found.trigram.to_numpy(int)] = found.n.to_numpy(float)
-    one = counts.sum(0).reshape(SIZE, SIZE, SIZE).sum((0, 1))
+                found.setdefault(lang, []).append(trigrams(text.as_py()))
+            for lang, grams in found.items():
+                at, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n)], ["lang", "trigram", "n"])
+
+    counted = scratch.keep(known.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")))
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    one = np.zeros(SIZE)
+    for r in counted.groupBy((F.col("trigram") % SIZE).alias("letter")).agg(F.sum("n").alias("n")).collect():
+        one[r.letter] = r.n
     single = (one + 1) / (one.sum() + SIZE)
-    logs = []
-    for c in counts.reshape(-1, SIZE, SIZE, SIZE):
-        two = c.sum(0)
-        p2 = (two + 20 * single) / (two.sum(1, keepdims=True) + 20)
-        logs.append(np.log((c + 5 * p2) / (c.sum(2, keepdims=True) + 5)).ravel())
-    shuffled = np.tile(np.log(0.5 * single + 0.5 / SIZE), SIZE * SIZE)
-    return TextModel((*languages, UNKNOWN), np.array([*logs, shuffled], np.float32))
-
-
-def _log_shares(counts: list[Column], towards: list[Column] | None, weight: float) -> Column:
-    """log((n + weight * towards) / (sum + weight)) for each language."""
-    total = sum(counts[1:], counts[0]) + F.lit(weight)
-    goal = towards or [F.lit(1 / len(counts))] * len(counts)
-    return F.array(*[(c + g * weight) / total for c, g in zip(counts, goal)])
-
-
-def identify(rows: DataFrame, model: TextModel, keep: list[str], scratch: Scratch, host_weight: float = 20.0, suffix_weight: float = 50.0) -> DataFrame:
+    shuffled = np.tile(np.log(0.5 * single + 0.5 / SIZE), SIZE * SIZE).astype(np.float32)
+    models = []
+    for first in range(0, max(len(languages), 1), part):
+        names = languages[first : first + part]
+        logs = []
+        # at most a row for each trigram and language of the part reaches the driver
+        rows = counted.where(F.col("lang").isin(names)).toPandas() if names else None
+        for name in names:
+            own = rows[rows.lang == name]
+            c = np.zeros(SIZE**3)
+            c[own.trigram.to_numpy(int)] = own.n.to_numpy(float)
+            c = c.reshape(SIZE, SIZE, SIZE)
+            two = c.sum(0)
+            p2 = (two + 20 * single) / (two.sum(1, keepdims=True) + 20)
+            logs.append(np.log((c + 5 * p2) / (c.sum(2, keepdims=True) + 5)).ravel().astype(np.float32))
+        if first + part >= len(languages):
+            names, logs = [*names, UNKNOWN], [*logs, shuffled]
+        models.append(TextModel(tuple(names), np.array(logs, np.float32)))
+    return models
+
+
+def _shares(counts: Column, size: int, towards: Column, weight: float) -> Column:
+    """(n + weight * towards) / (sum + weight) for each language, from a map of counts by place."""
+    total = F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, x: s + x) + weight
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (F.coalesce(F.try_element_at(counts, k), F.lit(0.0)) + weight * towards[k]) / total)
+
+
+def identify(rows: DataFrame, models: list[TextModel], keep: list[str], scratch: Scratch, host_weight: float = 20.0, suffix_weight: float = 50.0) -> DataFrame:
     """rows (text, declared, host, suffix) and the columns `keep`: adds language, confidence, text_language."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = model.languages
-    place = range(len(names))
+    names = [x for m in models for x in m.languages]
     renamed = [f"keep_{i}" for i in range(len(keep))]
-    slim = rows.select(*[F.col(c).alias(r) for c, r in zip(keep, renamed)], F.coalesce(F.lower(F.trim("declared")), F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                found = shared.value.evidence([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(list(found), pa.list_(pa.float64()))], [*part.schema.names[:-1], "ll"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    text = rows.select(
+        *[F.col(f"`{c}`").alias(r) for c, r in zip(keep, renamed)], F.coalesce(F.lower(F.trim("declared")), F.lit("")).alias("declared"),
+        F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), F.array().cast("array<double>").alias("ll"), "text",
+    )
+    for i, model in enumerate(models):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=i == len(models) - 1) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, len(batch), 256):
+                    part = batch.slice(first, 256)
+                    found = shared.value.evidence([t or "" for t in part.column("text").to_pylist()])
+                    ll = [before + own for before, own in zip(part.column("ll").to_pylist(), found.tolist())]
+                    columns = [*part.columns[:-2], pa.array(ll, pa.list_(pa.float64())), *part.columns[-1:]]
+                    yield pa.RecordBatch.from_arrays(columns[:-1] if last else columns, part.schema.names[:-1] if last else part.schema.names)
+
+        out = text.schema.fields[:-1] if i == len(models) - 1 else text.schema.fields
+        text = text.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out))
     # rows without text evidence vote for nothing
-    text = scratch.keep(slim.mapInArrow(run, f"{kinds}, ll array<double>").withColumn("top", F.when(F.array_max("ll") < 0, F.array_position("ll", F.array_max("ll")) - 1)))
-    voted = lambda by: text.groupBy(*by).agg(*[F.sum(F.when(F.col("top") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in place])
-    hosts = scratch.keep(voted(["suffix", "host"]))
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in place])
-    overall = hosts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"g{k}") for k in place]).first()
-    share = [(g + 1 / len(names)) / (sum(overall) + 1) for g in overall]
-    suffixes = suffixes.select("suffix", _log_shares([F.col(f"s{k}") for k in place], [F.lit(x) for x in share], suffix_weight).alias("p"))
-    priors = hosts.join(suffixes, "suffix").select("suffix", "host", F.transform(_log_shares([F.col(f"n{k}") for k in place], [F.element_at("p", k + 1) for k in place], host_weight), lambda x: F.log(x)).alias("prior"))
-    declared = voted(["declared"]).where("declared <> ''")
-    kinds_declared = declared.agg(F.count("*")).first()[0] or 1
+    text = scratch.keep(text.withColumn("top", F.when(F.array_max("ll") < 0, F.array_position("ll", F.array_max("ll")).cast("int") - 1)))
+    votes = scratch.keep(text.groupBy("suffix", "host", "declared", "top").agg(F.count("*").cast("double").alias("n")))
+
+    def counts(*by: str) -> DataFrame:
+        """A map from place to votes for each of `by`, with an entry a language at most."""
+        summed = votes.where("top is not null").groupBy(*by, "top").agg(F.sum("n").alias("n"))
+        lists = summed.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("top", "n"))).alias("votes"))
+        return votes.select(*by).distinct().join(lists, list(by), "left").select(*by, F.coalesce("votes", F.create_map().cast("map<int,double>")).alias("votes"))
+
+    overall = {r.top: r.n for r in votes.where("top is not null").groupBy("top").agg(F.sum("n").alias("n")).collect()}
+    totals = [overall.get(k, 0.0) for k in range(len(names))]
+    share = F.array(*[F.lit((g + 1 / len(names)) / (sum(totals) + 1)) for g in totals])
+    suffixes = counts("suffix").select("suffix", _shares(F.col("votes"), len(names), share, suffix_weight).alias("p"))
+    priors = counts("suffix", "host").join(suffixes, "suffix").select("suffix", "host", F.transform(_shares(F.col("votes"), len(names), F.col("p"), host_weight), lambda x: F.log(x)).alias("prior"))
+    declared = counts("declared").where("declared <> ''")
+    kinds_declared = votes.where("declared <> ''").select("declared").distinct().count() or 1
     # P(declaration | language): a language's own declarations and one of each kind more
-    spoken = [float(g) + kinds_declared for g in overall]
-    declared = declared.select("declared", F.array(*[F.log((F.col(f"n{k}") + 1.0) / spoken[k]) for k in place]).alias("said"))
-    nothing = F.array(*[F.lit(0.0)] * len(names))
+    spoken = F.array(*[F.lit(float(g) + kinds_declared) for g in totals])
+    declared = declared.select("declared", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.log((F.coalesce(F.try_element_at("votes", k), F.lit(0.0)) + 1.0) / spoken[k])).alias("said"))
+    nothing = F.array_repeat(F.lit(0.0), len(names))
     fused = (
         text.join(priors, ["suffix", "host"]).join(declared, "declared", "left")
         .withColumn("post", F.zip_with(F.zip_with("ll", "prior", lambda a, b: a + b), F.coalesce("said", nothing), lambda a, b: a + b))
@@ -140,7 +174,7 @@ def identify(rows: DataFrame, model: TextModel, keep: list[str], scratch: Scratc
         *[F.col(r).alias(c) for c, r in zip(keep, renamed)],
         F.element_at(language, F.array_position("post", best).cast("int")).alias("language"),
         (1 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("post")))).alias("confidence"),
-        F.when(F.col("top").isNotNull(), F.element_at(language, F.col("top").cast("int") + 1)).alias("text_language"),
+        F.when(F.col("top").isNotNull(), F.element_at(language, F.col("top") + 1)).alias("text_language"),
     )
 
 
@@ -156,9 +190,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_text_model(table(spark, sf_dir, "documents"))
+    scratch = Scratch(spark, "language")
+    models = fit_text_model(table(spark, sf_dir, "documents"), scratch)
     pages = page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    found = identify(pages, model, ["page_id", "declared", "host", "suffix"], Scratch(spark, "language"))
+    found = identify(pages, models, ["page_id", "declared", "host", "suffix"], scratch)
     return found.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", F.col("declared").alias("declared_language"), "host", "suffix")
 
 
