@@ -110,7 +110,7 @@ class Benchmark:
         if found is None:
             word = raw.strip(EDGES)
             found = self.words.get(word, -1) if word else -2
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[raw] = found
         return found

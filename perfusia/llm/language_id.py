@@ -80,11 +80,16 @@ def fit_text_model(documents: DataFrame, scratch: Scratch, part: int = 16) -> li
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(lang, []).append(trigrams(text.as_py()))
-            for lang, grams in found.items():
-                at, n = np.unique(np.concatenate(grams), return_counts=True)
+            found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for first in range(0, len(batch), 256):
+                part: dict[str, list[np.ndarray]] = {}
+                for lang, text in zip(batch.column(0).slice(first, 256).to_pylist(), batch.column(1).slice(first, 256)):
+                    part.setdefault(lang, []).append(trigrams(text.as_py()))
+                for lang, grams in part.items():
+                    found.setdefault(lang, []).append(np.unique(np.concatenate(grams), return_counts=True))
+            for lang, counts in found.items():
+                at, place = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([c[1] for c in counts]), len(at)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n)], ["lang", "trigram", "n"])
 
     counted = scratch.keep(known.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")))

@@ -116,14 +116,14 @@ class CachedTokenizer:
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], CachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> CachedTokenizer:
+def tokenizer(path: str, most: int) -> CachedTokenizer:
     """One a Python worker, kept from task to task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, most) not in _TOKENIZERS:
+        _TOKENIZERS[path, most] = CachedTokenizer(path, most)
+    return _TOKENIZERS[path, most]
 
 
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -192,12 +192,12 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1 / 2048, text_batch: int = 1 << 22) -> DataFrame:
-    """Pieces of documents (doc_id, text) in columns PIECES."""
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1 / 2048, text_batch: int = 1 << 22, cached: int = 800_000) -> DataFrame:
+    """Pieces of documents (doc_id, text) in columns PIECES. cached: parts of texts whose ids a worker keeps."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(tokenizer_path)
+        coder = tokenizer(tokenizer_path, cached)
         base, sequences = TaskContext.get().partitionId() << 40, 0
         ids, tokens, held = [], [], 0
 

@@ -30,7 +30,7 @@ from perfusia.llm.shared import Scratch, table
 CHUNK = 1 << 22  # bytes of a text whose anchors are found at once
 #: Words of a passage of over 50; bytes of a window that finds them: 99.9 % of the runs of 51 words in the given documents have as many.
 OVER_WORDS, PASSAGE, PASSAGE_ANCHORS = 51, 200, (64, 168, 192, 198)
-BATCH = 1 << 20  # bytes of texts that are worked on together, a longer one apart
+BATCH = 1 << 18  # bytes of texts that are worked on together, a longer one apart
 PASSAGES = "doc_id long, tkey long, start long, stop long, h long, d long, self boolean"
 
 
