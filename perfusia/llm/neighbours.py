@@ -169,7 +169,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, block
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 ranks = np.argsort(np.argsort(-sims, axis=1), axis=1)
-                for i, j, kind in ((*np.nonzero((sims > worst[:, None] + 1e-6) & (ranks < max(k, len(ids) // 4))), 0), (*_forest(sims >= threshold), 2)):
+                for i, j, kind in ((*np.nonzero((sims > worst[:, None] + 1e-6) & (ranks < k)), 0), (*_forest(sims >= threshold), 2)):
                     found.append((ids[i], ids[j], sims[i, j], np.full(len(i), kind)))
             if found:
                 yield _batch([np.concatenate(c) for c in zip(*found)], *EDGE)
