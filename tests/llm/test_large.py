@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from perfusia.llm import decontaminate, language_id, neighbours, packing, quality, repeats, shared, similar, simhash, toxicity, warc
 
@@ -43,19 +44,59 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 2000])
-def test_repeats_match_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "finer"), [(1 << 18, {}), (2000, {}), (1 << 18, {"finer": 200, "finer_anchors": (64, 168)}), (1000, {"finer": 200, "finer_anchors": (64, 168)})])
+def test_repeats_match_brute_force(spark, hot, finer):
     rng = random.Random(3)
     shared_passage, line = words(rng, 120), words(rng, 30)
     texts = [words(rng, rng.randrange(1, 400)) for _ in range(20)]
     texts += [words(rng, 60) + " " + shared_passage + " " + words(rng, 60) for _ in range(12)]
     texts += [texts[0]] * 3 + [texts[1] + " tail", "é" + texts[2], None, "", "x" * 399, "x" * 400, "ab" * 900, "abc" * 300 + words(rng, 50) + "abc" * 300]
     texts += [line + words(rng, 90) + line + words(rng, 90), words(rng, 100) + " " + (edit := words(rng, 150)), words(rng, 20) + edit[:600] + "!" + edit[601:]]
-    found = {r.doc_id: r for r in repeats.repeats(docs(spark, enumerate(texts)), hot_bytes=hot, block_bytes=20000).collect()}
-    for i, want in enumerate(brute_repeats(texts, 400)):
-        raw, spans = bytes(found[i].bytes), repeats.merged([s.asDict() for s in found[i].spans or []])
-        kept = repeats.kept(raw, spans)
-        assert (len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) == want, (i, want)
+    found = {r.doc_id: r for r in repeats.repeats(docs(spark, enumerate(texts)), hot_bytes=hot, block_bytes=20000, **finer).collect()}
+    for column, length in (("spans", 400), ("finer_spans", 200))[: 1 + bool(finer)]:
+        for i, want in enumerate(brute_repeats(texts, length)):
+            raw, spans = bytes(found[i].bytes), repeats.merged([s.asDict() for s in found[i][column] or []])
+            kept = repeats.kept(raw, spans)
+            assert (len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) == want, (column, i, want)
+
+
+def test_matching_statistics_match_brute_force():
+    rng = random.Random(21)
+    for _ in range(40):
+        passages = [bytes(rng.choice(b"ab\0c"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 6))]
+        passages += passages[:1] * rng.randrange(2)
+        want = []
+        for i, p in enumerate(passages):
+            for a in range(len(p) + 1):
+                lengths = [next((n for n in range(len(p) - a + 1) if a + n >= len(p) or b + n >= len(q) or p[a + n] != q[b + n]), 0) for j, q in enumerate(passages) for b in range(len(q)) if (i, a) != (j, b)]
+                want.append(max(lengths, default=0))
+        index = repeats.RunLengthIndex(passages)
+        assert index.matching_statistics().tolist() == want and index.run_lengths.sum() == len(want)
+
+
+def test_passages_of_long_texts_and_of_many_texts_are_the_same(monkeypatch):
+    rng = random.Random(22)
+    texts = [words(rng, n).encode() for n in (1, 50, 200, 0, 90)] + [b"ab" * 300]
+    whole = [tuple(x[k].item() for x in found) for found in [repeats.passages_of(texts, 200, 64)] for k in range(len(found[0]))]
+    apart = [(i, *(x[k].item() for x in found[1:])) for i, t in enumerate(texts) for found in [repeats.passages_of([t], 200, 64)] for k in range(len(found[0]))]
+    assert whole == apart and {w[0] for w in whole} == {1, 2, 4, 5} and all(w[5] for w in whole if w[0] == 5)
+    bytes_of = defaultdict(set)
+    for i, a, b, h, d, _ in whole:
+        bytes_of[h, d, b - a].add(texts[i][a:b])
+    assert all(len(x) == 1 for x in bytes_of.values())
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 63, 64, 100, 120, 1000, 1100, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for s in sets]
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i)])
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
+    for kind in (0, 1):
+        seen = similar.fewest_differing([similar.parities(s, similar.sketch_bits(len(s))[kind]) for s in sets], *pairs.T)
+        assert (seen <= true).all() and ((true - seen) % 2 == 0).all()
+    least = np.array([min(len(sets[i]), len(sets[j])) for i, j in pairs])
+    assert seen[(true > 500) & (least >= 900)].min() > 300
 
 
 def test_repeats_of_an_empty_table_and_stripping(spark):
@@ -118,8 +159,8 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_copies_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "turns"), [(256, 0), (4, 2)])
+def test_near_copies_match_brute_force(spark, block, turns):
     rng = random.Random(15)
     line = words(rng, 12)
     texts = [words(rng, 60) + " " + line for _ in range(20)]
@@ -133,7 +174,7 @@ def test_near_copies_match_brute_force(spark, block):
     texts += [None, "", " \t", "One", "one", "Two words", "two words", texts[0].upper(), texts[1] + " end"]
     rng.shuffle(texts)
     frame = docs(spark, enumerate(texts)).selectExpr("doc_id as k", "text")
-    named = {r.k: r.component for r in similar.near_copies(frame, ("k",), sample=5, block=block).collect()}
+    named = {r.k: r.component for r in similar.near_copies(frame, ("k",), sample=5, block=block, turns=turns).collect()}
     sets = [five_words(t) for t in texts]
     want = brute_components(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
     least = {}
@@ -161,6 +202,28 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_two_tight_groups_linked_across_are_one_component(spark):
+    rng = np.random.default_rng(2)
+    axis = np.eye(32)[0]
+    turned = np.cos(0.17) * axis + np.sin(0.17) * np.eye(32)[1]  # cosine 0.9856
+    rows = [(i, (v + rng.standard_normal(32) * 0.002).tolist(), 0) for i, v in enumerate([axis] * 100 + [turned] * 100)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), enlarged=16)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {r.vec_id: r for r in found.found.collect()}
+    assert found.recall == 1 and found.links_audited > 0
+    assert {r.component_id for r in got.values()} == {0} and [got[i].n_links for i in range(200)] == ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+
+
+def test_a_search_that_finds_too_little_is_an_error(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(16)[i % 16] + rng.standard_normal(16) * 0.02).tolist(), 0) for i in range(160)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(neighbours, "_forest", lambda near, joined=None: (np.zeros(0, int), np.zeros(0, int)))
+    with pytest.raises(ArithmeticError, match="audited links"):
+        neighbours.near_duplicates(frame, rounds=1, leaf=16)
+
+
 def test_packing_is_an_exact_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -188,6 +251,43 @@ def test_packing_is_an_exact_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0 and at < 2048
 
 
+def plain_balance(lengths, capacity, linear, quadratic):
+    """The same choices by looking at every sequence."""
+    pieces, rest, first = [], [], 0
+    for d, n in enumerate(lengths):
+        for start in range(0, n - n % capacity, capacity):
+            pieces.append((d, start, capacity, first, 0))
+            first += 1
+        rest += [(n % capacity, d, n - n % capacity)] * (n % capacity > 0)
+    full = sum(r[0] for r in rest) // capacity
+    used, cost = [0] * full, [0.0] * full
+    while any(u < capacity for u in used):
+        rest.sort(key=lambda r: (-r[0], r[1], r[2]))
+        n, d, start = rest.pop(0)
+        fits = [i for i in range(full) if capacity - used[i] >= n] or [i for i in range(full) if used[i] < capacity]
+        i = min(fits, key=lambda i: (cost[i], i))
+        part = min(n, capacity - used[i])
+        pieces.append((d, start, part, first + i, used[i]))
+        used[i] += part
+        cost[i] += linear * part + quadratic * part * part
+        rest += [(n - part, d, start + part)] * (part < n)
+    return pieces
+
+
+def test_pieces_go_to_the_lowest_cost_with_room():
+    rng = random.Random(23)
+    for capacity in (8, 32, 128):
+        for _ in range(25):
+            lengths = [rng.choice([1, 2, capacity // 2, capacity, rng.randrange(1, 3 * capacity)]) for _ in range(rng.randrange(0, 60))]
+            want = plain_balance(lengths, capacity, 1.0, 1 / capacity)
+            got = packing.balance(lengths, capacity, 1.0, 1 / capacity)
+            assert got[: len(want)] == want and sum(p[2] for p in got) == sum(lengths)
+            tail = defaultdict(int)
+            for p in got[len(want) :]:
+                tail[p[3]] += p[2]
+            assert all(n & (n - 1) == 0 for n in tail.values()) and len(set(tail.values())) == len(tail)
+
+
 def test_warc_ranges_own_each_record_once(spark):
     rng = random.Random(4)
     pages = [(i, f"http://h{i % 3}.org/{i}", words(rng, rng.randrange(0, 400))) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "u", "same"), (53, "u\r\nX: y", "same"), (None, "u", "same"), (54, "u", "\x1f\x8b\x08WARC/1.1")]
@@ -259,6 +359,49 @@ def test_deobfuscation_restores_words():
     assert toxicity.Restorer(costs).restore("The i d i o t was tr@$h, 1234!") == "the idiot was trash 1234!".replace("trash ", toxicity.decode("tr@$h", costs) + " ")
 
 
+def readings(span):
+    """(cost of the channel, codes, letters) of every reading of a span, by plain recursion."""
+    t, parted = toxicity, toxicity.SPACED.fullmatch(span) is not None
+
+    def grow(i, last, run):
+        if i == len(span):
+            yield 0.0, (), ""
+            return
+        c, separator = span[i], parted and i % 2 == 1 and span[i] in t.SEPARATORS
+        if not separator:
+            run, last = (run + 1 if c == last else 0), c
+        if separator:
+            options = [(t.PARTED, (0,), " "), (t.JOINED, (), "")]
+        elif c.isalpha():
+            options = [(0.0, (t._code(c),), c)]
+        else:
+            options = [(t.SUBSTITUTED, (t._code(x),), x) for x in t.LOOKALIKES.get(c, "")]
+        if not separator and run:
+            options.append((t.SECOND if run == 1 else t.REPEATED, (), ""))
+        elif not separator and not c.isalpha():
+            options.append((t.DROPPED, (0,), " "))
+        for cost, codes, letters in options:
+            for more, rest, tail in grow(i + 1, last, run):
+                yield cost + more, codes + rest, letters + tail
+
+    return grow(0, "", 0)
+
+
+def test_viterbi_finds_the_cheapest_of_all_readings():
+    rng = random.Random(24)
+    counts = np.random.default_rng(5).integers(0, 50, toxicity.SIZE**3) * (np.random.default_rng(6).random(toxicity.SIZE**3) < 0.05)
+    costs = toxicity.trigram_costs(counts)
+
+    def price(codes):
+        path = (0, 0, *codes, 0)
+        return sum(float(costs[(a * toxicity.SIZE + b) * toxicity.SIZE + c]) for a, b, c in zip(path, path[1:], path[2:]))
+
+    spans = ["1d10t", "a b c d", "i.d.1.o.t", "aabb1!", "$$$", "**x"] + ["".join(rng.choice("aab1!*$e3") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    for span in spans:
+        best = min((cost + price(codes), letters) for cost, codes, letters in readings(span))
+        assert toxicity.decode(span, costs) == best[1], (span, best)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
@@ -272,6 +415,32 @@ def labelled(spark):
     return docs(spark, [*rows, (None, None), (900, "")]), spark.createDataFrame([*labels, (901, None, None)], "doc_id long, quality int, toxic int")
 
 
+def brute_size(text, sides, block):
+    total = [0, 0]
+    for i in range(0, len(text), block):
+        for k, side in enumerate(sides):
+            found = []
+            for raw in side:
+                coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+                found.append(len(coder.compress(text[i : i + block])))
+            total[k] += min(found)
+    return total
+
+
+def test_quality_scores_match_plain_compression(spark, labelled):
+    documents, labels = labelled
+    model = quality.fit(documents, labels, per_class=200, dictionary_bytes=2048, many=3)
+    assert len(model.good) == len(model.bad) == 3
+    extra = docs(spark, [(0, "same text"), (0, "same text"), (1, None), (2, ""), (3, "w1 W2% " * 30_000), (4, "é猫" * 700), (5, "W1%%% W2%%% W3%%%")])
+    rows = quality.score(extra, model).collect()
+    assert len(rows) == 7 and len({(r.score, r.difference) for r in rows if r.doc_id == 0}) == 1
+    for r, text in zip(sorted(rows, key=lambda r: r.doc_id), ["same text"] * 2 + ["", "", "w1 W2% " * 30_000, "é猫" * 700, "W1%%% W2%%% W3%%%"]):
+        good, bad = brute_size(text.encode(), (model.good, model.bad), 512)
+        d = (bad - good) / max(good, bad, 1)
+        assert abs(r.difference - d) < 1e-12
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(np.dot([10 * d, 100 * d * d, 1000 * d**3, 1], model.weights), -30, 30)))) < 1e-9
+
+
 def test_quality_learns_and_handles_edges(spark, labelled):
     documents, labels = labelled
     model = quality.fit(documents, labels, per_class=300, dictionary_bytes=4096)
@@ -295,8 +464,8 @@ def test_toxicity_learns_and_handles_edges(spark, labelled):
 def test_language_fusion(spark):
     english, german = "the cat and the dog were in the house with a friend", "der hund und die katze waren mit einem freund im haus"
     train = spark.createDataFrame([(english, "en"), (german, "de")] * 20 + [(None, "en"), (english, None)], "text string, lang string")
-    model = language_id.fit_text_model(train)
-    assert model.languages == ("de", "en", "und")
+    model = language_id.fit_text_model(train, shared.Scratch(spark, "language"))
+    assert [m.languages for m in model] == [("de", "en", "und")]
     pages = [(1, "http://a.de/x", f"<html lang='de'><p>{german}</p>"), (2, "http://b.com", f'<HTML LANG="en"><script>der die das</script>{english}'), (3, "http://a.de/y", ""), (4, None, None), (5, "nonsense", "<p>zqx jkv wpf xqz vkj fpw qzx kvj" + " xq zj kv wp" * 20)]
     pages += [(10 + i, "http://a.de/z", f"<html lang=de>{german}") for i in range(8)]
     frame = language_id.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"))
@@ -304,7 +473,70 @@ def test_language_fusion(spark):
     assert [got[i].language for i in (1, 2, 3, 5)] == ["de", "en", "de", "und"] and len(got) == len(pages)
     assert got[3].text_language is None and got[2].host == "b.com" and all(0 < r.confidence <= 1 for r in got.values())
     assert language_id.identify(frame.limit(0), model, ["page_id"], shared.Scratch(spark, "language")).count() == 0
-    assert language_id.fit_text_model(train.limit(0)).languages == ("und",)
+    nothing = language_id.fit_text_model(train.limit(0), shared.Scratch(spark, "language"))
+    assert [m.languages for m in nothing] == [("und",)]
+    assert {r.language for r in language_id.identify(frame, nothing, ["page_id"], shared.Scratch(spark, "language")).collect()} == {"und"}
+
+
+def brute_posterior(train, rows, full_at=400, strength=0.25, host_weight=20.0, suffix_weight=50.0):
+    """Languages and their posteriors, from counts by plain dictionaries."""
+    size, languages = language_id.SIZE, sorted({x.strip().lower() for _, x in train if x})
+    counts = {x: defaultdict(int) for x in languages}
+    one = [0] * size
+    grams = lambda t: [(g // size // size, g // size % size, g % size) for g in language_id.trigrams(t or "").tolist()]
+    for text, lang in train:
+        if lang and text is not None:
+            for g in grams(text):
+                counts[lang.strip().lower()][g] += 1
+                one[g[2]] += 1
+    single = [(x + 1) / (sum(one) + size) for x in one]
+    names = [*languages, "und"]
+
+    def log_p(name, g):
+        if name == "und":
+            return np.log(0.5 * single[g[2]] + 0.5 / size)
+        c = counts[name]
+        two, of_two = sum(n for h, n in c.items() if h[1:] == g[1:]), sum(n for h, n in c.items() if h[1] == g[1])
+        return np.log((c[g] + 5 * (two + 20 * single[g[2]]) / (of_two + 20)) / (sum(n for h, n in c.items() if h[:2] == g[:2]) + 5))
+
+    ll, top = [], []
+    for text, *_ in rows:
+        own = grams(text)
+        ll.append([sum(log_p(x, g) for g in own) / len(own) * min(len(own), full_at) * strength if own else 0.0 for x in names])
+        top.append(int(np.argmax(ll[-1])) if own else None)
+    places = range(len(names))
+    votes = lambda keep: [float(sum(t == k and keep(r) for t, r in zip(top, rows))) for k in places]
+    smooth = lambda n, towards, w: [(x + w * y) / (sum(n) + w) for x, y in zip(n, towards)]
+    total = votes(lambda r: True)
+    share = smooth(total, [1 / len(names)] * len(names), 1.0)
+    kinds = len({r[1] for r in rows if r[1]}) or 1
+    out = []
+    for (_, declared, host, suffix), own in zip(rows, ll):
+        prior = smooth(votes(lambda r: r[2:] == (host, suffix)), smooth(votes(lambda r: r[3] == suffix), share, suffix_weight), host_weight)
+        said = votes(lambda r: r[1] == declared) if declared else None
+        post = [own[k] + np.log(prior[k]) + (np.log((said[k] + 1) / (total[k] + kinds)) if said else 0) for k in places]
+        out.append((names[int(np.argmax(post))], 1 / sum(np.exp(np.array(post) - max(post)))))
+    return out
+
+
+@pytest.mark.parametrize("part", [16, 2])
+def test_language_posteriors_match_brute_force_in_several_scripts(spark, part):
+    plain = {
+        "en": "the cat and the dog were in the house", "de": "der hund und die katze im haus", "ru": "кошка и собака были в доме с другом", "uk": "кішка і собака були в будинку з другом",
+        "el": "η γάτα και ο σκύλος ήταν στο σπίτι", "zh": "猫和狗在房子里和朋友在一起 我们都在这里", "ja": "ねことイヌはともだちといえにいました", "ar": "القط والكلب كانا في البيت مع صديق", "xx": "one row only is enough",
+    }
+    train = [(t, x) for x, t in plain.items() for _ in range(1 if x == "xx" else 5)] + [(None, "en"), ("und text", "und"), ("no language", None), ("", "de")]
+    rows = [(t, "", f"h{i % 3}", "org" if i % 2 else "") for i, t in enumerate(plain.values())]
+    rows += [(plain["ru"], "uk", "h0", ""), (None, "el", "h1", "org"), ("", "", "h1", "org"), (plain["zh"] * 40, "ja", "h9", "cn"), ("same", "", "h0", ""), ("same", "", "h0", ""), ("zqxj vkw", "en", "h0", "")]
+    scratch = shared.Scratch(spark, "language")
+    model = language_id.fit_text_model(spark.createDataFrame(train, "text string, lang string"), scratch, part)
+    assert sum(len(m.languages) for m in model) == 10 and max(len(m.languages) for m in model) <= part + 1
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, declared string, host string, suffix string")
+    got = {r.id: r for r in language_id.identify(frame, model, ["id"], scratch).collect()}
+    want = brute_posterior([(t, x) for t, x in train if x != "und"], rows)
+    assert [got[i].language for i in range(len(rows))] == [w[0] for w in want]
+    assert np.allclose([got[i].confidence for i in range(len(rows))], [w[1] for w in want], atol=1e-3)
+    assert [got[i].language for i in range(8)] == list(plain)[:8]
 
 
 def test_components_of_a_long_path(spark):

@@ -86,6 +86,40 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             assert len(found) == len(rows)
 
 
+NAMES = ["_id", "_text", "col1", "bytes", "had_repeats", "fp", "component", "tkey", "spans", "node", "base", "h", "language", "declared", "host", "more", "a b", "c0"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    passage = prose(rng, 90)
+    rows = [(i, prose(rng, 60) + (" " + passage if i < 3 else ""), "en", "s", 9, *(f"{n}{i}" for n in NAMES)) for i in range(8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` string" for n in NAMES)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.columns, name
+        got = out.collect()
+        assert len(got) == len(rows), name
+        assert all(r[5:] == tuple(f"{n}{r.doc_id}" for n in NAMES) for r in got), name
+        if name == "repeated_passages":
+            assert sum(r.text == rows[r.doc_id][1] for r in got) == 5
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() >= 8
+
+
+def test_texts_in_no_language_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 60), "en", f"s{i % 2}", 9) for i in range(100)]
+    noise = [(300 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)), x, "s1", 9) for i, x in enumerate([None, None, ""])]
+    docs = spark.createDataFrame([*rows, *noise, (200, "", "en", "s0", 0), (201, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert {*range(100)} <= got and got & {300, 301, 302} == set()
+
+
 def test_near_copies_with_a_few_edits_go(spark):
     import corpus_pipeline
 
