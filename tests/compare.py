@@ -22,6 +22,8 @@ def duck(sf_dir: str):
 
 def normal(frame):
     frame = frame[sorted(frame.columns)]
+    whole = [c for c in frame if frame[c].dtype.kind == "f" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all()]
+    frame = frame.astype(dict.fromkeys(whole, "Int64"))  # integers with nulls among them
     return sorted(map(repr, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
