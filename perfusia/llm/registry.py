@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perfusia.llm import chat_format, decontaminate, language_id, neighbours, packing, quality, repeats, resample, simhash, toxicity, vantage, warc
+from perfusia.llm import chat_format, decontaminate, language_id, negatives, neighbours, packing, quality, repeats, resample, simhash, toxicity, vantage, warc
 
-_MODULES = (repeats, neighbours, quality, packing, language_id, warc, simhash, chat_format, toxicity, decontaminate, vantage, resample)
+_MODULES = (repeats, neighbours, quality, packing, language_id, warc, simhash, chat_format, toxicity, decontaminate, negatives, vantage, resample)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
