@@ -1,9 +1,9 @@
 """Pressure-driven flow: conservation at every node whose pressure isn't given.
 
 Components are solved apart. Those of up to `dense` unknown nodes are gathered, some hundreds of small
-systems to a task, and solved directly. Of larger ones chains are taken out first, round by round and exactly;
-what is left is solved directly if it has become small, else by preconditioned conjugate gradients whose
-matrix product is a join and a sum, so no task holds a large component.
+systems to a task, and solved directly. Larger ones are decomposed (perfusia.operators.dissect): the inside of each part is
+eliminated in its own task, level by level. Where the interface between parts is too large for that, as in networks without small
+separators, preconditioned conjugate gradients take over; their matrix is laid out once, in buckets by column, and a product moves vectors only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
+from perfusia.operators import dissect
 from perfusia.operators.network import component_labels, incidence, measured
 from perfusia.sources.scratch import Scratch
 
@@ -40,87 +41,58 @@ def pressure_system(conductances: DataFrame, fixed: DataFrame) -> tuple[DataFram
     return diagonal.union(off), right
 
 
-def _solve_small(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Direct solution of each component among the rows (component, a, b, value): conductances between two nodes, and pressures of
-    fixed nodes with a null b. Components of as many unknown nodes are solved as one stack of matrices."""
-    known, links = pdf[pdf.b.isna()], pdf[pdf.b.notna()]
-    start, end, g = links.a.to_numpy(), links.b.to_numpy().astype("int64"), links.value.to_numpy()
-    order = np.argsort(known.a.to_numpy())
-    fixed, pressure = known.a.to_numpy()[order], known.value.to_numpy()[order]
-
-    def at(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Places in sorted ids, -1 where there is none."""
-        i = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
-        return np.where(ids[i] == x, i, -1) if len(ids) else np.full(len(x), -1)
-
-    rows = np.concatenate([start, end])
-    unknown, first_seen = np.unique(rows, return_index=True)
-    open_ = at(fixed, unknown) < 0
-    unknown, owner = unknown[open_], np.concatenate([links.component.to_numpy()] * 2)[first_seen[open_]]
+def network_of(live: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (component, a, b, g), a < b, between unknown nodes and their ground (component, node, g, right), from conductances
+    (a, b, g) and all nodes (node_id, component, pressure), the pressure null where it isn't given. Whatever is fixed around a node is summed up, so a hub has one row."""
+    side = lambda c: known.select(F.col("node_id").alias(c), F.col("pressure").alias(f"{c}_pressure"), "component")
+    both = live.join(side("a"), "a").join(side("b").drop("component"), "b")
+    links = both.where("a_pressure is null and b_pressure is null").groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("g").alias("g"))
+    open_ = both.where("(a_pressure is null) <> (b_pressure is null)")
+    node = F.when(F.col("a_pressure").isNull(), F.col("a")).otherwise(F.col("b"))
+    ground = open_.groupBy("component", node.alias("node")).agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.coalesce("a_pressure", "b_pressure")).alias("right"))
+    return links, ground
+
+
+def _stacks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Direct solution of each component among rows (component, a, b, g, right): links and, with a null b, ground. Components of as
+    many unknown nodes are solved as one stack of matrices."""
+    linked = rows.b.notna().to_numpy()
+    a, b, g = rows.a.to_numpy(np.int64), rows.b.fillna(0).to_numpy(np.int64)[linked], rows.g.to_numpy(float)
+    unknown, seen = np.unique(np.concatenate([a, b]), return_index=True)
+    component = rows.component.to_numpy()
+    owner = np.concatenate([component, component[linked]])[seen]
     by = np.lexsort((unknown, owner))
     _, first, of, sizes = np.unique(owner[by], return_index=True, return_inverse=True, return_counts=True)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    row, col = (np.where(i >= 0, place[np.maximum(i, 0)], -1) if len(place) else i for i in (at(unknown, rows), at(unknown, np.concatenate([end, start]))))
-    g = np.concatenate([g, g])
-    outer = at(fixed, np.concatenate([end, start]))
-    right = np.zeros(len(by))
-    pick = (row >= 0) & (outer >= 0)
-    np.add.at(right, row[pick], g[pick] * pressure[outer[pick]])
+    i, j = place[np.searchsorted(unknown, a)], place[np.searchsorted(unknown, b)]
+    right, diagonal = np.zeros(len(by)), np.zeros(len(by))
+    np.add.at(right, i[~linked], rows.right.to_numpy(float)[~linked])
+    np.add.at(diagonal, i, g)
+    np.add.at(diagonal, j, g[linked])
     out = np.empty(len(by))
     for n in np.unique(sizes):
         own = np.flatnonzero(sizes == n)
         slot = np.full(len(sizes), -1)
         slot[own] = np.arange(len(own))
-        a = np.zeros((len(own), n, n))
-        mine = np.flatnonzero((row >= 0) & (slot[of[row]] >= 0))
-        k = of[row[mine]]
-        np.add.at(a, (slot[k], row[mine] - first[k], row[mine] - first[k]), g[mine])
-        mine = mine[col[mine] >= 0]
-        k = of[row[mine]]
-        np.subtract.at(a, (slot[k], row[mine] - first[k], col[mine] - first[k]), g[mine])
         where = first[own][:, None] + np.arange(n)
-        scale = np.abs(a).max(axis=(1, 2))
-        out[where] = np.linalg.solve(a / scale[:, None, None], (right[where] / scale[:, None])[:, :, None])[:, :, 0]
+        matrix = np.zeros((len(own), n, n))
+        matrix[:, np.arange(n), np.arange(n)] = diagonal[where]
+        mine = slot[of[j]] >= 0
+        k, p, q = of[j[mine]], i[linked][mine], j[mine]
+        for x, y in ((p, q), (q, p)):
+            np.subtract.at(matrix, (slot[k], x - first[k], y - first[k]), g[linked][mine])
+        scale = np.sqrt(diagonal[where])
+        out[where] = np.linalg.solve(matrix / scale[:, :, None] / scale[:, None, :], (right[where] / scale)[:, :, None])[:, :, 0] / scale
     return pd.DataFrame({"node_id": unknown[by], "pressure": out})
 
 
-def eliminate_chains(links: DataFrame, fixed: DataFrame, scratch: Scratch, enough: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b, g), a < b, without their chains, and the nodes taken out, round by round, as (node, p, gp, q, gq).
-
-    In each round those unknown nodes with one or two neighbours leave whose hash is the least among such neighbours, a third of them
-    or more: one with two neighbours becomes a link of both conductances in series, one with a single neighbour goes. It ends
-    with `enough` links or fewer, or when no such node is left. Pressures of those taken out follow from their neighbours', the last round first.
-    """
-    taken = []
-    while True:
-        if links.count() <= enough:
-            return links, taken
-        sides = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "g").union(links.select("b", "a", "g"))
-        light = sides.groupBy("node").agg(F.count("*").alias("degree"), F.min(F.struct("other", "g")).alias("p"), F.max(F.struct("other", "g")).alias("q")).where("degree <= 2")
-        light = scratch.keep(light.join(fixed.select(F.col("node_id").alias("node")), "node", "left_anti").withColumn("turn", F.struct(F.xxhash64("node", F.lit(len(taken))), "node")))
-        turn = lambda c: light.select(F.col("node").alias(c), F.col("turn").alias(f"{c}_turn"))
-        flat = light.select("node", "degree", "turn", F.col("p.other").alias("p"), F.col("p.g").alias("gp"), F.col("q.other").alias("q"), F.col("q.g").alias("gq"))
-        least = flat.join(turn("p"), "p", "left").join(turn("q"), "q", "left").where("(p_turn is null or turn < p_turn) and (q_turn is null or turn < q_turn)")
-        out = scratch.keep(least.select("node", "degree", "p", "gp", "q", "gq"))
-        if not out.limit(1).count():
-            return links, taken
-        gone = out.select("node")
-        rest = links.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b", "g")
-        made = out.where("degree = 2").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("gp") * F.col("gq") / (F.col("gp") + F.col("gq"))).alias("g"))
-        links = scratch.keep(rest.union(made).groupBy("a", "b").agg(F.sum("g").alias("g")))
-        taken.append(out)
-
-
-def restore_chains(pressures: DataFrame, taken: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """(node_id, pressure) with the nodes that eliminate_chains took out."""
-    known = pressures.select("node_id", "pressure")
-    for out in reversed(taken):
-        at = lambda c, known=known: known.select(F.col("node_id").alias(c), F.col("pressure").alias(f"{c}_pressure"))
-        share = F.col("gp") / (F.col("gp") + F.col("gq"))
-        own = out.join(at("p"), "p").join(at("q"), "q").select(F.col("node").alias("node_id"), (F.col("p_pressure") * share + F.col("q_pressure") * (1 - share)).alias("pressure"))
-        known = scratch.keep(known.union(own))
-    return known
+def system_of(links: DataFrame, ground: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matrix entries (row, col, value) and right side (row, value) of a network."""
+    sides = links.select(F.col("a").alias("row"), F.col("b").alias("col"), "g").union(links.select("b", "a", "g"))
+    diagonal = sides.select("row", "g").union(ground.select("node", "g")).groupBy("row").agg(F.sum("g").alias("value")).select("row", F.col("row").alias("col"), "value")
+    matrix = diagonal.union(sides.groupBy("row", "col").agg(-F.sum("g")))
+    return matrix, diagonal.select("row").join(ground.select(F.col("node").alias("row"), F.col("right").alias("value")), "row", "left").na.fill(0.0, ["value"])
 
 
 def conjugate_gradient(matrix: DataFrame, right: DataFrame, tolerance: float = 1e-12, most: int = 10_000) -> DataFrame:
@@ -129,7 +101,7 @@ def conjugate_gradient(matrix: DataFrame, right: DataFrame, tolerance: float = 1
     One job an iteration: the product with the matrix and both dot products, observed as the state is written.
     """
     scratch = Scratch(matrix.sparkSession, "gradient")
-    matrix = scratch.keep(matrix)
+    matrix = scratch.bucketed(matrix, "col")
 
     def written(rows: DataFrame) -> tuple[DataFrame, float, float]:
         """The state with w = A u, and the products (r, u) and (w, u)."""
@@ -158,44 +130,40 @@ def conjugate_gradient(matrix: DataFrame, right: DataFrame, tolerance: float = 1
 def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Pressures (node_id, pressure) of the nodes that fixed ones (node_id, pressure) reach, and segment flows.
 
-    Two fixed nodes are needed, wherever they are: one alone in a component gives it its own pressure and no flow.
+    Two fixed nodes are needed, wherever they are: one alone in a component gives it its own pressure and no flow. A task
+    solves up to `dense` unknowns of one system.
     """
     if fixed.select("node_id").distinct().limit(2).count() < 2:
         raise ValueError("two nodes of fixed pressure are needed")
     scratch = Scratch(nodes.sparkSession, "flow")
     resistances = scratch.keep(segment_resistances(segments, viscosity))
-    active = scratch.keep(pressure_connected(nodes, segments, fixed))
-    fixed = scratch.keep(fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")).join(active, "node_id"))
-    live = resistances.where("start_node <> end_node").join(active.select(F.col("node_id").alias("start_node"), "component"), "start_node")
-    largest = live.agg(F.max(1 / F.col("resistance"))).first()[0] or 1.0
+    active = scratch.keep(pressure_connected(nodes, segments, fixed).join(fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")), "node_id", "left"))
+    live = resistances.where("start_node <> end_node")
+    largest = live.join(active.select(F.col("node_id").alias("start_node")), "start_node", "left_semi").agg(F.max(1 / F.col("resistance"))).first()[0] or 1.0
     # conductances are scaled to one at most: in SI units they are far below what sums keep well
-    g = scratch.keep(live.select("component", F.col("start_node").alias("a"), F.col("end_node").alias("b"), (1 / F.col("resistance") / largest).alias("value")))
-    sizes = scratch.keep(active.join(fixed.select("node_id", F.lit(1).alias("known")), "node_id", "left").groupBy("component").agg(F.count_if(F.col("known").isNull()).alias("n")))
+    links, ground = map(scratch.keep, network_of(live.select(F.col("start_node").alias("a"), F.col("end_node").alias("b"), (1 / F.col("resistance") / largest).alias("g")), active))
+    sizes = scratch.keep(active.where("pressure is null").groupBy("component").agg(F.count("*").alias("n")))
     total, over = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > dense)).first()
-    small = g.union(fixed.select("component", F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("pressure").alias("value")))
-    solved = fixed.select("node_id", "pressure")
+    solved = active.where("pressure is not null").select("node_id", "pressure")
     if over:
         large = sizes.where(F.col("n") > dense).select("component")
-        ends = fixed.join(large, "component", "left_semi").select("node_id", "pressure")
-        links = g.join(large, "component", "left_semi").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("g"))
-        links, taken = eliminate_chains(scratch.keep(links), ends, scratch, dense)
-        rest = links.select(F.monotonically_increasing_id().alias("segment_id"), F.col("a").alias("start_node"), F.col("b").alias("end_node"), "g")
-        core = conjugate_gradient(*pressure_system(scratch.keep(rest), ends)) if links.count() > dense else _directly(links, ends)
-        solved = solved.union(restore_chains(ends.union(core), taken, scratch).join(ends, "node_id", "left_anti"))
-        small = small.join(large, "component", "left_anti")
+        own_links, own_ground = links.join(large, "component", "left_semi").select("a", "b", "g"), ground.join(large, "component", "left_semi").select("node", "g", "right")
+        solved = solved.union(solve_large(scratch.keep(own_links), scratch.keep(own_ground), dissect.along_curve(nodes), dense, scratch))
+        links, ground = (x.join(large, "component", "left_anti") for x in (links, ground))
     # components fill buckets by their own hash; a bucket holds some thousand unknowns, not a share of the input
     buckets = max(1, -(-total // (4 * max(dense, 1))))
+    small = links.select("component", "a", "b", "g", F.lit(0.0).alias("right")).union(ground.select("component", "node", F.lit(None).cast("bigint"), "g", "right"))
     small = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    pressures = scratch.keep(solved.union(small.groupBy("bucket").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")))
+    pressures = scratch.keep(solved.union(small.groupBy("bucket").applyInPandas(lambda pdf: _stacks(pdf), "node_id long, pressure double")))
     return pressures, segment_flows(resistances, pressures)
 
 
-def _directly(links: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(node_id, pressure) of what eliminate_chains left, some thousand links at most."""
-    ends = links.select(F.col("a").alias("node_id")).union(links.select("b")).distinct()
-    known = fixed.join(ends, "node_id", "left_semi").select(F.lit(0).cast("bigint").alias("component"), F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("pressure").alias("value"))
-    rows = links.select(F.lit(0).cast("bigint").alias("component"), "a", "b", F.col("g").alias("value")).union(known)
-    return rows.groupBy("component").applyInPandas(lambda pdf: _solve_small(pdf), "node_id long, pressure double")
+def solve_large(links: DataFrame, ground: DataFrame, places: DataFrame, dense: int, scratch: Scratch) -> DataFrame:
+    """(node_id, pressure) of components of over `dense` unknown nodes: decomposed, and what is left solved directly or, if it is too large an interface, by conjugate gradients."""
+    links, ground, levels = dissect.dissect(links, ground, places, dense, scratch)
+    few = dissect.nodes_of(links, ground).count() <= dense
+    core = dissect.solved(links, ground) if few else conjugate_gradient(*system_of(links, ground))
+    return dissect.put_back(core, levels, scratch)
 
 
 def solve_network_flow_mmhg(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:

@@ -460,6 +460,34 @@ def _(spark, d):
     return rounded(flow.solve_network_flow_mmhg(own, segments, ends, dense=500)[0].select("node_id", scalars.mmhg(F.col("pressure")).alias("pressure_mmhg")), 5)
 
 
+SHEET = """own AS (SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey), across AS (SELECT ceil(sqrt(max(id) + 1))::BIGINT AS k, min(id) AS first, max(id) AS last FROM own),
+sheet AS (
+  SELECT id AS a, id + 1 AS b FROM own, across WHERE id % k + 1 < k AND id + 1 IN (SELECT id FROM own) UNION ALL SELECT id, id + k FROM own, across WHERE id + k IN (SELECT id FROM own)
+), reached AS (
+  SELECT id FROM own WHERE id IN (SELECT a FROM sheet) OR id IN (SELECT b FROM sheet) OR id IN (SELECT first FROM across) OR id IN (SELECT last FROM across)
+)"""
+
+
+def _balance(pressures: DataFrame, flows: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(node_id, segments, fixed, balanced, between): whether a node's flows add up to nothing beside what its conductances carry at its neighbours' pressures, and its pressure lies between those of its neighbours."""
+    sides = F.explode(F.array(*[F.struct(F.col(a).alias("node_id"), (sign * F.col("flow_m3_per_s")).alias("q"), F.col(p).alias("far"), (F.col(p) / F.col("resistance_pa_s_per_m3")).alias("size")) for a, sign, p in (("start_node", 1, "end_pressure_pa"), ("end_node", -1, "start_pressure_pa"))]))
+    sums = flows.select(sides.alias("s")).select("s.*").groupBy("node_id").agg(F.count("*").alias("segments"), F.sum("q").alias("net"), F.sum("size").alias("size"), F.min("far").alias("low"), F.max("far").alias("high"))
+    found = pressures.join(sums, "node_id", "left").join(fixed.select("node_id", F.lit(True).alias("fixed")), "node_id", "left").na.fill(False, ["fixed"])
+    slack = 1e-9 * F.col("pressure")
+    return found.select(
+        "node_id", F.coalesce("segments", F.lit(0)).cast("bigint").alias("segments"), "fixed", F.coalesce(F.abs("net") <= 1e-11 * F.col("size"), F.lit(True)).alias("balanced"),
+        F.coalesce((F.col("pressure") >= F.col("low") - slack) & (F.col("pressure") <= F.col("high") + slack), F.lit(True)).alias("between"),
+    )
+
+
+@query("g11_decomposed_sheet", f"""WITH {SHEET} SELECT id AS node_id, (SELECT count(*) FROM sheet WHERE a = id OR b = id) AS segments, id = first OR id = last AS fixed,
+NOT (id = first OR id = last) AS balanced, NOT (id = first OR id = last) AS between FROM reached, across""")
+def _(spark, d):
+    nodes, edges, fixed = derived.order_sheet(spark, d)
+    own, segments = network.network_from_tables(nodes, edges)
+    return _balance(*flow.solve_network_flow_mmhg(own, segments, fixed), fixed)
+
+
 @query("f13_point_lookups", f"WITH {FLOW} SELECT 'node' AS kind, node_id AS id, {r('mmhg', 'value', 4)} FROM solved WHERE node_id = (SELECT min(node_id) FROM nodes) UNION ALL SELECT 'segment', segment_id, {r('q * 1e18', 'value', 2)} FROM flows WHERE segment_id = (SELECT min(segment_id) FROM edges)")
 def _(spark, d):
     pressures, flows = solved_paths(spark, d)

@@ -98,6 +98,22 @@ def order_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
+def order_sheet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as a sheet of about as many rows as columns, each linked with the next in its row and in its column: one large component full of
+    cycles, nodes (node_id, row, col), edges, and the ends of given pressure. Lengths and radii come from the order's lines and their parts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    orders = lines.groupBy(F.col("l_orderkey").cast("bigint").alias("node_id")).agg((10 + F.sum("l_quantity")).cast("double").alias("length_px"), (1 + F.max("p_size") / 25).alias("mean_radius"))
+    ends = orders.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    at = orders.join(F.broadcast(ends)).withColumn("across", F.ceil(F.sqrt(F.col("b") + 1)))
+    at = at.withColumns({"row": F.floor(F.col("node_id") / F.col("across")).cast("double"), "col": (F.col("node_id") % F.col("across")).cast("double")})
+    step = F.explode(F.array(F.when(F.col("col") + 1 < F.col("across"), F.col("node_id") + 1), F.col("node_id") + F.col("across"))).alias("end_node")
+    links = at.select(F.col("node_id").alias("start_node"), step, "length_px", "mean_radius").join(orders.select(F.col("node_id").alias("end_node")), "end_node")
+    edges = links.select((2 * F.col("start_node") + F.when(F.col("end_node") == F.col("start_node") + 1, 0).otherwise(1)).alias("edge_id"), "start_node", "end_node", "length_px", "mean_radius")
+    fixed = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.lit(35.0).alias("pressure_mmhg")), F.struct(F.col("b").alias("node_id"), F.lit(15.0).alias("pressure_mmhg")))).alias("e")).select("e.*")
+    return at.select("node_id", "row", "col"), edges, fixed
+
+
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes are parts, segments join parts that follow each other in an order of few lines, so that there are many components."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("node_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))

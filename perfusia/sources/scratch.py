@@ -39,6 +39,15 @@ class Scratch:
         kept.scratch_path = path
         return kept
 
+    def bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """A durable table laid out in as many buckets by a column as shuffles have partitions: a join on that column doesn't move it."""
+        path, name = self.path(), f"perfusia_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+        kept = self.spark.table(name)
+        kept.scratch_path = path
+        return kept
+
     def drop(self, *kept: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for df in kept:

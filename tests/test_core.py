@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,85 @@ def test_flow_on_a_branch(spark):
     assert none.agg(F.max(F.abs("flow_m3_per_s"))).first()[0] < 1e-20
 
 
+def dense_pressures(edges, fixed):
+    """Pressures by one dense system; edges (a, b, g)."""
+    nodes = sorted({n for a, b, _ in edges for n in (a, b)})
+    at = {n: i for i, n in enumerate(nodes)}
+    matrix, right = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for a, b, g in edges:
+        for x, y in ((at[a], at[b]), (at[b], at[a])):
+            matrix[x, x] += g
+            matrix[x, y] -= g
+    for n, p in fixed.items():
+        matrix[at[n]] = 0
+        matrix[at[n], at[n]], right[at[n]] = 1, p
+    return dict(zip(nodes, np.linalg.solve(matrix, right)))
+
+
+def sheet(h, w, rng):
+    places = {r * w + c: (r * 10, c * 10) for r in range(h) for c in range(w)}
+    pairs = [(i, i + 1) for i in places if (i + 1) % w] + [(i, i + w) for i in places if i + w < h * w]
+    return [(a, b, float(rng.uniform(10, 50)), float(rng.uniform(1, 3))) for a, b in pairs], places
+
+
+def expander(n, degree, rng):
+    pairs = sorted({(min(a, b), max(a, b)) for _ in range(degree // 2) for a, b in zip(range(n), rng.permutation(n).tolist()) if a != b} | {(i, i + 1) for i in range(n - 1)})
+    return [(a, b, 10.0, float(rng.uniform(1, 2))) for a, b in pairs], {i: (0, 0) for i in range(n)}
+
+
+@pytest.mark.parametrize(("kind", "dense", "fixed", "iterates"), [("sheet", 60, {0: 35.0, 599: 15.0}, False), ("sheet", 25, {3: 35.0, 590: 15.0, 300: 22.0}, True), ("hub", 60, {0: 35.0, 599: 15.0}, False), ("expander", 30, {0: 35.0, 1: 15.0, 7: 20.0}, True)])
+def test_large_components_are_decomposed(spark, monkeypatch, kind, dense, fixed, iterates):
+    """Conjugate gradients take over only where the interface is too large for a task: separators wider than that, or none."""
+    rng = np.random.default_rng(dense)
+    edges, places = expander(240, 8, rng) if kind == "expander" else sheet(20, 30, rng)
+    if kind == "hub":  # one node linked to a third of all, another with many fixed neighbours
+        edges += [(700, n, 10.0, 1.0) for n in range(1, 599, 3)] + [(701, n, 12.0, 1.0) for n in range(800, 900)] + [(700, 701, 10.0, 2.0)]
+        places |= {n: (0, 0) for n in (700, 701, *range(800, 900))}
+        fixed = fixed | {n: 20.0 + n / 100 for n in range(800, 900)}
+    nodes, segments = simple_network(spark, edges, places)
+    ran = []
+    whole = flow.conjugate_gradient
+    monkeypatch.setattr(flow, "conjugate_gradient", lambda *a: ran.append(1) or whole(*a))
+    pressures, flows = flow.solve_network_flow_mmhg(nodes, segments, spark.createDataFrame(list(fixed.items()), "node_id long, pressure_mmhg double"), dense=dense)
+    got = {r.node_id: r.pressure / scalars.PASCAL_PER_MMHG for r in pressures.collect()}
+    want = dense_pressures([(a, b, r**4 / n) for a, b, n, r in edges], fixed)
+    assert got.keys() == want.keys() and max(abs(got[n] - want[n]) for n in want) < 1e-8
+    assert bool(ran) == iterates
+    assert flows.count() == len(edges)
+
+
+def test_a_part_amounts_to_its_schur_complement():
+    from perfusia.operators.dissect import Inside
+
+    rng = np.random.default_rng(1)
+    g = np.triu(rng.random((9, 9)) * (rng.random((9, 9)) < 0.6), 1)
+    rows = [(a, b, b < 6, g[a, b], 0.0) for a in range(6) for b in range(a + 1, 9) if g[a, b]] + [(2, None, False, 0.5, 10.0)]
+    made = Inside.of(pd.DataFrame(rows, columns=["a", "b", "inner", "g", "right"]).assign(part=0)).amounts_to()
+    full = -(g + g.T)
+    full[6:, 6:] = 0
+    np.fill_diagonal(full, -full.sum(1))
+    full[2, 2] += 0.5
+    schur = full[6:, 6:] - full[6:, :6] @ np.linalg.solve(full[:6, :6], full[:6, 6:])
+    right = -full[6:, :6] @ np.linalg.solve(full[:6, :6], np.eye(6)[2] * 10.0)
+    links = made[made.b.notna()]
+    assert all(abs(schur[a - 6, b - 6] + v) < 1e-12 for a, b, v in zip(links.a, links.b.astype(int), links.g))
+    ground = made[made.b.isna()].set_index("a")
+    assert np.allclose(ground.right.reindex([6, 7, 8]).fillna(0), right) and np.allclose(ground.g.reindex([6, 7, 8]).fillna(0), schur.sum(1))
+
+
+def test_a_product_moves_the_vector_alone(spark):
+    from perfusia.sources.scratch import Scratch
+
+    matrix = Scratch(spark, "matrix").bucketed(spark.range(1000).selectExpr("id as row", "id % 97 as col", "1.0D as value"), "col")
+    vector = spark.range(97).selectExpr("id as col", "id * 1.0D as u")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = matrix.join(vector, "col")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_a_segment_without_radius_stops_the_flow(spark):
     nodes, segments = simple_network(spark, [(0, 1, 20, 2), (2, 3, 20, 0)], {i: (i, i) for i in range(4)})
     with pytest.raises(Exception, match="positive"):
