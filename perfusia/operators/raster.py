@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
+from perfusia.operators.nearest import nearest_points
 
 
 def in_bounds(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -105,39 +106,9 @@ def outline_with_skeleton(outline: DataFrame, skeleton: DataFrame) -> DataFrame:
     return both.select("y", "x", F.lit(1.0).alias("red"), rest.alias("green"), rest.alias("blue"))
 
 
-def nearest_points(targets: DataFrame, points: DataFrame, cell: int = 16) -> DataFrame:
-    """(y, x, segment_id): for each target pixel the segment of the nearest point (y, x, ord, segment_id), the least `ord` of equals.
-
-    An expanding grid join: each target looks at the 3 x 3 buckets of side `cell` around its own. A hit within
-    `cell` is final; the rest look again with buckets of twice the side. Buckets hold at most one point a pixel,
-    so their size is bounded, and no pair of all targets and all points is ever made.
-    """
-    best = points.groupBy("y", "x").agg(F.min_by("segment_id", "ord").alias("segment_id"), F.min("ord").alias("ord"))
-    left, found = targets.select("y", "x").distinct(), None
-    limits = best.select("y", "x").union(left).agg(F.max("y") - F.min("y"), F.max("x") - F.min("x")).first()
-    largest = max((x or 0) for x in limits) + 1 if limits else 1
-    while True:
-        bucket = lambda name, side=cell: F.floor(F.col(name) / side).cast("int")
-        near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        asked = left.select("y", "x", F.explode(near).alias("s")).select("y", "x", (bucket("y") + F.col("s.dy")).alias("by"), (bucket("x") + F.col("s.dx")).alias("bx"))
-        held = best.select(F.col("y").alias("py"), F.col("x").alias("px"), "ord", "segment_id", bucket("y").alias("by"), bucket("x").alias("bx"))
-        d2 = (F.col("y") - F.col("py")).cast("long") * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")).cast("long") * (F.col("x") - F.col("px"))
-        hit = asked.join(held, ["by", "bx"]).withColumn("d2", d2).groupBy("y", "x").agg(F.min_by("segment_id", F.struct("d2", "ord")).alias("segment_id"), F.min("d2").alias("d2"))
-        final = hit.where(F.col("d2") <= cell * cell) if cell < largest else hit
-        own = final.select("y", "x", "segment_id")
-        found = own if found is None else found.union(own)
-        if cell >= largest:
-            return found
-        left = left.join(own, ["y", "x"], "left_anti")
-        if not left.limit(1).count():
-            return found
-        cell *= 4
-
-
 def boundary_pixel_map(segments: DataFrame, boundary: DataFrame, height: int, width: int) -> DataFrame:
     """(segment_id, y, x): each boundary cell under the segment whose centerline is nearest; ties go to the first segment, then point."""
-    points = centerline_pixels(segments, height, width).withColumn("ord", F.struct("segment_id", "pos"))
-    return nearest_points(boundary, points).select("segment_id", "y", "x")
+    return nearest_points(boundary, centerline_pixels(segments, height, width)).select("segment_id", "y", "x")
 
 
 def reconstructed_boundary_pixel_map(segments: DataFrame, vessel: DataFrame, height: int, width: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
+from perfusia.operators.nearest import nearest_places
 from perfusia.operators.raster import in_bounds
+from perfusia.sources.scratch import Scratch
 
 
 def uniform_concentrations(segments: DataFrame, oxygen: float = 1.0, carbon_dioxide: float = 0.0) -> DataFrame:
@@ -30,33 +32,11 @@ def complete_concentrations(pixel_map: DataFrame, concentrations: DataFrame, rem
     known = concentrations.select("segment_id", "oxygen", "carbon_dioxide")
     if not remap:
         return known
-    middle = centroids(pixel_map)
-    solved = middle.join(known, "segment_id")
+    middle = Scratch(pixel_map.sparkSession, "centroids").keep(centroids(pixel_map))
+    solved = middle.join(known.select("segment_id"), "segment_id", "left_semi").withColumnRenamed("segment_id", "owner")
     lost = middle.join(known.select("segment_id"), "segment_id", "left_anti").withColumnRenamed("segment_id", "lost")
-    return known.union(nearest_centroid(lost, solved))
-
-
-def nearest_centroid(lost: DataFrame, solved: DataFrame, side: float = 32.0) -> DataFrame:
-    """An expanding grid join, as for pixels: rings of buckets until the nearest hit lies within a bucket's side."""
-    out, left = None, lost
-    bounds = solved.select("cy", "cx").union(lost.select("cy", "cx")).agg(F.max("cy") - F.min("cy"), F.max("cx") - F.min("cx")).first()
-    largest = max((x or 0.0) for x in bounds) + 1
-    while True:
-        near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        bucket = lambda c, s=side: F.floor(F.col(c) / s).cast("long")
-        asked = left.select("lost", "cy", "cx", F.explode(near).alias("s")).select("lost", "cy", "cx", (bucket("cy") + F.col("s.dy")).alias("by"), (bucket("cx") + F.col("s.dx")).alias("bx"))
-        held = solved.select("segment_id", "oxygen", "carbon_dioxide", F.col("cy").alias("sy"), F.col("cx").alias("sx"), bucket("cy").alias("by"), bucket("cx").alias("bx"))
-        d2 = F.pow(F.col("cy") - F.col("sy"), F.lit(2.0)) + F.pow(F.col("cx") - F.col("sx"), F.lit(2.0))
-        hit = asked.join(held, ["by", "bx"]).withColumn("d2", d2).groupBy("lost").agg(F.min_by(F.struct("oxygen", "carbon_dioxide"), F.struct("d2", "segment_id")).alias("c"), F.min("d2").alias("d2"))
-        final = hit if side >= largest else hit.where(F.col("d2") <= side * side)
-        own = final.select(F.col("lost").alias("segment_id"), "c.oxygen", "c.carbon_dioxide")
-        out = own if out is None else out.union(own)
-        if side >= largest:
-            return out
-        left = left.join(own.select(F.col("segment_id").alias("lost")), "lost", "left_anti")
-        if not left.limit(1).count():
-            return out
-        side *= 4
+    found = nearest_places(lost, solved).join(known.withColumnRenamed("segment_id", "owner"), "owner")
+    return known.union(found.select(F.col("lost").alias("segment_id"), "oxygen", "carbon_dioxide"))
 
 
 def boundary_source_maps(

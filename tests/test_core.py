@@ -251,7 +251,7 @@ def test_rasters_against_arrays(spark):
     assert {(r.y, r.x) for r in edge.collect()} == set(zip(*map(lambda v: v.tolist(), np.nonzero(disk & ~inner))))
     points = raster.centerline_pixels(segments, h, w).orderBy("segment_id", "pos").collect()
     want = {(r.y, r.x): min(points, key=lambda p: ((p.y - r.y) ** 2 + (p.x - r.x) ** 2, p.segment_id, p.pos)).segment_id for r in edge.collect()}
-    near = raster.nearest_points(edge, raster.centerline_pixels(segments, h, w).withColumn("ord", F.struct("segment_id", "pos")), cell=2)
+    near = raster.nearest_points(edge, raster.centerline_pixels(segments, h, w), tall=4)
     assert {(r.y, r.x): r.segment_id for r in near.collect()} == want
     shell = {(r.y, r.x) for r in raster.exchange_mask(segments, h, w).collect()}
     ring = {(r.y, r.x) for r in raster.exchange_pixel_map(segments, h, w).collect()}
@@ -346,3 +346,30 @@ def test_frames_and_stream(spark, tmp_path):
     q.stop()
     a, b = (spark.read.parquet(str(tmp_path / x)).where("frame_id = 1") for x in ("batch", "out/frames"))
     assert a.count() == 100 and simulate.largest_error(a, b, ["red", "alpha"]).first()[0] < 1e-12
+
+
+@pytest.mark.parametrize("tall", [1, 3, None])
+def test_the_distance_transform_finds_owners_at_any_distance(spark, tall):
+    """Few points, far apart, several in a pixel and at equal distances, targets in bands and columns without any."""
+    rng = np.random.default_rng(11)
+    points = [(int(y), int(x), int(s), int(p)) for y, x, s, p in zip(rng.integers(0, 30, 40) * 2, rng.choice([3, 4, 9, 30], 40), rng.integers(0, 9, 40), range(40))]
+    targets = [(int(y), int(x)) for y, x in rng.integers(-5, 70, (300, 2))]
+    found = raster.nearest_points(spark.createDataFrame(targets + targets[:9], "y int, x int"), spark.createDataFrame(points, "y int, x int, segment_id long, pos int"), tall)
+    want = {(y, x): min(((y - b) ** 2 + (x - a) ** 2, s, p) for b, a, s, p in points)[1] for y, x in targets}
+    assert sorted((r.y, r.x, r.segment_id) for r in found.collect()) == sorted((y, x, s) for (y, x), s in want.items())
+    none = spark.createDataFrame([], "y int, x int, segment_id long, pos int")
+    assert raster.nearest_points(spark.createDataFrame(targets, "y int, x int"), none).count() == 0
+
+
+def test_nearest_places_with_nine_tenths_in_one_cell(spark):
+    from perfusia.operators.nearest import nearest_places
+
+    rng = np.random.default_rng(2)
+    crowd = rng.random((1800, 2)) * 1e-3 + 5
+    places = np.concatenate([crowd, crowd[:100], rng.random((200, 2)) * 1000]).round(6)
+    held = [(k, *map(float, p)) for k, p in enumerate(rng.permutation(places))]
+    asked = [(k, *map(float, p)) for k, p in enumerate(np.concatenate([rng.random((300, 2)) * 1e-3 + 5, rng.random((300, 2)) * 1500 - 200, places[:50]]))]
+    found = nearest_places(spark.createDataFrame(asked, "lost long, cy double, cx double"), spark.createDataFrame(held, "owner long, cy double, cx double"), task_points=64, task_asked=50, sample=512)
+    want = {k: min(((y - b) * (y - b) + (x - a) * (x - a), o) for o, b, a in held)[1] for k, y, x in asked}
+    assert {r.lost: r.owner for r in found.collect()} == want
+    assert nearest_places(spark.createDataFrame(asked, "lost long, cy double, cx double"), spark.createDataFrame([], "owner long, cy double, cx double")).count() == 0
