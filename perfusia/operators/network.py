@@ -17,16 +17,12 @@ NODES = "node_id bigint, x double, y double"
 def network_from_tables(nodes: DataFrame, edges: DataFrame, centerlines: DataFrame | None = None, scale: float = 1.0, min_length: float = 10.0, min_radius: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, row, col, ..) and edges (edge_id, start_node, end_node, length_px, mean_radius, ..) as a network.
 
-    All nodes stay. Edges below a minimum go; of the rest, repeated ids and ends that aren't nodes are an error. A traced centerline (edge_id, points) is used where there is
+    All nodes stay. Edges below a minimum go; of the rest, repeated ids and ends that aren't nodes fail the query that reads their geometry. A traced centerline (edge_id, points) is used where there is
     one, else a straight one of as many points as the edge has pixels.
     """
     at = nodes.select("node_id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     kept = edges.where((F.col("length_px") >= min_length) & (F.col("mean_radius") >= min_radius))
-    validate(at, kept.select(F.col("edge_id").alias("segment_id"), "start_node", "end_node"))
-    ends = (
-        kept.join(at.select(F.col("node_id").alias("start_node"), F.col("x").alias("x0"), F.col("y").alias("y0")), "start_node")
-        .join(at.select(F.col("node_id").alias("end_node"), F.col("x").alias("x1"), F.col("y").alias("y1")), "end_node")
-    )
+    ends = checked_ends(once(kept, "edge_id"), at)
     line = scalars.straight_line(*(F.col(x) for x in ("x0", "y0", "x1", "y1", "length_px")))
     if centerlines is not None:
         ends = ends.join(centerlines.select("edge_id", "points"), "edge_id", "left")
@@ -49,17 +45,32 @@ def network_from_graph(nodes: DataFrame, edges: DataFrame, radius_map: DataFrame
     at = nodes.select(F.col("name").cast("long").alias("node_id"), F.when(place.isNull(), F.raise_error(F.lit("node without a position")).cast("struct<x:double,y:double>")).otherwise(place).alias("p"))
     at = at.select("node_id", "p.x", "p.y")
     named = ranked(edges, "ord", "segment_id").withColumns({"start_node": F.col("start_name").cast("long"), "end_node": F.col("end_name").cast("long")})
-    validate(at, named)
-    ends = (
-        named.join(at.select(F.col("node_id").alias("start_node"), F.struct("x", "y").alias("p0")), "start_node")
-        .join(at.select(F.col("node_id").alias("end_node"), F.struct("x", "y").alias("p1")), "end_node")
-    )
+    ends = checked_ends(named, at).withColumns({"p0": F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), "p1": F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))})
     lines = [F.col(c) for c in ("centerline", "pixels", "points", "path", "coords") if c in edges.columns]
     segments = ends.select("segment_id", "start_node", "end_node", F.coalesce(*lines, F.array("p0", "p1")).alias("centerline"))
     radii = sample_radii(segments, radius_map)
     return at, segments.join(radii, "segment_id", "left").withColumn("scale", F.lit(scale)).withColumn("meta_length_px", F.lit(None).cast("double"))
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """rows, which fail when read if a key repeats: one aggregation, no job of its own."""
+    rest = [c for c in rows.columns if c != key]
+    held = rows.groupBy(key).agg(F.count("*").alias("_times"), *[F.first(c).alias(c) for c in rest])
+    fails = F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string")))
+    return held.select(F.when(F.col("_times") > 1, fails.cast(rows.schema[key].dataType)).otherwise(F.col(key)).alias(key), *rest)
+
+
+def checked_ends(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """edges with the places x0, y0 and x1, y1 of their ends. A place fails when read if the end isn't a node or several nodes have its id."""
+    known = at.groupBy("node_id").agg(F.count("*").alias("times"), F.first("x").alias("x"), F.first("y").alias("y"))
+    for end, k in (("start_node", 0), ("end_node", 1)):
+        fails = F.raise_error(F.concat(F.when(F.col("times").isNull(), F.lit("end doesn't exist: ")).otherwise(F.lit("node repeats: ")), F.col(end).cast("string"))).cast("double")
+        edges = edges.join(known.withColumnRenamed("node_id", end), end, "left")
+        good = F.col("times") == 1
+        edges = edges.withColumns({f"{c}{k}": F.when(good, F.col(c)).otherwise(fails) for c in ("x", "y")}).drop("times", "x", "y")
+    return edges
+
+
 def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
     """rows with their rank from 0 by a unique column: ranges are sorted apart and moved by the counts of those before, a number a task."""
     scratch = Scratch(rows.sparkSession, "ranks")
@@ -90,6 +101,7 @@ def violations(nodes: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def validate(nodes: DataFrame, segments: DataFrame) -> None:
+    """An eager check, for those who want to know before they go on."""
     if found := violations(nodes, segments).limit(5).collect():
         raise ValueError("; ".join(f"{r.problem}: {r.id}" for r in found))
 

@@ -595,7 +595,7 @@ def _(spark, d):
     return raster.mask_counts({k: masks[k] for k in ("centerline", "vessel", "outline")})
 
 
-@query("s03_despeckle", f"WITH {MASK}, n AS (SELECT y, x, count(*) AS n FROM (SELECT y + dy AS y, x + dx AS x FROM vessel, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dy <> 0 OR dx <> 0) GROUP BY y, x) SELECT y, x FROM vessel JOIN n USING (y, x) WHERE n >= 3")
+@query("s03_despeckle", f"WITH {MASK}, n AS (SELECT y, x, count(*) AS n FROM (SELECT y + dy AS y, x + dx AS x FROM vessel, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dy, dx)) GROUP BY y, x) SELECT y, x FROM vessel JOIN n USING (y, x) WHERE n >= 3")
 def _(spark, d):
     return raster.despeckle(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)), 3)
 

@@ -373,3 +373,14 @@ def test_nearest_places_with_nine_tenths_in_one_cell(spark):
     want = {k: min(((y - b) * (y - b) + (x - a) * (x - a), o) for o, b, a in held)[1] for k, y, x in asked}
     assert {r.lost: r.owner for r in found.collect()} == want
     assert nearest_places(spark.createDataFrame(asked, "lost long, cy double, cx double"), spark.createDataFrame([], "owner long, cy double, cx double")).count() == 0
+
+
+def test_a_network_fails_where_ids_repeat_or_ends_are_missing(spark):
+    nodes = spark.createDataFrame([(i, 0.0, float(i)) for i in (1, 2, 3, 3)], "node_id long, row double, col double")
+    edge = lambda *rows: spark.createDataFrame([(*r, 20.0, 2.0) for r in rows], "edge_id long, start_node long, end_node long, length_px double, mean_radius double")
+    read = lambda edges: network.network_from_tables(nodes, edges)[1].collect()
+    assert len(read(edge((1, 1, 2), (2, 2, 1)))) == 2
+    for edges, message in ((edge((1, 1, 9)), "end doesn't exist: 9"), (edge((1, 3, 1)), "node repeats: 3"), (edge((7, 1, 2), (7, 2, 1)), "edge_id repeats: 7")):
+        with pytest.raises(Exception, match=message):
+            read(edges)
+    assert len(network.network_from_tables(nodes, edge((1, 1, 9)), min_length=30.0)[1].collect()) == 0  # of dropped edges nothing is asked
