@@ -3,17 +3,17 @@
 A character trigram model is counted over all documents. A token that holds look-alike symbols, repeated
 letters or single letters set apart is a lattice: each position may stand for itself, for the letters it
 imitates, or, if it repeats or separates, for nothing. Viterbi search finds the reading of least channel
-cost plus language-model cost. Restored words are then scored: weights of words and word beginnings are
-log odds learned from labelled rows. A logistic curve fitted on other labelled rows turns a text's two
-highest weights, the sum over its distinct words and its length, by which sums grow by chance, into a
-probability.
+cost plus language-model cost. Restored words are then scored: weights of words and of runs of 4 to 6 letters in
+them are log odds learned from labelled rows and shrunk towards zero, the more the fewer toxic rows they are seen in. A logistic curve turns a text's two
+highest weights and its length, by which high weights come up by chance, into a probability; it is fitted on what each half of
+the labelled rows gets from a lexicon of the other half, while the lexicon in use is that of all of them.
 
 Labelled rows are a bounded sample: at most `per_class` toxic and twice as many other rows, those of least
-hash of doc_id. The lexicon holds all of their words and beginnings that pass a likelihood-ratio test.
+hash of doc_id. The lexicon holds all features that `least_rows` toxic rows of the sample have and whose shrunk weight is over 0.5.
 Counts of the character model and scores cover whole texts of all rows.
 
 Defined cases: a null text is an empty text and scores as one without evidence; null labels train nothing;
-without rows of both labels every score is the share of toxic rows, 0 if there are none; a null doc_id
+without rows of both labels every score is the share of toxic rows, 0 if there are none, and with too few to cross the lexicon's halves the curve has slope 1; a null doc_id
 isn't held out; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -125,7 +125,8 @@ def decode(span: str, costs: np.ndarray) -> str:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+    """The word and the runs of letters inside it."""
+    return [word, *{f"~{word[i : i + n]}" for n in (4, 5, 6) if len(word) > n for i in range(len(word) - n + 1)}]
 
 
 @dataclass
@@ -160,8 +161,8 @@ class Restorer:
         return re.sub(r"\S+", lambda m: decode(core, self.costs) if SUSPECT.match(core := m.group().strip(EDGES)) else m.group(), low)
 
 
-#: What the curve takes: a text's highest and second highest weight, their sum, the log of its length beyond 200 distinct tokens.
-TERMS = 4
+#: What the curve takes: a text's highest and second highest weight, the log of its length beyond 200 distinct tokens.
+TERMS = 3
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,7 @@ class ToxicityModel:
                 if (hit := cache[token]) is not None:
                     hits[hit[1]] = hit
             top = sorted((h[0] for h in hits.values()), reverse=True)
-            return [*(top + [0.0, 0.0])[:2], sum(top), math.log(max(len(tokens), 200) / 200)], sorted({h[2] for h in hits.values()})
+            return [*(top + [0.0, 0.0])[:2], math.log(max(len(tokens), 200) / 200)], sorted({h[2] for h in hits.values()})
 
         return evidence
 
@@ -210,44 +211,50 @@ def _evidence(documents: DataFrame, model: ToxicityModel, extra: str = "") -> Da
     return documents.select("doc_id", "text", *[extra] * bool(extra)).mapInArrow(run, f"doc_id long, evidence array<double>, hits array<string>{kind}")
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, least_rows: int = 8, least_ratio: float = 30.0) -> ToxicityModel:
-    """labels (doc_id, toxic). Half of the sample, by hash, makes the lexicon and the other half the curve."""
+def lexicon(counts: dict[str, tuple[int, int]], clean: int, toxic: int, least_rows: int, prior: float = 2.0, shrink: float = 3.0) -> dict[str, float]:
+    """Shrunk log odds from numbers of clean and toxic rows, of each feature and in all."""
+    out = {}
+    for f, (c, t) in counts.items():
+        if t >= least_rows:
+            share = prior * (c + t) / (clean + toxic)
+            weight = math.log((t + share) / (toxic + prior)) - math.log((c + share) / (clean + prior))
+            if (weight := weight * t / (t + shrink)) > 0.5:
+                out[f] = weight
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, least_rows: int = 3) -> ToxicityModel:
+    """labels (doc_id, toxic)."""
     costs = trigram_costs(count_trigrams(documents))
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = documents.select("doc_id", "text").join(F.broadcast(pick(1, per_class).union(pick(0, 2 * per_class))), "doc_id").withColumn("half", F.abs(F.xxhash64("doc_id", F.lit(7))) % 2)
+    rows = documents.select("doc_id", "text").join(F.broadcast(pick(1, per_class).union(pick(0, 2 * per_class))), "doc_id").withColumn("half", (F.abs(F.xxhash64("doc_id", F.lit(7))) % 2).cast("int"))
     shared = documents.sparkSession.sparkContext.broadcast(costs)
+    names = ["c0", "t0", "c1", "t1"]  # clean and toxic rows of each half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts = Restorer(shared.value), (Counter(), Counter())
+        restorer = Restorer(shared.value)
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = {f for t in restorer.tokens(text.as_py() or "") for w in restorer.words(t) for f in features(w)}
-                counts[toxic].update(found)
-                counts[toxic][""] += 1
-            names = [*counts[0].keys() | counts[1].keys()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)], ["feature", "clean", "toxic"])
-            counts = (Counter(), Counter())
-
-    seen = rows.where("half = 0").select("text", "toxic").mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    seen = seen.where((F.col("toxic") >= least_rows) | (F.col("feature") == "")).toPandas()
-    n = {r.feature: (r.clean, r.toxic) for r in seen.itertuples()}
-    clean, toxic = n.pop("", (0, 0))
-    if not clean or not toxic:
-        return ToxicityModel(costs, {}, (*[0.0] * TERMS, math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    part = lambda k, e: k * math.log(k / e) if k else 0.0
-    weights = {}
-    for f, (c, t) in sorted(n.items()):
-        weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        expected = (c + t) * toxic / (clean + toxic)
-        ratio = 2 * (part(t, expected) + part(c, c + t - expected))
-        if weight > 2.0 and ratio > least_ratio:
-            weights[f] = weight
-    model = ToxicityModel(costs, weights, (0.0,) * (TERMS + 1))
-    other = _evidence(rows.where("half = 1"), model, "toxic").select("evidence", "toxic").toPandas()
-    if other.toxic.nunique() < 2:
-        return ToxicityModel(costs, weights, (1.0, *[0.0] * (TERMS - 1), math.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+            counts = [Counter() for _ in names]
+            for text, toxic, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = {w for t in restorer.tokens(text.as_py() or "") for w in restorer.words(t)}
+                counts[2 * half + toxic].update({f for w in words for f in features(w)} | {""})
+            found = [*set().union(*counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[f] for f in found], pa.int64()) for c in counts)], ["feature", *names])
+
+    seen = rows.select("text", "toxic", "half").mapInArrow(run, "feature string, " + ", ".join(f"{n} long" for n in names)).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+    n = {r.feature: r[1:] for r in seen.where((F.col("t0") + F.col("t1") >= least_rows) | (F.col("feature") == "")).toPandas().itertuples(index=False)}
+    c0, t0, c1, t1 = n.pop("", (0, 0, 0, 0))
+    prior_odds = math.log(max(share, 1e-12) / max(1 - share, 1e-12))
+    if not c0 + c1 or not t0 + t1:
+        return ToxicityModel(costs, {}, (*[0.0] * TERMS, prior_odds))
+    weights = lexicon({f: (k[0] + k[2], k[1] + k[3]) for f, k in n.items()}, c0 + c1, t0 + t1, least_rows)
+    if not all((c0, t0, c1, t1)):
+        return ToxicityModel(costs, weights, (1.0, *[0.0] * (TERMS - 1), prior_odds))
+    halves = [lexicon({f: k[:2] for f, k in n.items()}, c0, t0, least_rows), lexicon({f: k[2:] for f, k in n.items()}, c1, t1, least_rows)]
+    crossed = [_evidence(rows.where(F.col("half") == k), ToxicityModel(costs, halves[1 - k], (0.0,) * (TERMS + 1)), "toxic") for k in (0, 1)]
+    other = crossed[0].union(crossed[1]).select("evidence", "toxic").toPandas()
     *slopes, base = map(float, logistic(np.array(other.evidence.tolist(), float), other.toxic.to_numpy(float)))
     odds = other.toxic.mean() / (1 - other.toxic.mean())
     return ToxicityModel(costs, weights, (*slopes, base + math.log(share / (1 - share) / odds)))
