@@ -9,6 +9,9 @@ rows, each counted under the language its text alone suggests. Trigram counts co
 Text evidence is the mean log likelihood of a trigram times a weight that grows with the text up to
 `full_at` trigrams, since trigrams of a text are not independent.
 
+A declaration is a code of two or three letters, alone or before a region or script (`pt`, `pt-BR`); whatever else stands there
+declares nothing, so that a dirty column makes no models.
+
 Defined cases: a null or empty text brings no evidence; nor do a null or empty declaration; a null host or
 suffix is a host or suffix like others; ties go to the language first in order; repeated rows are
 judged each; an empty table gives no rows; without a training row every row is `und`; columns that the
@@ -74,9 +77,14 @@ class TextModel:
         return out
 
 
+def code(column: Column | str) -> Column:
+    """The language code that a declaration starts with, empty if there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(column)), r"^([a-z]{2,3})(?:[-_][a-z0-9_-]*)?$", 1), F.lit(""))
+
+
 def fit_text_model(documents: DataFrame, scratch: Scratch, part: int = 16) -> list[TextModel]:
     """From documents (text, lang), lang as declared: models of all languages, `part` in each."""
-    known = documents.where("lang is not null and text is not null").select(F.lower(F.trim("lang")).alias("lang"), "text").where(F.col("lang").isin("", UNKNOWN) == F.lit(False))
+    known = documents.where("text is not null").select(code("lang").alias("lang"), "text").where(~F.col("lang").isin("", UNKNOWN))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +139,7 @@ def identify(rows: DataFrame, models: list[TextModel], keep: list[str], scratch:
     names = [x for m in models for x in m.languages]
     renamed = [f"keep_{i}" for i in range(len(keep))]
     text = rows.select(
-        *[F.col(f"`{c}`").alias(r) for c, r in zip(keep, renamed)], F.coalesce(F.lower(F.trim("declared")), F.lit("")).alias("declared"),
+        *[F.col(f"`{c}`").alias(r) for c, r in zip(keep, renamed)], code("declared").alias("declared"),
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), F.array().cast("array<double>").alias("ll"), "text",
     )
     for i, model in enumerate(models):
