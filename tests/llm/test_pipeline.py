@@ -120,6 +120,21 @@ def test_texts_in_no_language_go(spark):
     assert {*range(100)} <= got and got & {300, 301, 302} == set()
 
 
+def test_texts_that_deny_their_declared_language_go(spark):
+    """Planted: texts of one language declared as another. Codes with a region, free text for a language, and short or undeclared texts stay."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    other = lambda n: " ".join("".join(rng.choice("der ung ich sch ein ver lich keit".split()) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, prose(rng, 120) if i % 2 else other(120), "en" if i % 2 else "de", f"s{i % 4}", 9) for i in range(200)]
+    wrong = [(300, other(200), "en", "s1", 9), (301, prose(rng, 200), "de", "s0", 9), (302, other(150), "EN-us", "s3", 9)]
+    right = [(400, prose(rng, 90), "EN-GB", "s0", 9), (401, other(90), None, "s1", 9), (402, prose(rng, 90), "written in English", "s2", 9), (403, "an er", "de", "s2", 9), (404, "", "de", "s1", 0)]
+    same = [(500, wrong[0][1], "de", "s0", 9)]  # the text of 300 under its own language
+    docs = spark.createDataFrame([*rows, *wrong, *right, *same], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert {r[0] for r in [*rows, *wrong, *right, *same]} - got == {300, 301, 302}
+
+
 def test_near_copies_with_a_few_edits_go(spark):
     import corpus_pipeline
 
