@@ -1,25 +1,26 @@
 """Skeleton graphs and shortest paths along them.
 
-All edges are traced at once by level-synchronous breadth-first search: a frontier row is (edge, pixel).
-Each level joins the frontier with the adjacency, drops pixels of the two levels before and keeps, of
-several parents, the one that a queue would have reached first; a level is a durable table, and edges whose
-end is reached leave. Paths are then read back from the last level to the first, each level once. There is
-one job a level; what a task holds doesn't grow with the image.
+Pixels with two neighbours are contracted: pointer doubling tells every arc (a step from a pixel to a neighbour) the last arc of its link,
+the run of steps up to the next junction, and how far it is from it. Links are few and join junctions, edges' ends among them; the
+search runs on them for all edges at once, a job for each link that the longest path in links has, and no further from an edge's start than
+its end. Paths are then written out from the arcs of their links.
+
+A queue that visits neighbours in order finds, of all shortest paths to a pixel, the one whose steps come first in the order of visit, compared from the
+start. Two paths can part at junctions only, by their links' first steps; so the search compares length and then first steps.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from perfusia.operators.components import components
 from perfusia.sources.scratch import Scratch
 
 #: Order in which a pixel's eight neighbours are visited.
 STEPS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
-#: Levels read back between two durable tables.
-BACK = 4
+#: Rounds of search after which edges without any path are looked for, so that they don't go on through all of a component.
+PATIENCE = 12
 
 
 def skeleton_graph(skeleton: DataFrame) -> DataFrame:
@@ -43,56 +44,84 @@ def nearest_skeleton_pixel(points: DataFrame, skeleton: DataFrame, height: int,
     return points.join(best, "id", "left").select(*points.columns, F.when(F.col("b").isNull(), none).otherwise(F.col("b.r")).alias("sr"), F.when(F.col("b").isNull(), none).otherwise(F.col("b.c")).alias("sc"))
 
 
+def _pixel(r: str, c: str) -> Column:
+    """A number for a pixel, of rows below 2^29."""
+    return F.shiftleft(F.col(r).cast("long"), 31).bitwiseOR(F.col(c).cast("long"))
+
+
+def contract(graph: DataFrame, stops: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Arcs (link, left, at, ord, nr, nc): the steps of each link, `left` counting down to 0 at its end; and links (link, at, first, to, length).
+
+    graph (r, c, nr, nc, ord); stops (at): pixels that are junctions although they have two neighbours. A link is named by its last arc; closed rings
+    without a junction have none.
+    """
+    near = graph.groupBy("r", "c").agg(F.collect_list(F.struct("ord", "nr", "nc")).alias("near")).withColumn("at", _pixel("r", "c"))
+    pixels = scratch.keep(near.join(stops.select("at", F.lit(True).alias("stop")), "at", "left").select("at", "r", "c", "near", (F.col("stop").isNull() & (F.size("near") == 2)).alias("inner")))
+    steps = pixels.select("at", "r", "c", F.explode("near").alias("s")).select("at", "r", "c", "s.*").withColumn("to", _pixel("nr", "nc"))
+    heads = pixels.where("inner").select(F.col("at").alias("to"), F.col("near").alias("there"))
+    on = F.filter("there", lambda n: (n["nr"] != F.col("r")) | (n["nc"] != F.col("c")))[0]["ord"]
+    arc = lambda at, o: F.col(at) * 8 + o
+    arcs = steps.join(heads, "to", "left").select(arc("at", F.col("ord")).alias("arc"), "at", "ord", "nr", "nc", F.when(F.col("there").isNotNull(), arc("to", on)).alias("next"))
+    arcs = scratch.keep(arcs)
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return scratch.keep(rows.observe(seen, F.count_if(~F.col("done")).alias("open"))), seen.get["open"] or 0
+
+    jumps, left = written(arcs.select("arc", F.coalesce("next", "arc").alias("link"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left"), F.col("next").isNull().alias("done")))
+    while left:
+        beyond = jumps.select(F.col("arc").alias("link"), F.col("link").alias("_link"), F.col("left").alias("_left"), F.col("done").alias("_done"))
+        moved = jumps.where("not done").join(beyond, "link").select("arc", F.col("_link").alias("link"), (F.col("left") + F.col("_left")).alias("left"), F.col("_done").alias("done"))
+        (after, now), last = written(jumps.where("done").union(moved)), left
+        scratch.drop(jumps)
+        jumps, left = after, now
+        if left == last:  # what is left are rings
+            break
+    arcs = scratch.keep(arcs.join(jumps.where("done").select("arc", "link", "left"), "arc").select("link", "left", "at", "ord", "nr", "nc"))
+    links = arcs.groupBy("link").agg(F.max_by(F.struct("at", "ord"), "left").alias("first"), F.min_by(_pixel("nr", "nc"), "left").alias("to"), (F.max("left") + 1).alias("length"))
+    return arcs, scratch.keep(links.select("link", F.col("first.at").alias("at"), F.col("first.ord").alias("first"), "to", "length"))
+
+
 def trace_paths(skeleton: DataFrame, ends: DataFrame, on_missing: str = "fail") -> DataFrame:
     """(edge_id, pos, r, c): a shortest path for each of ends (edge_id, sr, sc, er, ec), its pixels in order.
 
     on_missing: fail, or drop edges without a path.
     """
     scratch = Scratch(skeleton.sparkSession, "trace")
-    graph = scratch.keep(skeleton_graph(skeleton))
-    ends = scratch.keep(ends.select("edge_id", "sr", "sc", "er", "ec"))
+    ends = scratch.keep(ends.select("edge_id", "sr", "sc", "er", "ec", _pixel("sr", "sc").alias("start"), _pixel("er", "ec").alias("end")))
+    arcs, links = contract(skeleton_graph(skeleton), ends.select(F.explode(F.array("start", "end")).alias("at")).distinct(), scratch)
 
-    def written(rows: DataFrame) -> tuple[DataFrame, int, int]:
-        """A level as a durable table, its rows and those of them that are an edge's end."""
+    def written(rows: DataFrame, turn: int) -> tuple[DataFrame, int]:
         seen = Observation()
-        kept = scratch.keep(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("end")).alias("ends")))
-        return kept, seen.get["n"], seen.get["ends"]
-
-    # rank: place in the queue of its level; an edge leaves with the level that holds its end
-    first = ends.select("edge_id", F.col("sr").alias("r"), F.col("sc").alias("c"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("int").alias("pr"), F.lit(None).cast("int").alias("pc"), ((F.col("sr") == F.col("er")) & (F.col("sc") == F.col("ec"))).alias("end"))
-    level, n, hits = written(first)
-    levels, found = [level], [hits]
-    while n > hits:
-        frontier = levels[-1]
-        if hits:
-            frontier = frontier.join(frontier.where("end").select("edge_id"), "edge_id", "left_anti")
-        reached = frontier.join(graph, ["r", "c"]).groupBy("edge_id", "nr", "nc").agg(F.min(F.struct("rank", "ord", "r", "c")).alias("by"))
-        reached = reached.select("edge_id", F.col("nr").alias("r"), F.col("nc").alias("c"), "by")
-        # neighbours of a level lie in it, in the one before or in the one after
-        for known in levels[-2:]:
-            reached = reached.join(known.select("edge_id", "r", "c"), ["edge_id", "r", "c"], "left_anti")
-        queue = Window.partitionBy("edge_id").orderBy("by.rank", "by.ord")
-        fresh = reached.join(ends.select("edge_id", "er", "ec"), "edge_id")
-        fresh = fresh.select("edge_id", "r", "c", F.row_number().over(queue).cast("long").alias("rank"), F.col("by.r").alias("pr"), F.col("by.c").alias("pc"), ((F.col("r") == F.col("er")) & (F.col("c") == F.col("ec"))).alias("end"))
-        level, n, hits = written(fresh)
-        if not n:
-            break
-        levels.append(level)
-        found.append(hits)
-    if on_missing == "fail" and sum(found) < ends.count():
+        return scratch.keep(rows.observe(seen, F.count_if(F.col("turn") == turn).alias("n"))), seen.get["n"] or 0
+
+    # way: length and links so far, which compare as the queue would; turn: the round in which it was found
+    start = F.struct(F.lit(0).cast("long").alias("length"), F.array().cast("array<struct<first:int,link:bigint,length:bigint>>").alias("links"))
+    best, fresh = written(ends.select("edge_id", F.col("start").alias("at"), start.alias("way"), F.lit(0).alias("turn")), 0)
+    turn = 0
+    while fresh:
+        turn += 1
+        frontier = best.where(F.col("turn") == turn - 1)
+        known = ends.join(best, (best.edge_id == ends.edge_id) & (best.at == ends.end)).select(ends.edge_id, F.col("way.length").alias("reached"))
+        frontier = frontier.join(known, "edge_id", "left")
+        if turn == PATIENCE:
+            joined = components(links.select(F.col("at").alias("a"), F.col("to").alias("b")), scratch)
+            side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+            frontier = frontier.join(ends.join(side("start"), "start").join(side("end"), "end").where("start_component = end_component").select("edge_id"), "edge_id", "left_semi")
+        on = frontier.join(links, "at").where(F.col("reached").isNull() | (F.col("way.length") + F.col("length") <= F.col("reached")))
+        way = F.struct((F.col("way.length") + F.col("length")).alias("length"), F.concat("way.links", F.array(F.struct("first", "link", "length"))).alias("links"))
+        found = on.select("edge_id", F.col("to").alias("at"), way.alias("way"), F.lit(turn).alias("turn"))
+        merged = best.union(found).groupBy("edge_id", "at").agg(F.min(F.struct("way", "turn")).alias("b")).select("edge_id", "at", "b.way", "b.turn")
+        (after, fresh), last = written(merged, turn), best
+        scratch.drop(last)
+        best = after
+    ways = scratch.keep(ends.join(best.withColumnRenamed("at", "end"), ["edge_id", "end"]).select("edge_id", "sr", "sc", "way.links"))
+    if on_missing == "fail" and ways.count() < ends.count():
         raise ValueError("no path along the skeleton between the ends of an edge")
-    # back from the ends: a level is joined with the pixels that the one above came from, and read once
-    parts, above = [], None
-    for at in reversed(range(len(levels))):
-        own = levels[at].where("end") if found[at] else levels[at].where("false")
-        if above is not None:
-            own = own.unionByName(levels[at].join(above, ["edge_id", "r", "c"], "left_semi"))
-        own = own.select("edge_id", F.lit(at).alias("pos"), "r", "c", "pr", "pc")
-        if at % BACK == 0:
-            own = scratch.keep(own)
-        parts.append(own.select("edge_id", "pos", "r", "c"))
-        above = own.where("pr is not null").select("edge_id", F.col("pr").alias("r"), F.col("pc").alias("c"))
-    return scratch.keep(reduce(DataFrame.union, parts))
+    before = F.aggregate(F.slice("links", 1, F.col("k")), F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    used = ways.select("edge_id", "links", F.posexplode("links").alias("k", "l")).select("edge_id", before.alias("before"), "l.link", "l.length")
+    inside = used.join(arcs, "link").select("edge_id", (F.col("before") + F.col("length") - F.col("left")).cast("int").alias("pos"), F.col("nr").alias("r"), F.col("nc").alias("c"))
+    return scratch.keep(ways.select("edge_id", F.lit(0).alias("pos"), F.col("sr").alias("r"), F.col("sc").alias("c")).union(inside))
 
 
 def edge_centerlines(skeleton: DataFrame, nodes: DataFrame, edges: DataFrame, height: int, width: int, on_missing: str = "fail") -> DataFrame:

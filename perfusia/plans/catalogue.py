@@ -720,6 +720,24 @@ def _(spark, d):
     return traced.select("edge_id", F.size("points").alias("points"), F.element_at("points", 1)["x"].alias("x_first"), F.element_at("points", -1)["x"].alias("x_last"), F.element_at("points", 1)["y"].alias("y"))
 
 
+#: From column c1 over the rung at x to c2 of the next bone: a step for each column, three down, one less for each corner that a diagonal cuts.
+LADDERS = PATHS + f""", bone AS (
+  SELECT l_orderkey AS k, min(x)::INT AS low, max(x)::INT AS high, arg_min(x, node_id)::INT AS c_first, arg_max(x, node_id)::INT AS c_last FROM nodes GROUP BY l_orderkey
+), pair AS (
+  SELECT p.k, p.c_first AS c1, q.c_last AS c2, greatest(p.low, q.low) AS a, least(p.high, q.high) AS b FROM bone p JOIN bone q ON q.k = p.k + 1 AND p.k % 8 <> 7 WHERE greatest(p.low, q.low) <= least(p.high, q.high)
+), over AS (SELECT k, c1, c2, unnest(CASE WHEN b - a >= 3 THEN [a, b] ELSE [a] END) AS x FROM pair)"""
+
+
+@query("g07_g08_branching_centerlines", f"""WITH {LADDERS} SELECT k AS edge_id, min(abs(c1 - x) + abs(c2 - x) + {derived.APART} - (c1 <> x)::INT - (c2 <> x)::INT + 1)::INT AS points,
+any_value(c1)::DOUBLE AS x_first, any_value(c2)::DOUBLE AS x_last, true AS connected FROM over GROUP BY k""")
+def _(spark, d):
+    found = lines(spark, d)
+    bones, edges = derived.ladders(found)
+    traced = skeleton.edge_centerlines(bones, derived.path_nodes(found), edges, *derived.image_shape(spark, d))
+    close = F.forall(F.sequence(F.lit(2), F.size("points")), lambda i: F.greatest(F.abs(F.get("points", i - 1)["x"] - F.get("points", i - 2)["x"]), F.abs(F.get("points", i - 1)["y"] - F.get("points", i - 2)["y"])) == 1)
+    return traced.withColumn("connected", close).select("edge_id", F.element_at("points", 1)["x"].alias("x_first"), F.element_at("points", -1)["x"].alias("x_last"), "connected", F.size("points").alias("points"))
+
+
 @query("j02_traced_or_straight", f"WITH {NETWORK} SELECT segment_id, CASE WHEN tax > 0.04 THEN 2 ELSE n END AS points FROM segments")
 def _(spark, d):
     found = lines(spark, d)

@@ -126,3 +126,17 @@ def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def skeleton_of(nodes: DataFrame) -> DataFrame:
     """A pixel (r, c) for each column between the first and last node of a row: straight skeletons in rows."""
     return nodes.groupBy(F.col("row").cast("int").alias("r")).agg(F.min("col").cast("int").alias("a"), F.max("col").cast("int").alias("b")).select("r", F.explode(F.sequence("a", "b")).alias("c"))
+
+
+def ladders(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Skeletons with branches and cycles: the straight ones of eight orders after each other are joined by a rung or two where their columns overlap.
+
+    Pixels (r, c), and edges (edge_id, start_node, end_node) from an order's first node to the last of the next, where a rung joins them.
+    """
+    rows = path_nodes(lines).select("node_id", F.floor(F.col("node_id") / 1000).cast("bigint").alias("k"), F.col("row").cast("int").alias("r"), F.col("col").cast("int").alias("c"))
+    bones = rows.groupBy("k", "r").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("node_id").alias("start_node"), F.max("node_id").alias("end_node"))
+    after = bones.select((F.col("k") - 1).alias("k"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("end_node").alias("far"))
+    pairs = bones.where("k % 8 <> 7").join(after, "k").withColumns({"a": F.greatest("low", "low2"), "b": F.least("high", "high2")}).where("a <= b")
+    rungs = pairs.select("r", F.explode(F.when(F.col("b") - F.col("a") >= 3, F.array("a", "b")).otherwise(F.array("a"))).alias("c"))
+    upright = rungs.select(F.explode(F.sequence(F.col("r") + 1, F.col("r") + APART - 1)).alias("r"), "c")
+    return skeleton_of(path_nodes(lines)).union(upright), pairs.select(F.col("k").alias("edge_id"), "start_node", F.col("far").alias("end_node"))
