@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ SIZE, OTHER = 64, 63
 
 SUBSTITUTED, SECOND, REPEATED, JOINED, PARTED, DROPPED = 1.0, 2.0, 0.3, 0.3, 1.0, 3.0
 SUSPECT = re.compile(r"(?s)(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£*]|.*([^\W\d_])\1)")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._\-*]\S){2,}(?!\S)")
 EDGES = ".,;:?!\"'()[]{}<>«»“”…"
 
@@ -142,10 +144,13 @@ class Restorer:
         found = self.known.get(token)
         if found is None:
             core = token.strip(EDGES)
-            plain = [x for x in re.split(r"[\W\d_]+", core) if x]
-            if SUSPECT.match(core) or SPACED.fullmatch(core):
-                plain += decode(core, self.costs).split()
-            found = tuple(dict.fromkeys(plain))
+            if core.isalpha() and not DOUBLED.search(core):  # most tokens: nothing to split or restore
+                found = (core,)
+            else:
+                plain = [x for x in re.split(r"[\W\d_]+", core) if x]
+                if SUSPECT.match(core) or SPACED.fullmatch(core):
+                    plain += decode(core, self.costs).split()
+                found = tuple(dict.fromkeys(plain))
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[token] = found
@@ -172,11 +177,23 @@ class ToxicityModel:
     curve: tuple[float, ...]  # a weight for each of TERMS, then the intercept
 
     def scorer(self):
-        restorer, cache = Restorer(self.costs), {}
+        restorer, cache, inside = Restorer(self.costs), {}, ahocorasick.Automaton()
+        for f, weight in self.weights.items():
+            if f[0] == "~":
+                inside.add_word(f[1:], (weight, f))
+        inside.make_automaton()
+        runs = inside.iter if len(inside) else lambda w: ()
 
         def best(token: str):
-            found = [(self.weights[f], f, w) for w in restorer.words(token) for f in features(w) if f in self.weights]
-            return max(found) if found else None
+            """The heaviest feature of a token's words: the words themselves, and runs of letters found in one pass."""
+            found = None
+            for w in restorer.words(token):
+                hits = [hit for _, hit in runs(w) if len(hit[1]) <= len(w)]  # a run is shorter than its word
+                if w in self.weights:
+                    hits.append((self.weights[w], w))
+                if hits and (found is None or (*max(hits), w) > found):
+                    found = (*max(hits), w)
+            return found
 
         def evidence(text: str) -> tuple[list[float], list[str]]:
             hits, tokens = {}, restorer.tokens(text)
