@@ -1,12 +1,17 @@
-"""Many steps: window plans chained with durable tables, or row bands with halos for long runs.
+"""Many steps: window plans chained with durable tables, or parts of the grid with halos for long runs.
 
 Bands: a grid row is one record of arrays. Rows within `halo` of a band go to it as well; each band then
 takes `halo` steps by itself and keeps its own rows. Exact, since what a border lacks moves in by one row
 a step. One shuffle takes `halo` steps instead of two shuffles a step.
+
+Tiles: the same in both directions, for grids of any width. A tile is one record of arrays; before each round it sends its
+neighbours, on four sides and at four corners, the strips within `halo` of them. A task holds a tile and its halo, whatever the grid's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +22,7 @@ from perfusia.sources.scratch import Scratch
 
 STATE = ("o2", "co2")
 STATIC = ("d_o2", "d_co2", "vmax", "km", "vessel", "vessel_o2", "vessel_co2")
-LONG_RUN = 12  # steps from which bands are worth their conversion
+LONG_RUN = 12  # steps from which bands and tiles are worth their conversion
 
 
 def steps_by_windows(cells: DataFrame, params: StepParams, steps: int, every: int = 4) -> DataFrame:
@@ -97,13 +102,100 @@ def steps_by_bands(cells: DataFrame, params: StepParams, steps: int, band: int =
     return to_cells(rows)
 
 
+TILE = "ty int, tx int, r int, c int, h int, w int, " + ", ".join(f"{f} binary" for f in (*STATE, *STATIC))
+
+
+def _record(ty: int, tx: int, r: int, c: int, fields: dict[str, np.ndarray]) -> dict:
+    """A rectangle of the grid with its first cell at (r, c), to or from tile (ty, tx)."""
+    h, w = fields["o2"].shape
+    return {"ty": ty, "tx": tx, "r": r, "c": c, "h": h, "w": w} | {f: np.ascontiguousarray(a, bool if f == "vessel" else float).tobytes() for f, a in fields.items()}
+
+
+def _fields(x) -> dict[str, np.ndarray]:
+    return {f: np.frombuffer(getattr(x, f), bool if f == "vessel" else float).reshape(x.h, x.w) for f in (*STATE, *STATIC)}
+
+
+def to_tiles(cells: DataFrame, tile: int) -> DataFrame:
+    """One record a tile. The grid has to be dense and start at row and column 0."""
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        shape = int(pdf.r.max() - pdf.r.min()) + 1, int(pdf.c.max() - pdf.c.min()) + 1
+        return pd.DataFrame([_record(*key, int(pdf.r.min()), int(pdf.c.min()), {f: pdf[f].to_numpy().reshape(shape) for f in (*STATE, *STATIC)})])
+
+    at = cells.withColumns({"ty": F.floor(F.col("r") / tile).cast("int"), "tx": F.floor(F.col("c") / tile).cast("int")})
+    return at.groupBy("ty", "tx").applyInPandas(gather, TILE)
+
+
+def from_tiles(tiles: DataFrame) -> DataFrame:
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples():
+                r, c = np.indices((x.h, x.w))
+                yield pd.DataFrame({"r": (r + x.r).ravel().astype("int32"), "c": (c + x.c).ravel().astype("int32"), **{f: a.ravel() for f, a in _fields(x).items()}})
+
+    schema = "r int, c int, " + ", ".join(f"{f} {'boolean' if f == 'vessel' else 'double'}" for f in (*STATE, *STATIC))
+    return tiles.mapInPandas(spread, schema)
+
+
+def _strips(tile: int, take: int):
+    """Each tile whole for itself, and what lies within `take` of its neighbours for them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples():
+                fields = _fields(x)
+                for ty in range(max(x.ty - 1, 0), x.ty + 2):
+                    for tx in range(max(x.tx - 1, 0), x.tx + 2):
+                        rows = slice(max(ty * tile - take - x.r, 0), max((ty + 1) * tile + take - x.r, 0))
+                        columns = slice(max(tx * tile - take - x.c, 0), max((tx + 1) * tile + take - x.c, 0))
+                        cut = {f: a[rows, columns] for f, a in fields.items()}
+                        if cut["o2"].size:
+                            out.append(_record(ty, tx, x.r + rows.start, x.c + columns.start, cut))
+            yield pd.DataFrame(out)
+
+    return run
+
+
+def _tile_steps(params: StepParams, take: int, tile: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[(pdf.r // tile == key[0]) & (pdf.c // tile == key[1])]
+        if not len(own):  # beyond the grid
+            return pd.DataFrame(columns=pdf.columns).astype(pdf.dtypes)
+        r, c = int(pdf.r.min()), int(pdf.c.min())
+        shape = int((pdf.r + pdf.h).max()) - r, int((pdf.c + pdf.w).max()) - c
+        fields = {f: np.zeros(shape, bool if f == "vessel" else float) for f in (*STATE, *STATIC)}
+        for x in pdf.itertuples():
+            for f, a in _fields(x).items():
+                fields[f][x.r - r : x.r - r + x.h, x.c - c : x.c - c + x.w] = a
+        _advance(fields, params, take)
+        (x,) = own.itertuples()
+        return pd.DataFrame([_record(*key, x.r, x.c, {f: a[x.r - r : x.r - r + x.h, x.c - c : x.c - c + x.w] for f, a in fields.items()})])
+
+    return run
+
+
+def steps_by_tiles(cells: DataFrame, params: StepParams, steps: int, tile: int = 256, halo: int = 20) -> DataFrame:
+    if not 1 <= halo <= tile:
+        raise ValueError("the halo has a row at least and no more than a tile")
+    scratch = Scratch(cells.sparkSession, "tiles")
+    tiles, done = scratch.keep(to_tiles(cells, tile)), 0
+    while done < steps:
+        take = min(halo, steps - done)
+        after = scratch.keep(tiles.mapInPandas(_strips(tile, take), TILE).groupBy("ty", "tx").applyInPandas(_tile_steps(params, take, tile), TILE))
+        scratch.drop(tiles)
+        tiles, done = after, done + take
+    return from_tiles(tiles)
+
+
 def run_steps(cells: DataFrame, params: StepParams, steps: int, engine: str = "auto") -> DataFrame:
     """steps = 0 gives the cells back. Other columns than r, c, state and statics are dropped."""
     cells = cells.select("r", "c", *STATE, *STATIC)
-    if engine not in ("auto", "windows", "bands"):
+    if engine not in ("auto", "windows", "bands", "tiles"):
         raise ValueError(f"no engine {engine}")
     if steps == 0:
         return cells
     if engine == "windows" or engine == "auto" and steps < LONG_RUN:
         return steps_by_windows(cells, params, steps)
-    return steps_by_bands(cells, params, steps)
+    return steps_by_bands(cells, params, steps) if engine == "bands" else steps_by_tiles(cells, params, steps)

@@ -17,6 +17,7 @@ from perfusia.operators import extract, flow, iterate, network, raster, scaling,
 from perfusia.plans import simulate
 from perfusia.sources import derived, storage
 from perfusia.sources.scratch import Scratch
+from perfusia.streaming.frames import stream_frames, ticks_from
 
 STEP = stencil.StepParams(dt=0.05)
 #: Rows and columns of the image of orders in SQL.
@@ -275,6 +276,11 @@ def _(spark, d):
     return rounded(iterate.steps_by_bands(derived.tissue_grid(spark, d), STEP, 12, band=64, halo=8).select("r", "c", "o2", "co2"))
 
 
+@query("g14_steps_by_tiles", f"{steps_sql(12)} SELECT {STATE} FROM g12")
+def _(spark, d):
+    return rounded(iterate.steps_by_tiles(derived.tissue_grid(spark, d), STEP, 12, tile=24, halo=5).select("r", "c", "o2", "co2"))
+
+
 @query("g15_auto_engine", f"{steps_sql(13)} SELECT {STATE} FROM g13")
 def _(spark, d):
     return rounded(iterate.run_steps(derived.tissue_grid(spark, d), STEP, 13).select("r", "c", "o2", "co2"))
@@ -301,13 +307,27 @@ def _mix(a: float, b: float) -> str:
 LACK = UNIT.format("(0.2::DOUBLE - o2) / 0.2::DOUBLE")
 
 
-@query("p08_s16_overlay", f"""{steps_sql(1)} SELECT r, c, CASE WHEN vessel THEN 0.45 ELSE round({_mix(1.0, 0.0)} * (1 - 0.7::DOUBLE * {LACK}), 6) END::DOUBLE AS red,
+OVERLAY = f"""CASE WHEN vessel THEN 0.45 ELSE round({_mix(1.0, 0.0)} * (1 - 0.7::DOUBLE * {LACK}), 6) END::DOUBLE AS red,
 CASE WHEN vessel THEN 0.0 ELSE round({_mix(0.55, 0.8)} * (1 - 0.7::DOUBLE * {LACK}), 6) END::DOUBLE AS green, CASE WHEN vessel THEN 0.0 ELSE round({_mix(0.1, 1.0)} * (1 - 0.7::DOUBLE * {LACK}), 6) END::DOUBLE AS blue,
-CASE WHEN vessel THEN 1.0 ELSE round({UNIT.format(_mix(0.65, 0.55) + f" + 0.75::DOUBLE * {LACK}")}, 6) END::DOUBLE AS alpha FROM g1""")
+CASE WHEN vessel THEN 1.0 ELSE round({UNIT.format(_mix(0.65, 0.55) + f" + 0.75::DOUBLE * {LACK}")}, 6) END::DOUBLE AS alpha"""
+
+
+@query("p08_s16_overlay", f"{steps_sql(1)} SELECT r, c, {OVERLAY} FROM g1")
 def _(spark, d):
     return rounded(tissue.overlay_frame(stencil.gas_exchange_step(derived.tissue_grid(spark, d), STEP)))
 
 
+@query("g16_streamed_frames", f"{steps_sql(6)} " + " UNION ALL ".join(f"SELECT {i}::INT AS frame_id, r, c, {r(f'{i + 1} * 2 * 0.05::DOUBLE', 'time')}, {OVERLAY} FROM g{2 * i + 2}" for i in range(3)))
+def _(spark, d):
+    """Three ticks as a stream that ends with them; its frames read back."""
+    folder = Scratch(spark, "stream").path()
+    for chunk in range(3):
+        spark.range(chunk, chunk + 1).toDF("chunk").coalesce(1).write.parquet(f"{folder}/ticks/{chunk}")
+    cells = derived.tissue_grid(spark, d).select("r", "c", *iterate.STATE, *iterate.STATIC)
+    stream_frames(spark, ticks_from(spark, f"{folder}/ticks"), cells, STEP, 2, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out/frames").select("frame_id", "r", "c", "time", "red", "green", "blue", "alpha"))
+
+
 @query("a16_largest_error", f"{steps_sql(2)} SELECT {r('max(abs(a.o2 - b.o2))', 'o2')}, {r('max(abs(a.co2 - b.co2))', 'co2')} FROM g1 a JOIN g2 b USING (r, c)")
 def _(spark, d):
     one = stencil.gas_exchange_step(derived.tissue_grid(spark, d), STEP)

@@ -384,3 +384,29 @@ def test_a_network_fails_where_ids_repeat_or_ends_are_missing(spark):
         with pytest.raises(Exception, match=message):
             read(edges)
     assert len(network.network_from_tables(nodes, edge((1, 1, 9)), min_length=30.0)[1].collect()) == 0  # of dropped edges nothing is asked
+
+
+def test_a_stream_that_goes_on_leaves_frames_alone_and_repeats_what_broke_off(spark, tmp_path):
+    from perfusia.streaming.frames import stream_frames, ticks_from
+
+    cells = storage.cells_from_arrays(spark, random_arrays(9, 7)).select("r", "c", *iterate.STATE, *iterate.STATIC)
+    for i in range(2):
+        spark.range(i, i + 1).toDF("chunk").coalesce(1).write.parquet(str(tmp_path / f"ticks/{i}"))
+    go = lambda: stream_frames(spark, ticks_from(spark, str(tmp_path / "ticks")), cells, StepParams(0.05), 2, str(tmp_path / "out"), str(tmp_path / "check"), True).awaitTermination()
+    read = lambda: sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/frames")).collect()))
+    go()
+    files, first = sorted((tmp_path / "out/frames").rglob("*.parquet")), read()
+    go()
+    assert sorted((tmp_path / "out/frames").rglob("*.parquet")) == files and {r[-1] for r in first} == {0, 1}
+    (tmp_path / "check/commits/1").unlink()  # as if the driver had gone before it could note the second batch
+    for crc in (tmp_path / "check/commits").glob(".1.crc"):
+        crc.unlink()
+    go()
+    assert read() == first and sorted((tmp_path / "out/frames/frame_id=0").glob("*.parquet")) == [f for f in files if "frame_id=0" in str(f)]
+
+
+@pytest.mark.parametrize(("tile", "halo", "steps"), [(8, 3, 7), (5, 5, 6), (64, 20, 9)])
+def test_tiles_step_as_windows_do(spark, tile, halo, steps):
+    cells = storage.cells_from_arrays(spark, random_arrays(21, 18))
+    a, b = iterate.steps_by_tiles(cells, P, steps, tile, halo), iterate.steps_by_windows(cells, P, steps)
+    assert a.count() == 21 * 18 and max(simulate.largest_error(a, b, ["o2", "co2"]).first()) < 1e-12
