@@ -129,6 +129,7 @@ def test_texts_that_deny_their_declared_language_go(spark):
     rows = [(i, prose(rng, 120) if i % 2 else other(120), "en" if i % 2 else "de", f"s{i % 4}", 9) for i in range(200)]
     wrong = [(300, other(200), "en", "s1", 9), (301, prose(rng, 200), "de", "s0", 9), (302, other(150), "EN-us", "s3", 9)]
     right = [(400, prose(rng, 90), "EN-GB", "s0", 9), (401, other(90), None, "s1", 9), (402, prose(rng, 90), "written in English", "s2", 9), (403, "an er", "de", "s2", 9), (404, "", "de", "s1", 0)]
+    right += [(405, prose(rng, 120) + ". " + other(400), "en", "s1", 9)]  # a third of it is in the declared language
     same = [(500, wrong[0][1], "de", "s0", 9)]  # the text of 300 under its own language
     docs = spark.createDataFrame([*rows, *wrong, *right, *same], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
