@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
+from perfusia.operators import runs
 from perfusia.operators.nearest import nearest_points
 
 
@@ -27,30 +28,31 @@ def centerline_mask(segments: DataFrame, height: int, width: int) -> DataFrame:
     return centerline_pixels(segments, height, width).select("y", "x").distinct()
 
 
-def _disks(points: DataFrame, height: int, width: int, outer: Column, inner: Column | None = None) -> DataFrame:
-    """Pixels within `outer` of each point, and beyond `inner`, clipped to the shape."""
-    reach = F.ceil(F.greatest(outer, F.lit(0.0))).cast("int")
-    span = F.sequence(-reach, reach)
-    around = points.withColumn("outer", F.greatest(outer, F.lit(0.0))).withColumn("inner", F.lit(-1.0) if inner is None else F.greatest(inner, F.lit(0.0)))
-    around = around.select("*", F.explode(span).alias("dy")).select("*", F.explode(span).alias("dx"))
-    d2 = (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")
-    ring = around.where((d2 <= F.col("outer") * F.col("outer")) & ((F.col("inner") < 0) | (d2 > F.col("inner") * F.col("inner"))))
-    return in_bounds(ring.select("segment_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")), height, width)
+def _owned(points: DataFrame, height: int, width: int, outer: Column, inner: Column | None = None) -> DataFrame:
+    """(segment_id, y, x): the union of each segment's disks or rings."""
+    keys = ("segment_id", "y")
+    return runs.pixels(runs.union(runs.disk_runs(points, height, width, outer, inner), keys=keys), keys)
 
 
 def segment_pixel_map(segments: DataFrame, height: int, width: int, radius_scale: float = 1.0) -> DataFrame:
     """(segment_id, y, x): the union of disks along each segment."""
-    return _disks(centerline_pixels(segments, height, width), height, width, F.col("radius") * radius_scale).distinct()
+    return _owned(centerline_pixels(segments, height, width), height, width, F.col("radius") * radius_scale)
+
+
+def vessel_runs(segments: DataFrame, height: int, width: int, radius_scale: float = 1.0, padding: float = 0.0) -> DataFrame:
+    """The vessels as runs (y, x0, x1) that don't overlap."""
+    return runs.union(runs.disk_runs(centerline_pixels(segments, height, width), height, width, F.col("radius") * radius_scale + padding))
 
 
 def vessel_mask(segments: DataFrame, height: int, width: int, radius_scale: float = 1.0) -> DataFrame:
-    return _disks(centerline_pixels(segments, height, width), height, width, F.col("radius") * radius_scale).select("y", "x").distinct()
+    return runs.pixels(vessel_runs(segments, height, width, radius_scale))
 
 
 def exchange_mask(segments: DataFrame, height: int, width: int, padding: float = 1.0) -> DataFrame:
     """Cells within radius + padding of a vessel that lie in no vessel."""
-    wide = _disks(centerline_pixels(segments, height, width), height, width, F.col("radius") + padding).select("y", "x").distinct()
-    return wide.join(vessel_mask(segments, height, width), ["y", "x"], "left_anti")
+    points = centerline_pixels(segments, height, width)
+    wide, narrow = (runs.disk_runs(points, height, width, r) for r in (F.col("radius") + padding, F.col("radius")))
+    return runs.pixels(runs.difference(wide, narrow))
 
 
 def source_mask(segments: DataFrame, height: int, width: int, use_exchange_region: bool = False) -> DataFrame:
@@ -59,7 +61,7 @@ def source_mask(segments: DataFrame, height: int, width: int, use_exchange_regio
 
 def exchange_pixel_map(segments: DataFrame, height: int, width: int, padding: float = 1.0) -> DataFrame:
     """(segment_id, y, x): rings around centerline points, each less its own disk only, so other points' disks can be in it."""
-    return _disks(centerline_pixels(segments, height, width), height, width, F.col("radius") + padding, F.col("radius")).distinct()
+    return _owned(centerline_pixels(segments, height, width), height, width, F.col("radius") + padding, F.col("radius"))
 
 
 def as_sorted_lists(pixel_map: DataFrame) -> DataFrame:
@@ -68,10 +70,12 @@ def as_sorted_lists(pixel_map: DataFrame) -> DataFrame:
 
 def boundary_mask(mask: DataFrame) -> DataFrame:
     """Cells of the mask without all eight neighbours in it; what lies outside counts as unset."""
-    m = mask.select("y", "x").distinct()
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    seen = m.select("y", "x", F.explode(steps).alias("s")).groupBy((F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).count()
-    return m.join(seen.where("count = 9").select("y", "x"), ["y", "x"], "left_anti")
+    return runs.pixels(runs.boundary(runs.of_pixels(mask)))
+
+
+def vessel_boundary(segments: DataFrame, height: int, width: int) -> DataFrame:
+    """boundary_mask of vessel_mask, without cells in between."""
+    return runs.pixels(runs.boundary(vessel_runs(segments, height, width)))
 
 
 def mask_difference(a: DataFrame, b: DataFrame) -> DataFrame:

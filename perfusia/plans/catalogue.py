@@ -597,7 +597,7 @@ def _(spark, d):
 
 @query("r07_w10_u03_boundary_mask", f"WITH {BOUNDARY} SELECT y, x FROM boundary")
 def _(spark, d):
-    return raster.boundary_mask(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)))
+    return raster.vessel_boundary(own_network(spark, d)[1], *derived.image_shape(spark, d))
 
 
 @query("p09_outline_with_skeleton", f"WITH {BOUNDARY}, bone AS (SELECT DISTINCT y, x, true AS b FROM inside) SELECT coalesce(o.y, s.y) AS y, coalesce(o.x, s.x) AS x, 1.0::DOUBLE AS red, CASE WHEN b THEN 0.0 ELSE 1.0 END::DOUBLE AS green, CASE WHEN b THEN 0.0 ELSE 1.0 END::DOUBLE AS blue FROM boundary o FULL JOIN bone s ON o.y = s.y AND o.x = s.x")
@@ -615,6 +615,11 @@ def _(spark, d):
     return raster.mask_counts({k: masks[k] for k in ("centerline", "vessel", "outline")})
 
 
+@query("r04_source_mask_of_exchange", f"WITH {MASK}, wide AS (SELECT DISTINCT y, x FROM ({disk_sql('radius + 1')})) SELECT y, x FROM wide ANTI JOIN vessel USING (y, x)")
+def _(spark, d):
+    return raster.source_mask(own_network(spark, d)[1], *derived.image_shape(spark, d), use_exchange_region=True)
+
+
 @query("s03_despeckle", f"WITH {MASK}, n AS (SELECT y, x, count(*) AS n FROM (SELECT y + dy AS y, x + dx AS x FROM vessel, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dy, dx)) GROUP BY y, x) SELECT y, x FROM vessel JOIN n USING (y, x) WHERE n >= 3")
 def _(spark, d):
     return raster.despeckle(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)), 3)

@@ -410,3 +410,26 @@ def test_tiles_step_as_windows_do(spark, tile, halo, steps):
     cells = storage.cells_from_arrays(spark, random_arrays(21, 18))
     a, b = iterate.steps_by_tiles(cells, P, steps, tile, halo), iterate.steps_by_windows(cells, P, steps)
     assert a.count() == 21 * 18 and max(simulate.largest_error(a, b, ["o2", "co2"]).first()) < 1e-12
+
+
+def test_runs_are_the_sets_of_their_cells(spark):
+    from perfusia.operators import runs
+
+    rng = np.random.default_rng(4)
+    sets = [[(int(y), int(x), int(x + n)) for y, x, n in zip(rng.integers(0, 12, 60), rng.integers(-5, 40, 60), rng.integers(0, 9, 60))] for _ in range(2)]
+    a, b = ({(y, x) for y, x0, x1 in rows for x in range(x0, x1 + 1)} for rows in sets)
+    ra, rb = (spark.createDataFrame(rows, "y int, x0 int, x1 int") for rows in sets)
+    cells = lambda found: {(r.y, r.x) for r in runs.pixels(found).collect()}
+    whole = runs.union(ra)
+    held = sorted(map(tuple, whole.collect()))
+    assert all(p[0] != q[0] or p[2] + 1 < q[1] for p, q in zip(held, held[1:])) and cells(whole) == a  # apart, also from runs next to them
+    assert cells(runs.union(ra, rb)) == a | b and cells(runs.difference(ra, rb)) == a - b and cells(runs.intersection(ra, rb)) == a & b
+    inner = {(y, x) for y, x in a if all((y + dy, x + dx) in a for dy in (-1, 0, 1) for dx in (-1, 0, 1))}
+    assert cells(runs.eroded(whole)) == inner and cells(runs.boundary(whole)) == a - inner
+    assert runs.of_pixels(spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 4)], "y int, x int")).count() == 2
+    points = spark.createDataFrame([(1, 20, 20, float(r)) for r in (0, 0.5, 1, 1.5, 2.23606797749979, 5, 7.3)], "segment_id long, y int, x int, radius double")
+    for outer, inner in ((F.col("radius"), None), (F.col("radius") + 1, F.col("radius"))):
+        got = sorted((r.y, r.x) for r in runs.pixels(runs.disk_runs(points, 26, 25, outer, inner)).collect())
+        size = lambda r, k: r + 1 if k is not None else r
+        want = sorted((y, x) for r in (0, 0.5, 1, 1.5, 2.23606797749979, 5, 7.3) for y in range(26) for x in range(25) if (d := (y - 20) ** 2 + (x - 20) ** 2) <= size(r, inner) ** 2 and (inner is None or d > r * r))
+        assert got == want
