@@ -166,10 +166,14 @@ def solved_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 # ---- grids ----
 
 
-@query("s01_dense_grid", "SELECT (i // 64)::INT AS r, (i % 64)::INT AS c, 0.0::DOUBLE AS o2, 310.15::DOUBLE AS temperature, false AS vessel FROM (SELECT unnest(range((SELECT (max(vec_id) + 1) * 64 FROM embeddings))) AS i)")
+@query("s01_dense_grid", f"""WITH {GRID}, cells AS (SELECT i // 64 AS r, i % 64 AS c FROM (SELECT unnest(range((SELECT (max(vec_id) + 1) * 64 FROM embeddings))) AS i))
+SELECT k.r::INT AS r, k.c::INT AS c, round(coalesce(g.o2, 0.0), 6) + 0.0 AS o2, 310.15::DOUBLE AS temperature, coalesce(g.vessel, false) AS vessel FROM cells k LEFT JOIN g0 g ON g.r = k.r AND g.c = k.c AND g.label % 2 = 0""")
 def _(spark, d):
+    """Every other label's cells on the dense grid of all rows."""
     rows = derived.table(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
-    return tissue.dense_grid(spark, rows, 64).select("r", "c", "o2", "temperature", "vessel")
+    own = derived.tissue_grid(spark, d).where("label % 2 = 0").select("r", "c", F.col("o2").alias("_o2"), F.col("vessel").alias("_vessel"))
+    cells = tissue.dense_grid(spark, rows, 64).join(own, ["r", "c"], "left")
+    return rounded(cells.select("r", "c", F.coalesce("_o2", "o2").alias("o2"), "temperature", F.coalesce("_vessel", "vessel").alias("vessel")))
 
 
 @query("p01_p05_s12_s13_tissue_setup", f"WITH {GRID} SELECT r, c, vessel, {r('o2', 'o2')}, {r('epsilon', 'epsilon')}, {r('tau', 'tau')}, {r('vmax', 'vmax')}, {r('km', 'km')}, {r('vessel_o2', 'vessel_o2')}, {r('d_o2', 'd_o2')}, {r('d_co2', 'd_co2')} FROM g0")
@@ -190,14 +194,20 @@ def _rows(spark: SparkSession, d: str) -> int:
     return derived.table(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
 
 
-@query("s12_seeded_fields", f"WITH {CELLS} SELECT r::INT AS r, c::INT AS c, {r(seeded(0, 0.5, 10.0), 'o2')}, {r(seeded(1, 0.0, 2.0), 'co2')}, {r(seeded(2, 0.8, 1.2), 'd_o2')}, {CORNERS} AS vessel, CASE WHEN {CORNERS} THEN 10.0 ELSE 0.0 END::DOUBLE AS vessel_o2 FROM cells")
+@query("s12_seeded_fields", f"WITH {GRID}, {CELLS} SELECT k.r::INT AS r, k.c::INT AS c, {r('(' + seeded(0, 0.5, 10.0).replace('r::', 'k.r::').replace('c::', 'k.c::') + ') * (1 + g.o2)', 'o2')}, {r(seeded(1, 0.0, 2.0).replace('r::', 'k.r::').replace('c::', 'k.c::'), 'co2')}, {r(seeded(2, 0.8, 1.2).replace('r::', 'k.r::').replace('c::', 'k.c::'), 'd_o2')}, {CORNERS.replace('r B', 'k.r B').replace('c B', 'k.c B')} AS vessel FROM cells k JOIN raw g ON g.r = k.r AND g.c = k.c")
 def _(spark, d):
-    return rounded(derived.seeded_fields(spark, _rows(spark, d), 64).select("r", "c", "o2", "co2", "d_o2", "vessel", "vessel_o2"))
+    """The seeded start over the table's grid: what it gives a cell is raised by what the table holds there."""
+    own = derived.raw_grid(spark, d).select("r", "c", F.col("o2").alias("_o2"))
+    fields = derived.seeded_fields(spark, _rows(spark, d), 64).join(own, ["r", "c"])
+    return rounded(fields.select("r", "c", (F.col("o2") * (1 + F.col("_o2"))).alias("o2"), "co2", "d_o2", "vessel"))
 
 
-@query("s13_benchmark_fields", f"WITH {CELLS} SELECT r::INT AS r, c::INT AS c, 1.0::DOUBLE AS o2, 1.0::DOUBLE AS d_o2, 0.01::DOUBLE AS vmax, 1.0::DOUBLE AS km, false AS vessel FROM cells")
+@query("s13_benchmark_fields", f"WITH {GRID} SELECT r, c, round(1.0 - CASE WHEN vessel THEN 0.0 ELSE 0.05::DOUBLE * 0.01::DOUBLE / 2 END, 9) + 0.0 AS o2, vessel FROM g0")
 def _(spark, d):
-    return derived.benchmark_fields(spark, _rows(spark, d), 64).select("r", "c", "o2", "d_o2", "vmax", "km", "vessel")
+    """A step of the benchmark's uniform start over the table's rows, the table's vessels in it: nothing spreads, what isn't vessel consumes."""
+    own = derived.tissue_grid(spark, d).where("vessel").select("r", "c", F.lit(True).alias("_vessel"))
+    fields = derived.benchmark_fields(spark, _rows(spark, d), 64).join(own, ["r", "c"], "left").withColumns({"vessel": F.col("_vessel").isNotNull(), "vessel_o2": F.when(F.col("_vessel"), 1.0).otherwise(0.0)})
+    return rounded(stencil.gas_exchange_step(fields, STEP).select("r", "c", "o2", "vessel"), 9)
 
 
 @query("s11_case_round_trip", f"WITH {GRID} SELECT r, c, {r('o2', 'o2')}, {r('vmax', 'vmax')}, vessel, 0.05::DOUBLE AS dt FROM g0")
@@ -458,6 +468,27 @@ def _(spark, d):
     return rounded(segments.select("segment_id", "start_node", F.element_at("centerline", 1)["x"].alias("x0"), F.element_at("centerline", -1)["y"].alias("y1"), F.element_at("radii", 1).alias("first_radius")))
 
 
+@query("s08_s09_w12_own_lines", f"""WITH {PATHS}, {GRID}, e AS (SELECT segment_id, start_node, end_node, CASE WHEN edges.pos % 3 = 2 THEN 2 ELSE 3 END AS n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, row_number() OVER (ORDER BY segment_id) - 1 AS id
+  FROM edges JOIN nodes a ON a.node_id = start_node JOIN nodes b ON b.node_id = end_node), p AS (
+  SELECT id, start_node, n, i, CASE WHEN i = 0 THEN x0 WHEN i = n - 1 THEN x1 ELSE 60.0 END AS x, CASE WHEN i = 0 THEN y0 WHEN i = n - 1 THEN y1 ELSE y0 + 1 END AS y FROM (SELECT *, unnest(range(n)) AS i FROM e)
+), look AS (SELECT id, start_node, n, i, x, round(coalesce(g.o2, 0.0), 4) AS radius FROM p LEFT JOIN raw g ON g.r = least(greatest(y::INT, 0), (SELECT max(r) FROM raw)) AND g.c = least(greatest(round_even(x, 0)::INT, 0), 63))
+SELECT id AS segment_id, start_node, n::INT AS points, round(sum(x), 4) + 0.0 AS across, round(sum((i + 1) * radius), 4) + 0.0 AS radii FROM look GROUP BY id, start_node, n""")
+def _(spark, d):
+    """Nodes with their place in position or coord; edges with points under path or coords, a third of them with neither."""
+    found = lines(spark, d)
+    at, edges = derived.path_nodes(found), derived.path_edges(found)
+    even = F.col("node_id") % 2 == 0
+    nodes = at.select(F.col("node_id").cast("string").alias("name"), F.when(even, F.struct("x", "y")).alias("position"), F.when(~even, F.struct("x", "y")).alias("coord"))
+    ends = edges.join(at.select(F.col("node_id").alias("start_node"), F.struct("x", "y").alias("p")), "start_node").join(at.select(F.col("node_id").alias("end_node"), F.struct("x", "y").alias("q")), "end_node")
+    bent = F.array("p", F.struct(F.lit(60.0).alias("x"), (F.col("p.y") + 1).alias("y")), "q")
+    kind = F.col("start_node") % 1000 % 3
+    own = ends.select(F.col("edge_id").alias("ord"), F.col("start_node").cast("string").alias("start_name"), F.col("end_node").cast("string").alias("end_name"), F.when(kind == 0, bent).alias("path"), F.when(kind == 1, bent).alias("coords"))
+    _, segments = network.network_from_graph(nodes, own, derived.raw_grid(spark, d).select("r", "c", F.round("o2", 4).alias("radius")))
+    sums = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    weighed = F.transform("radii", lambda v, i: v * (i + 1))
+    return rounded(segments.select("segment_id", "start_node", F.size("centerline").alias("points"), sums(F.transform("centerline", lambda p: p["x"])).alias("across"), sums(weighed).alias("radii")), 4)
+
+
 # ---- flow ----
 
 
@@ -637,9 +668,13 @@ def _(spark, d):
     return extract.euler(bones.select(F.col("r").alias("y"), F.col("c").alias("x"))).join(F.broadcast(found))
 
 
-@query("p06_fit_mask", f"WITH {MASK} SELECT y, x FROM vessel WHERE y < 100 AND x < 50")
+@query("p06_fit_mask", f"WITH {MASK} SELECT y, x FROM vessel WHERE y < {H} // 2 AND x < 50")
 def _(spark, d):
-    return raster.fit_mask(raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)), 100, 50)
+    """The upper half of a stored mask, from the bands that it meets."""
+    height, width = derived.image_shape(spark, d)
+    folder = Scratch(spark, "bands").path()
+    storage.save_mask(raster.vessel_mask(own_network(spark, d)[1], height, width), folder, max(height // 64, 1))
+    return raster.fit_mask(storage.read_mask(spark, folder, max(height // 64, 1), 0, height // 2), height // 2, 50)
 
 
 @query("j08_r08_boundary_pixel_map", f"WITH {OWNED} SELECT segment_id, y, x FROM owned")
@@ -801,9 +836,9 @@ def _(spark, d):
     return raster.vessel_mask(own_network(spark, d)[1], *derived.image_shape(spark, d)).orderBy("y", "x").limit(5)
 
 
-@query("s05_reconstructed_mask", f"WITH {GRID} SELECT DISTINCT y, x FROM (SELECT r + dy AS y, c + dx AS x, 2 * o2 AS rad, dy, dx FROM raw, LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dy), LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dx) WHERE label = 1) WHERE dy * dy + dx * dx <= rad * rad AND y BETWEEN 0 AND (SELECT max(r) FROM raw) AND x BETWEEN 0 AND 63")
+@query("s05_reconstructed_mask", f"WITH {GRID} SELECT DISTINCT y, x FROM (SELECT r + dy AS y, c + dx AS x, 2 * o2 AS rad, dy, dx FROM raw, LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dy), LATERAL (SELECT unnest(range(-ceil(2 * o2)::INT, ceil(2 * o2)::INT + 1))::INT AS dx)) WHERE dy * dy + dx * dx <= rad * rad AND y BETWEEN 0 AND (SELECT max(r) FROM raw) AND x BETWEEN 0 AND 63")
 def _(spark, d):
-    bones = derived.raw_grid(spark, d).where("label = 1").select("r", "c", (2 * F.col("o2")).alias("radius"))
+    bones = derived.raw_grid(spark, d).select("r", "c", (2 * F.col("o2")).alias("radius"))
     return simulate.reconstruct_mask(bones, _rows(spark, d), 64)
 
 

@@ -20,6 +20,18 @@ def load_geometry(spark: SparkSession, folder: str, names: list[str]) -> dict[st
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
 
 
+def save_mask(mask: DataFrame, folder: str, band: int) -> None:
+    """A mask (y, x) in folders of `band` rows each, so that a window of it opens only those it meets."""
+    banded = mask.select("y", "x", F.floor(F.col("y") / band).cast("int").alias("band"))
+    banded.repartition("band").write.mode("overwrite").partitionBy("band").parquet(folder)
+
+
+def read_mask(spark: SparkSession, folder: str, band: int, first: int, end: int) -> DataFrame:
+    """(y, x) of the rows from `first` to before `end`."""
+    stored = spark.read.schema("y int, x int, band int").parquet(folder)
+    return stored.where((F.col("band") >= first // band) & (F.col("band") <= (end - 1) // band) & (F.col("y") >= first) & (F.col("y") < end)).select("y", "x")
+
+
 def read_case(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """JSON cases of flat row-major arrays as cells; case_id is null where a case has none."""
     case = spark.read.schema(CASE).option("multiLine", multi_line).json(path)
