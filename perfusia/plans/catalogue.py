@@ -742,6 +742,16 @@ def _(spark, d):
     return s.select(*[(F.round(c, 3 if c.endswith("total") else 6) + 0.0).alias(c) for c in s.columns])
 
 
+@query("r15_coupled_run", f"WITH {BOUNDARY} SELECT y, x, 1.0::DOUBLE AS oxygen, -1.0::DOUBLE AS carbon_dioxide FROM boundary")
+def _(spark, d):
+    """From skeleton to source map: traced centerlines, network, flow between the ends of the largest component, concentrations, completion, sources. That
+    component is a chain, so each of its segments carries all of its flow, and the others take their values from it: a boundary pixel has 1 and -1."""
+    found = lines(spark, d)
+    nodes, shape = derived.path_nodes(found), derived.image_shape(spark, d)
+    vessel = Scratch(spark, "vessel").keep(raster.vessel_mask(own_network(spark, d)[1], *shape))
+    return rounded(simulate.vessel_coupling(derived.skeleton_of(nodes), nodes, derived.path_edges(found), vessel, *shape)["sources"])
+
+
 # ---- scaling and skeletons ----
 
 
