@@ -64,8 +64,10 @@ def cells_from_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> Dat
     return spark.createDataFrame(pd.DataFrame({"r": r.ravel().astype("int32"), "c": c.ravel().astype("int32"), **{k: a.ravel() for k, a in arrays.items()}}))
 
 
-def arrays_from_cells(cells: DataFrame, fields: list[str]) -> dict[str, np.ndarray]:
-    """Back to 2-D arrays on the driver, for grids that fit there."""
+def arrays_from_cells(cells: DataFrame, fields: list[str], most: int = 20_000_000) -> dict[str, np.ndarray]:
+    """Back to 2-D arrays on the driver; an error for grids of more than `most` cells."""
+    if (n := cells.count()) > most:
+        raise ValueError(f"{n} cells are too many for the driver, {most} are allowed")
     pdf = cells.select("r", "c", *fields).toPandas().sort_values(["r", "c"])
     shape = int(pdf.r.max()) + 1, int(pdf.c.max()) + 1
     return {f: pdf[f].to_numpy().reshape(shape) for f in fields}

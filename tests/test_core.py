@@ -98,6 +98,8 @@ def test_no_steps_and_bad_calls(spark):
         storage.cells_from_arrays(spark, {"a": np.zeros((2, 2)), "b": np.zeros((2, 3))})
     with pytest.raises(ValueError):
         tissue.dense_grid(spark, 0, 3)
+    with pytest.raises(ValueError, match="too many"):
+        storage.arrays_from_cells(storage.cells_from_arrays(spark, {"a": np.zeros((2, 3))}), ["a"], most=5)
 
 
 def test_species(spark):
