@@ -519,14 +519,14 @@ sheet AS (
 )"""
 
 
-def _balance(pressures: DataFrame, flows: DataFrame, fixed: DataFrame) -> DataFrame:
+def _balance(pressures: DataFrame, flows: DataFrame, fixed: DataFrame, tolerance: float = 1e-11) -> DataFrame:
     """(node_id, segments, fixed, balanced, between): whether a node's flows add up to nothing beside what its conductances carry at its neighbours' pressures, and its pressure lies between those of its neighbours."""
-    sides = F.explode(F.array(*[F.struct(F.col(a).alias("node_id"), (sign * F.col("flow_m3_per_s")).alias("q"), F.col(p).alias("far"), (F.col(p) / F.col("resistance_pa_s_per_m3")).alias("size")) for a, sign, p in (("start_node", 1, "end_pressure_pa"), ("end_node", -1, "start_pressure_pa"))]))
+    sides = F.explode(F.array(*[F.struct(F.col(a).alias("node_id"), (sign * F.col("flow_m3_per_s")).alias("q"), F.when(F.col("start_node") != F.col("end_node"), F.col(p)).alias("far"), (F.col(p) / F.col("resistance_pa_s_per_m3")).alias("size")) for a, sign, p in (("start_node", 1, "end_pressure_pa"), ("end_node", -1, "start_pressure_pa"))]))
     sums = flows.select(sides.alias("s")).select("s.*").groupBy("node_id").agg(F.count("*").alias("segments"), F.sum("q").alias("net"), F.sum("size").alias("size"), F.min("far").alias("low"), F.max("far").alias("high"))
     found = pressures.join(sums, "node_id", "left").join(fixed.select("node_id", F.lit(True).alias("fixed")), "node_id", "left").na.fill(False, ["fixed"])
     slack = 1e-9 * F.col("pressure")
     return found.select(
-        "node_id", F.coalesce("segments", F.lit(0)).cast("bigint").alias("segments"), "fixed", F.coalesce(F.abs("net") <= 1e-11 * F.col("size"), F.lit(True)).alias("balanced"),
+        "node_id", F.coalesce("segments", F.lit(0)).cast("bigint").alias("segments"), "fixed", F.coalesce(F.abs("net") <= tolerance * F.col("size"), F.lit(True)).alias("balanced"),
         F.coalesce((F.col("pressure") >= F.col("low") - slack) & (F.col("pressure") <= F.col("high") + slack), F.lit(True)).alias("between"),
     )
 
@@ -539,6 +539,22 @@ def _(spark, d):
     return _balance(*flow.solve_network_flow_mmhg(own, segments, fixed), fixed)
 
 
+@query("g11_gradients_on_parts", f"""WITH RECURSIVE {PATHS}, seg AS (
+  SELECT * FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY pos) AS b FROM lines) WHERE b IS NOT NULL
+), side AS (SELECT a, b FROM seg UNION ALL SELECT b, a FROM seg), ends AS (SELECT min(p_partkey) AS first, max(p_partkey) AS last FROM part), reach(id) AS (
+  SELECT unnest([first, last]) FROM ends UNION SELECT b FROM reach JOIN side ON a = id
+) SELECT id AS node_id, (SELECT count(*) FROM side WHERE a = id) AS segments, id = first OR id = last AS fixed, NOT (id = first OR id = last) AS balanced, NOT (id = first OR id = last) AS between FROM reach, ends""")
+def _(spark, d):
+    """Parts that follow each other in an order: a graph without small separators, which goes to conjugate gradients."""
+    nodes, steps = derived.part_graph(spark, d)
+    line = F.array(*[F.struct(F.lit(float(k)).alias("x"), F.lit(0.0).alias("y")) for k in (0, 1)])
+    radius = F.array(1 + (F.col("segment_id") % 7) / 7)
+    segments = steps.select("segment_id", "start_node", "end_node", line.alias("centerline"), radius.alias("radii"), F.lit(1.0).alias("scale"), (10.0 + F.col("segment_id") % 11).alias("meta_length_px"))
+    ends = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    fixed = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.lit(35.0).alias("pressure_mmhg")), F.struct(F.col("b").alias("node_id"), F.lit(15.0).alias("pressure_mmhg")))).alias("e")).select("e.*")
+    return _balance(*flow.solve_network_flow_mmhg(nodes, segments, fixed, dense=100), fixed, 1e-9)
+
+
 @query("f13_point_lookups", f"WITH {FLOW} SELECT 'node' AS kind, node_id AS id, {r('mmhg', 'value', 4)} FROM solved WHERE node_id = (SELECT min(node_id) FROM nodes) UNION ALL SELECT 'segment', segment_id, {r('q * 1e18', 'value', 2)} FROM flows WHERE segment_id = (SELECT min(segment_id) FROM edges)")
 def _(spark, d):
     pressures, flows = solved_paths(spark, d)
