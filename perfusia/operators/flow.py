@@ -24,9 +24,9 @@ def segment_resistances(segments: DataFrame, viscosity: float = scalars.BLOOD_VI
     return measured(segments).select("segment_id", "start_node", "end_node", scalars.segment_resistance(F.col("length_um"), F.col("mean_radius_um"), viscosity).alias("resistance"))
 
 
-def pressure_connected(nodes: DataFrame, segments: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(node_id, component) of the nodes that a fixed node reaches, whichever it is."""
-    labels = component_labels(nodes, segments)
+def pressure_connected(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node_id, component) of the nodes that a fixed node reaches, whichever it is. `labels` are those of component_labels, if known."""
+    labels = component_labels(nodes, segments) if labels is None else labels
     return labels.join(labels.join(fixed.select("node_id"), "node_id").select("component").distinct(), "component", "left_semi").select("node_id", "component")
 
 
@@ -127,7 +127,7 @@ def conjugate_gradient(matrix: DataFrame, right: DataFrame, tolerance: float = 1
     raise ArithmeticError(f"pressures haven't converged after {most} iterations")
 
 
-def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:
+def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pressures (node_id, pressure) of the nodes that fixed ones (node_id, pressure) reach, and segment flows.
 
     Two fixed nodes are needed, wherever they are: one alone in a component gives it its own pressure and no flow. A task
@@ -137,7 +137,7 @@ def solve_network_flow(nodes: DataFrame, segments: DataFrame, fixed: DataFrame,
         raise ValueError("two nodes of fixed pressure are needed")
     scratch = Scratch(nodes.sparkSession, "flow")
     resistances = scratch.keep(segment_resistances(segments, viscosity))
-    active = scratch.keep(pressure_connected(nodes, segments, fixed).join(fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")), "node_id", "left"))
+    active = scratch.keep(pressure_connected(nodes, segments, fixed, labels).join(fixed.select("node_id", F.col("pressure").cast("double").alias("pressure")), "node_id", "left"))
     live = resistances.where("start_node <> end_node")
     largest = live.join(active.select(F.col("node_id").alias("start_node")), "start_node", "left_semi").agg(F.max(1 / F.col("resistance"))).first()[0] or 1.0
     # conductances are scaled to one at most: in SI units they are far below what sums keep well
@@ -166,9 +166,9 @@ def solve_large(links: DataFrame, ground: DataFrame, places: DataFrame, dense: i
     return dissect.put_back(core, levels, scratch)
 
 
-def solve_network_flow_mmhg(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000) -> tuple[DataFrame, DataFrame]:
+def solve_network_flow_mmhg(nodes: DataFrame, segments: DataFrame, fixed: DataFrame, viscosity: float = scalars.BLOOD_VISCOSITY_PA_S, dense: int = 2000, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """fixed: (node_id, pressure_mmhg)."""
-    return solve_network_flow(nodes, segments, fixed.select("node_id", scalars.pascal(F.col("pressure_mmhg")).alias("pressure")), viscosity, dense)
+    return solve_network_flow(nodes, segments, fixed.select("node_id", scalars.pascal(F.col("pressure_mmhg")).alias("pressure")), viscosity, dense, labels)
 
 
 def segment_flows(resistances: DataFrame, pressures: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfusia.functions import scalars
-from perfusia.operators.components import components
+from perfusia.operators.components import components, contracted
 from perfusia.sources.scratch import Scratch
 
 NODES = "node_id bigint, x double, y double"
@@ -167,20 +167,20 @@ def connected_segments(segments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def component_labels(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     """(node_id, component): the smallest node reachable; isolated nodes are their own."""
-    linked = components(segments.select(F.col("start_node").alias("a"), F.col("end_node").alias("b")), Scratch(nodes.sparkSession, "components"))
+    linked = components(contracted(segments.select(F.col("start_node").alias("a"), F.col("end_node").alias("b"))), Scratch(nodes.sparkSession, "components"))
     return nodes.select("node_id").join(linked, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def largest_component(nodes: DataFrame, segments: DataFrame) -> DataFrame:
-    """(node_id) of the component with most nodes; of several, that of the smallest node."""
-    labels = component_labels(nodes, segments)
+def largest_component(nodes: DataFrame, segments: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node_id) of the component with most nodes; of several, that of the smallest node. `labels` are those of component_labels, if known."""
+    labels = component_labels(nodes, segments) if labels is None else labels
     first = labels.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
     return labels.join(F.broadcast(first.select("component")), "component").select("node_id")
 
 
-def pressure_boundary_nodes(nodes: DataFrame, segments: DataFrame) -> DataFrame:
+def pressure_boundary_nodes(nodes: DataFrame, segments: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row (inlet, outlet, size): the leftmost and rightmost node of the largest component, the smaller id of equals."""
-    inside = nodes.join(largest_component(nodes, segments), "node_id")
+    inside = nodes.join(largest_component(nodes, segments, labels), "node_id")
     ends = inside.agg(F.min_by("node_id", F.struct("x", "node_id")).alias("inlet"), F.max_by("node_id", F.struct(F.col("x"), -F.col("node_id"))).alias("outlet"), F.count("*").alias("size"))
     return ends.select(F.when(F.col("size") < 2, F.raise_error(F.lit("the largest component has fewer than two nodes")).cast("long")).otherwise(F.col("inlet")).alias("inlet"), "outlet", "size")
 

@@ -70,12 +70,15 @@ def domain_from_structure(name: str, folder: str, mask: DataFrame, bones: DataFr
 
 def vessel_coupling(bones: DataFrame, nodes: DataFrame, edges: DataFrame, reconstruction: DataFrame, height: int, width: int, inlet_mmhg: float = 35.0, outlet_mmhg: float = 15.0) -> dict[str, DataFrame]:
     """From geometry to source maps: centerlines, network, boundary pixels, flow, concentrations, sources and their summary."""
+    scratch = Scratch(nodes.sparkSession, "coupling")
+    nodes, edges = scratch.keep(nodes), scratch.keep(edges)
     lines = skeleton.edge_centerlines(bones, nodes, edges, height, width, on_missing="drop")
-    own_nodes, segments = network.network_from_tables(nodes, edges, lines, min_length=0.0, min_radius=0.0)
-    boundary = raster.reconstructed_boundary_pixel_map(segments, reconstruction, height, width)
-    ends = network.pressure_boundary_nodes(own_nodes, segments)
+    own_nodes, segments = map(scratch.keep, network.network_from_tables(nodes, edges, lines, min_length=0.0, min_radius=0.0))
+    boundary = scratch.keep(raster.reconstructed_boundary_pixel_map(segments, reconstruction, height, width))
+    labels = scratch.keep(network.component_labels(own_nodes, segments))
+    ends = network.pressure_boundary_nodes(own_nodes, segments, labels)
     fixed = ends.select(F.explode(F.array(F.struct(F.col("inlet").alias("node_id"), F.lit(inlet_mmhg).alias("pressure_mmhg")), F.struct(F.col("outlet").alias("node_id"), F.lit(outlet_mmhg).alias("pressure_mmhg")))).alias("f")).select("f.*")
-    pressures, flows = flow.solve_network_flow_mmhg(own_nodes, segments, fixed)
+    pressures, flows = flow.solve_network_flow_mmhg(own_nodes, segments, scratch.keep(fixed), labels=labels)
     sources = transport.boundary_source_maps(height, width, boundary, transport.flow_weighted_concentrations(flows))
     return {"segments": segments, "boundary": boundary, "pressures": pressures, "flows": flows, "sources": sources, "summary": transport.summarize_sources(sources, height, width)}
 

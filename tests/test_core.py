@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from perfusia.functions import scalars, species
 from perfusia.operators import flow, iterate, network, raster, scaling, skeleton, stencil, tissue, transport
+from perfusia.operators.components import components, contracted
 from perfusia.operators.stencil import StepParams
 from perfusia.plans import simulate
 from perfusia.sources import storage
+from perfusia.sources.scratch import Scratch
 
 P = StepParams(dt=0.1)
 
@@ -226,6 +228,30 @@ def test_a_segment_without_radius_stops_the_flow(spark):
         flow.solve_network_flow_mmhg(nodes, segments, spark.createDataFrame([(0, 1.0), (1, 2.0)], "node_id long, pressure_mmhg double"))
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_contraction_keeps_components(spark, chunk):
+    rng = np.random.default_rng(3)
+    ends = rng.integers(-400, 400, (260, 2)).tolist() + [[500, k] for k in range(501, 560)] + [[k, k + 1] for k in range(900, 960)] + [[7, 7], [None, 3], [4, None]]
+    ends += ends[:20]
+    least = {}
+
+    def top(x):
+        least.setdefault(x, x)
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in ends:
+        if a is not None and b is not None and a != b:
+            p, q = sorted((top(a), top(b)))
+            least[q] = p
+    edges = spark.createDataFrame([tuple(e) for e in ends], "a long, b long")
+    stars = contracted(edges, chunk, 64)
+    assert stars.count() <= len(ends)
+    assert {r.node: r.component for r in components(stars, Scratch(spark, "test")).collect()} == {x: top(x) for x in least}
+    assert contracted(edges.where("false")).count() == 0
+
+
 def test_network_measures(spark):
     nodes, segments = simple_network(spark, [*Y[0], (6, 6, 5, 1)], Y[1])
     assert {r.node_id for r in network.endpoint_nodes(nodes, segments).collect()} == {0, 2, 3, 4, 5}
