@@ -11,9 +11,15 @@ start. Two paths can part at junctions only, by their links' first steps; so the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from perfusia.operators import runs
 from perfusia.operators.components import components
 from perfusia.sources.scratch import Scratch
 
@@ -32,16 +38,53 @@ def skeleton_graph(skeleton: DataFrame) -> DataFrame:
 
 
 def nearest_skeleton_pixel(points: DataFrame, skeleton: DataFrame, height: int, width: int, reach: int = 3) -> DataFrame:
-    """points (id, row, col) with sr, sc: the skeleton pixel nearest to the rounded, clipped point within +-reach, the first
-    in row order of equals; the query fails if there is none."""
+    """points (id, row, col, ..) with sr, sc: the skeleton pixel nearest to the rounded, clipped point within +-reach, the first
+    in row order of equals; the query fails if there is none.
+
+    Skeleton pixels and points are dealt to tiles, the pixels also to those they border on, and sorted by them: one shuffle, in which a point is one
+    row. A task holds the image of one tile, in which its points look around.
+    """
     clip = lambda x, top: F.least(F.greatest(F.rint(x).cast("int"), F.lit(0)), F.lit(top - 1))
-    at = points.withColumns({"_r": clip(F.col("row"), height), "_c": clip(F.col("col"), width)})
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    asked = at.select("id", "_r", "_c", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-    asked = asked.select("id", (F.col("_r") + F.col("dr")).alias("r"), (F.col("_c") + F.col("dc")).alias("c"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    best = asked.join(skeleton.select("r", "c").distinct(), ["r", "c"]).groupBy("id").agg(F.min(F.struct("d2", "r", "c")).alias("b"))
-    none = F.raise_error(F.lit("no skeleton pixel near a point")).cast("int")
-    return points.join(best, "id", "left").select(*points.columns, F.when(F.col("b").isNull(), none).otherwise(F.col("b.r")).alias("sr"), F.when(F.col("b").isNull(), none).otherwise(F.col("b.c")).alias("sc"))
+    tile = lambda c, n: F.floor(F.col(c) / n)
+    at = points.select(clip(F.col("row"), height).alias("_r"), clip(F.col("col"), width).alias("_c"), *points.columns)
+    tall, wide = runs.TALL, runs.WIDE
+    asked = at.select(tile("_r", tall).alias("_ty"), tile("_c", wide).alias("_tx"), F.lit(True).alias("_asks"), "*")
+    bones = skeleton.select(F.col("r").cast("int").alias("_r"), F.col("c").cast("int").alias("_c"))
+    near = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - reach) / n), F.floor((F.col(c) + reach) / n)))
+    held = bones.select(near("_r", tall).alias("_ty"), "*").select("_ty", near("_c", wide).alias("_tx"), F.lit(False).alias("_asks"), "_r", "_c")
+    held = held.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema])
+    dealt = held.union(asked).repartition("_ty", "_tx").sortWithinPartitions("_ty", "_tx", "_asks")
+    around = sorted((dr * dr + dc * dc, dr, dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, image = None, np.zeros((tall + 2 * reach, wide + 2 * reach), bool)
+        for batch in batches:
+            ty, tx, asks, r, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            turns = np.flatnonzero((ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(ty)]):
+                if a == b:
+                    continue
+                if at != (now := (int(ty[a]), int(tx[a]))):
+                    at = now
+                    image[:] = False
+                y, x = r[a:b] - at[0] * tall + reach, c[a:b] - at[1] * wide + reach
+                if not asks[a]:
+                    image[y, x] = True
+                    continue
+                sr, sc, left = r[a:b].copy(), c[a:b].copy(), np.arange(b - a)
+                for _, dr, dc in around:
+                    hit = image[y[left] + dr, x[left] + dc]
+                    sr[left[hit]] += dr
+                    sc[left[hit]] += dc
+                    left = left[~hit]
+                    if not len(left):
+                        break
+                if len(left):
+                    raise ValueError("no skeleton pixel near a point")
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns[5:], pa.array(sr.astype(np.int32)), pa.array(sc.astype(np.int32))], [*own.schema.names[5:], "sr", "sc"])
+
+    return dealt.mapInArrow(run, StructType([*points.schema, StructField("sr", IntegerType()), StructField("sc", IntegerType())]))
 
 
 def _pixel(r: str, c: str) -> Column:

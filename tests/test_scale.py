@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from perfusia.operators import raster, runs
+from perfusia.operators import raster, runs, skeleton
 
 
 def exchanges(df) -> int:
@@ -52,3 +52,20 @@ def test_tiles_give_what_the_whole_image_has(spark, tall, wide):
         assert sorted(map(tuple, runs.painted([runs.of_mask(pixels)], made, 1, tall, wide).collect())) == cells(want)
     joined = runs.union(runs.of_mask(pixels))
     assert sorted(map(tuple, raster.despeckle(joined, 3).collect())) == cells(image & (around >= 4))
+
+
+def test_a_point_is_one_row_where_pixels_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TALL", 8)
+    monkeypatch.setattr(runs, "WIDE", 6)
+    rng = np.random.default_rng(1)
+    bones = sorted({(int(r), int(c)) for r, c in rng.integers(0, 40, (700, 2))})
+    points = [(k, float(r), float(c)) for k, (r, c) in enumerate(rng.random((200, 2)) * 50 - 5)] * 2
+    clip = lambda v: int(min(max(np.rint(v), 0), 39))
+    want = []
+    for k, row, col in points:
+        r, c = clip(row), clip(col)
+        near = [((y - r) ** 2 + (x - c) ** 2, y, x) for y, x in bones if abs(y - r) <= 3 and abs(x - c) <= 3]
+        want.append((k, *min(near)[1:]))
+    found = skeleton.nearest_skeleton_pixel(spark.createDataFrame(points, "id int, row double, col double"), spark.createDataFrame(bones, "r int, c int"), 40, 40)
+    assert sorted(map(tuple, found.select("id", "sr", "sc").collect())) == sorted(want)
+    assert exchanges(found) == 1
