@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from perfusia.operators import skeleton
+from perfusia.operators import runs, skeleton
 from perfusia.operators.components import components
 from perfusia.operators.nearest import nearest_points
 from perfusia.sources.scratch import Scratch
@@ -44,6 +44,11 @@ GOES = np.array([_may_go(c) for c in range(256)])
 
 def thin_layers(image: np.ndarray, y0: int, x0: int, layers: int) -> np.ndarray:
     """The image, its first pixel at (y0, x0), without some layers."""
+    return peeled(image, y0, x0, layers)[0]
+
+
+def peeled(image: np.ndarray, y0: int, x0: int, layers: int) -> tuple[np.ndarray, bool]:
+    """thin_layers, and whether the last layer took something, so that there may be more."""
     on = np.pad(image, 1)
     h, w = image.shape
     shifted = lambda dy, dx: on[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
@@ -55,8 +60,8 @@ def thin_layers(image: np.ndarray, y0: int, x0: int, layers: int) -> np.ndarray:
             code = sum(shifted(dy, dx).astype(np.uint8) << b for b, (dy, dx) in enumerate(AROUND))
             on[1:-1, 1:-1] &= ~(border & (kind == k) & GOES[code])
         if on.sum() == before:
-            break
-    return image_of(on)
+            return image_of(on), False
+    return image_of(on), True
 
 
 def image_of(padded: np.ndarray) -> np.ndarray:
@@ -68,27 +73,32 @@ def thinned(mask: DataFrame, tile: int = 256, layers: int = 8) -> DataFrame:
     scratch = Scratch(mask.sparkSession, "thinning")
     halo = REACH * layers
 
-    def written(rows: DataFrame) -> tuple[DataFrame, int]:
-        seen = Observation()
-        return scratch.keep(rows.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"] or 0
-
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = key[0] * tile - halo, key[1] * tile - halo
-        image = np.zeros((tile + 2 * halo,) * 2, bool)
-        image[own.r.to_numpy() - y0, own.c.to_numpy() - x0] = True
-        y, x = np.nonzero(thin_layers(image, y0, x0, layers)[halo:-halo, halo:-halo])
-        return pd.DataFrame({"r": (y + y0 + halo).astype("int32"), "c": (x + x0 + halo).astype("int32")})
+        y, x = own.r.to_numpy(np.int64), own.c.to_numpy(np.int64)
+        mine = lambda y, x: (y // tile == key[0]) & (x // tile == key[1])
+        if not mine(y, x).any():
+            return pd.DataFrame({"r": [], "c": [], "open": []})
+        y0, x0 = y.min(), x.min()  # around the tile's pixels there is background
+        image = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+        image[y - y0, x - x0] = True
+        image, open_ = peeled(image, int(y0), int(x0), layers)
+        y, x = np.nonzero(image)
+        y, x = y + y0, x + x0
+        kept = mine(y, x)
+        return pd.DataFrame({"r": y[kept].astype("int32"), "c": x[kept].astype("int32"), "open": open_})
 
     low = lambda c: F.floor((F.col(c) - halo) / tile)
     high = lambda c: F.floor((F.col(c) + halo) / tile)
-    now, n = written(mask.select(F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c")).distinct())
-    last = n + 1
-    while n < last:
+    now = scratch.keep(mask.select(F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c")).distinct())
+    while True:
         near = now.select("r", "c", F.explode(F.sequence(low("r"), high("r"))).alias("ty")).select("r", "c", "ty", F.explode(F.sequence(low("c"), high("c"))).alias("tx"))
-        (after, m), last = written(near.groupBy("ty", "tx").applyInPandas(run, "r int, c int")), n
+        seen = Observation()
+        peel = near.groupBy("ty", "tx").applyInPandas(run, "r int, c int, open boolean")
+        after = scratch.keep(peel.observe(seen, F.count_if("open").alias("n")).select("r", "c"))
         scratch.drop(now)
-        now, n = after, m
-    return now
+        now = after
+        if not seen.get["n"]:  # in no tile did the last layer take anything
+            return now
 
 
 def distance_map(mask: DataFrame, height: int, width: int) -> DataFrame:
@@ -107,19 +117,27 @@ def distance_map(mask: DataFrame, height: int, width: int) -> DataFrame:
 def euler(mask: DataFrame) -> DataFrame:
     """One row (euler) of a mask (y, x) of eight neighbours a pixel: components less holes, from the squares of four
     pixels: a quarter of those that hold one, less those that hold three, less twice those that hold two across."""
-    corners = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << 2 * dy + dx).alias("bit")) for dy in (0, 1) for dx in (0, 1)])
-    marked = mask.select("y", "x").distinct().select("y", "x", F.explode(corners).alias("s"))
-    squares = marked.groupBy((F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x")).agg(F.sum("s.bit").alias("code"))
-    weight = F.when(F.col("code").isin(1, 2, 4, 8), 1).when(F.col("code").isin(7, 11, 13, 14), -1).when(F.col("code").isin(6, 9), -2).otherwise(0)
-    return squares.agg((F.coalesce(F.sum(weight), F.lit(0)) / 4).cast("long").alias("euler"))
+    weight = np.zeros(16, np.int64)
+    weight[[1, 2, 4, 8]], weight[[7, 11, 13, 14]], weight[[6, 9]] = 1, -1, -2
+
+    def squares(y0: int, x0: int, image: np.ndarray) -> list[np.ndarray]:
+        n = image.astype(np.int8)
+        own = n[1:-1, 1:-1] + 2 * n[1:-1, 2:] + 4 * n[2:, 1:-1] + 8 * n[2:, 2:]
+        return [weight[own].sum(keepdims=True).ravel()]
+
+    found = runs.by_tiles([runs.of_mask(mask)], squares, "weight long", 1)
+    return found.agg((F.coalesce(F.sum("weight"), F.lit(0)) / 4).cast("long").alias("euler"))
 
 
 def deletable(bones: DataFrame) -> DataFrame:
     """Pixels (r, c) that thinning would still take: none of a skeleton."""
-    pixels = bones.select("r", "c").distinct()
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << b).alias("bit")) for b, (dy, dx) in enumerate(AROUND)])
-    seen = pixels.select("r", "c", F.explode(steps).alias("s")).groupBy((F.col("r") - F.col("s.dy")).alias("r"), (F.col("c") - F.col("s.dx")).alias("c")).agg(F.sum("s.bit").alias("code"))
-    return pixels.join(seen.where(F.get(F.array(*map(F.lit, GOES.tolist())), F.col("code").cast("int"))), ["r", "c"]).select("r", "c")
+
+    def goes(image: np.ndarray) -> np.ndarray:
+        h, w = (n - 2 for n in image.shape)
+        code = sum(image[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w].astype(np.uint8) << b for b, (dy, dx) in enumerate(AROUND))
+        return image_of(image) & GOES[code]
+
+    return runs.painted([runs.of_mask(bones.select(F.col("r").alias("y"), F.col("c").alias("x")))], goes, 1).withColumnsRenamed({"y": "r", "x": "c"})
 
 
 def geometry(mask: DataFrame, height: int, width: int) -> dict[str, DataFrame]:

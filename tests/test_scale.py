@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from perfusia.operators import raster, runs, skeleton
+from perfusia.operators import extract, raster, runs, skeleton
 
 
 def exchanges(df) -> int:
@@ -69,3 +69,15 @@ def test_a_point_is_one_row_where_pixels_are_looked_for(spark, monkeypatch):
     found = skeleton.nearest_skeleton_pixel(spark.createDataFrame(points, "id int, row double, col double"), spark.createDataFrame(bones, "r int, c int"), 40, 40)
     assert sorted(map(tuple, found.select("id", "sr", "sc").collect())) == sorted(want)
     assert exchanges(found) == 1
+
+
+def test_thinning_ends_with_the_round_that_settles_all(spark, monkeypatch):
+    from perfusia.sources.scratch import Scratch
+
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    mask = spark.createDataFrame([(y, x) for y in range(3) for x in range(40)], "y int, x int")
+    bones = extract.thinned(mask, 16, 8)
+    assert len(kept) == 2  # the mask and one round
+    assert extract.deletable(bones).count() == 0 and extract.euler(bones.toDF("y", "x")).first()[0] == 1
