@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from perfusia.operators import extract, raster, runs, skeleton
+from perfusia.operators import extract, flow, raster, runs, skeleton
 
 
 def exchanges(df) -> int:
@@ -81,3 +81,24 @@ def test_thinning_ends_with_the_round_that_settles_all(spark, monkeypatch):
     bones = extract.thinned(mask, 16, 8)
     assert len(kept) == 2  # the mask and one round
     assert extract.deletable(bones).count() == 0 and extract.euler(bones.toDF("y", "x")).first()[0] == 1
+
+
+@pytest.mark.parametrize("per_span, most", [(16, 1 << 19), (16, 40), (1 << 16, 1 << 19)])
+def test_components_are_solved_in_their_span_of_ids(spark, monkeypatch, per_span, most):
+    """Chains within spans and across, one too large, one without a fixed node, fixed nodes without links; labels that are given take the other way."""
+    rng = np.random.default_rng(6)
+    base = 1 << 40
+    chains = [list(range(k, k + n)) for k, n in ((0, 5), (5, 3), (8, 1), (9, 14), (23, 40), (63, 6))] + [[69, 200, 70, 201]]
+    links = [(a, b) for c in chains for a, b in zip(c, c[1:])] + [(0, 2), (0, 2), (10, 15), (3, 3)]
+    nodes = spark.createDataFrame([(base + k, float(k), 0.0) for c in chains for k in c], "node_id long, x double, y double")
+    line = [(0.0, 0.0), (1.0, 0.0)]
+    rows = [(k, base + a, base + b, line, [float(r)], 1.0, 10.0) for k, ((a, b), r) in enumerate(zip(links, 1 + rng.random(len(links))))]
+    segments = spark.createDataFrame(rows, "segment_id long, start_node long, end_node long, centerline array<struct<x:double,y:double>>, radii array<double>, scale double, meta_length_px double")
+    fixed = spark.createDataFrame([(base + k, p) for k, p in ((0, 35.0), (4, 15.0), (8, 20.0), (9, 30.0), (22, 10.0), (23, 35.0), (62, 15.0), (69, 40.0), (201, 5.0), (999, 1.0))], "node_id long, pressure double")
+    want = flow.solve_network_flow(nodes, segments, fixed, dense=20, labels=flow.component_labels(nodes, segments))
+    solved = flow.solved_in_spans
+    monkeypatch.setattr(flow, "solved_in_spans", lambda *a: solved(*a, per_span=per_span, most=most))
+    got = flow.solve_network_flow(nodes, segments, fixed, dense=20)
+    for g, w, key in zip(got, want, ("node_id", "segment_id")):
+        g, w = ([tuple(r) for r in x.orderBy(key).collect()] for x in (g, w))
+        assert len(g) == len(w) and np.allclose([x[1:] for x in g], [x[1:] for x in w], rtol=1e-9) and [x[0] for x in g] == [x[0] for x in w]
