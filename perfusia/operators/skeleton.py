@@ -30,11 +30,18 @@ PATIENCE = 12
 
 
 def skeleton_graph(skeleton: DataFrame) -> DataFrame:
-    """(r, c, nr, nc, ord): set neighbours of set pixels, ord the order of visit."""
-    pixels = skeleton.select("r", "c").distinct()
-    steps = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (dr, dc) in enumerate(STEPS)])
-    near = pixels.select("r", "c", F.explode(steps).alias("s")).select("r", "c", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"), F.col("s.ord").alias("ord"))
-    return near.join(pixels.select(F.col("r").alias("nr"), F.col("c").alias("nc")), ["nr", "nc"]).select("r", "c", "nr", "nc", "ord")
+    """(r, c, nr, nc, ord): set neighbours of set pixels, ord the order of visit. Pixels meet in tiles: each moves once, and those at borders twice."""
+
+    def steps(y0: int, x0: int, image: np.ndarray) -> list[np.ndarray]:
+        y, x = np.nonzero(image[1:-1, 1:-1])
+        near = [image[y + 1 + dr, x + 1 + dc] for dr, dc in STEPS]
+        r, c = (np.concatenate([v[n] for n in near]).astype(np.int32) for v in (y + y0, x + x0))
+        of = np.repeat(np.arange(len(STEPS), dtype=np.int32), [np.count_nonzero(n) for n in near])
+        down, across = np.array(STEPS, np.int32).T
+        return [r, c, r + down[of], c + across[of], of]
+
+    pixels = runs.of_mask(skeleton.select(F.col("r").alias("y"), F.col("c").alias("x")))
+    return runs.by_tiles([pixels], steps, "r int, c int, nr int, nc int, ord int", 1, tall=runs.TALL // 4)
 
 
 def nearest_skeleton_pixel(points: DataFrame, skeleton: DataFrame, height: int, width: int, reach: int = 3) -> DataFrame:
