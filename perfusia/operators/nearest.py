@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from perfusia.operators import runs
 from perfusia.sources.scratch import Scratch
 
 #: Cells of a band, which a task holds in some arrays; rows of a band at most.
 CELLS, TALL = 1 << 20, 4096
+#: How far around a tile points are looked for before a distance transform is.
+REACH = 8
 
 
 # ---- pixels ----
@@ -77,9 +83,99 @@ def row_pass(g: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_points(targets: DataFrame, points: DataFrame, tall: int | None = None) -> DataFrame:
+class _Owners:
+    """The targets of a tile and the points in it and around, the first in order of segment and pos where several lie."""
+
+    def __init__(self, ty: int, tx: int, tall: int, wide: int, reach: int, halo: int, made: Callable[[np.ndarray], np.ndarray]):
+        self.y0, self.x0, self.tall, self.wide, self.reach, self.halo, self.made = ty * tall, tx * wide, tall, wide, reach, halo, made
+        self.ends = np.zeros((tall + 2 * halo, wide + 2 * halo + 1), np.int32)
+        self.segment = np.zeros((tall + 2 * reach, wide + 2 * reach), np.int64)
+        self.pos = np.full(self.segment.shape, -1, np.int64)
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kind, y, x0, x1, segment, pos = (c.to_numpy().astype(np.int64) for c in rows.columns[2:])
+        y, x0, x1 = y - self.y0, x0 - self.x0, x1 - self.x0
+        runs_, points = kind == 0, np.flatnonzero(kind)
+        row = y[runs_] + self.halo
+        np.add.at(self.ends, (row, np.maximum(x0[runs_] + self.halo, 0)), 1)
+        np.add.at(self.ends, (row, np.minimum(x1[runs_] + self.halo + 1, self.ends.shape[1] - 1)), -1)
+        points = points[np.lexsort((pos[points], segment[points], x0[points], y[points]))]
+        first = np.append(True, (y[points][1:] != y[points][:-1]) | (x0[points][1:] != x0[points][:-1]))[: len(points)]
+        points = points[first]
+        at = y[points] + self.reach, x0[points] + self.reach
+        held, own = self.pos[at], self.segment[at]
+        less = (held < 0) | (segment[points] < own) | ((segment[points] == own) & (pos[points] < held))
+        at = at[0][less], at[1][less]
+        self.segment[at], self.pos[at] = segment[points][less], pos[points][less]
+        return iter(())
+
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        held = np.flatnonzero(self.ends.any(1))
+        rows = slice(max(held[0] - 2 * self.halo, 0), min(held[-1] + 2 * self.halo + 1, len(self.ends))) if len(held) else slice(0, 0)
+        y, x = np.nonzero(self.made(np.cumsum(self.ends[rows, :-1], axis=1) > 0)) if len(held) else (np.zeros(0, np.int64),) * 2
+        y = y + rows.start
+        py, px = np.nonzero(self.pos >= 0)
+        order = np.lexsort((self.pos[py, px], self.segment[py, px]))
+        none = np.int32(len(order))
+        rank = np.full(self.pos.shape, none, np.int32)
+        rank[py[order], px[order]] = np.arange(len(order), dtype=np.int32)
+        best, left = np.full(len(y), none, np.int32), np.arange(len(y))
+        for ring in _rings(self.reach):
+            if not len(left):
+                break
+            found = best[left]
+            for dy, dx in ring:
+                np.minimum(found, rank[y[left] + self.reach + dy, x[left] + self.reach + dx], out=found)
+            best[left] = found
+            left = left[found == none]
+        segments = np.append(self.segment[py[order], px[order]], 0)[best]
+        yield pa.RecordBatch.from_arrays([pa.array((y + self.y0).astype(np.int32)), pa.array((x + self.x0).astype(np.int32)), pa.array(segments, mask=best == none)], ["y", "x", "segment_id"])
+
+
+def _rings(reach: int) -> list[list[tuple[int, int]]]:
+    """Steps of up to `reach`, those of one length together, the shortest first."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            if dy * dy + dx * dx <= reach * reach:
+                found.setdefault(dy * dy + dx * dx, []).append((dy, dx))
+    return [found[d] for d in sorted(found)]
+
+
+def nearest_around(targets: DataFrame, points: DataFrame, reach: int = REACH, made: Callable[[np.ndarray], np.ndarray] = lambda m: m, halo: int = 0) -> DataFrame:
+    """(y, x, segment_id) of nearest_points, segment_id null where no point lies within `reach`. The targets are the cells for which `made` is true, given an
+    image of the runs (y, x0, x1) `targets` with a border of `halo` cells more. One shuffle of runs and points, a task holds one tile."""
+    tall, wide = runs.TALL // 4, runs.WIDE
+    none = F.lit(0).cast("long")
+    asked = targets.select(F.lit(0).alias("kind"), "y", "x0", "x1", none.alias("segment_id"), none.alias("pos"), F.lit(halo).alias("halo"))
+    held = points.select(F.lit(1), "y", "x", "x", F.col("segment_id").cast("long"), F.col("pos").cast("long"), F.lit(reach))
+    rows = asked.union(held)
+    over = lambda low, high, size: runs.tiles_of(F.col(low), F.col(high), size, F.col("halo"))
+    dealt = rows.select(over("y", "y", tall).alias("ty"), "*").select("ty", over("x0", "x1", wide).alias("tx"), "kind", "y", "x0", "x1", "segment_id", "pos")
+    return runs.streamed(dealt, lambda ty, tx: _Owners(ty, tx, tall, wide, reach, halo, made), "y int, x int, segment_id long")
+
+
+def nearest_points(targets: DataFrame, points: DataFrame, tall: int | None = None, made: Callable[[np.ndarray], np.ndarray] | None = None, halo: int = 0) -> DataFrame:
     """(y, x, segment_id): for each target pixel the segment of the nearest point (y, x, segment_id, pos), of equals the first in order of segment_id and pos.
 
+    Targets are pixels, or what `made` makes of the image of runs (see nearest_around). What finds a point near it finds it in its tile; the rest, or all where
+    `tall` is given, goes through the distance transform.
+    """
+    if tall is not None:
+        return far_points(targets, points, tall)
+    asked = runs.of_mask(targets)
+    seen = Observation()
+    found = nearest_around(asked, points, REACH, *((made, halo) if made else ()))
+    found = Scratch(targets.sparkSession, "around").keep(found.observe(seen, F.count_if(F.col("segment_id").isNull()).alias("far")))
+    if not seen.get["far"]:
+        return found
+    far = found.where("segment_id is null").select("y", "x")
+    return found.where("segment_id is not null").union(far_points(far, points).select("y", "x", "segment_id"))
+
+
+def far_points(targets: DataFrame, points: DataFrame, tall: int | None = None) -> DataFrame:
+    """nearest_points by a distance transform.
+
     A distance transform in two passes, down columns and along rows, that carries owners. Rows are dealt to bands; a band
     gets its own points and, for each column, the nearest ones above and below it, so two shuffles do whatever the distances.
     A task holds a band of up to 2^20 cells and at least one row of the image.
@@ -126,74 +222,140 @@ def nearest_points(targets: DataFrame, points: DataFrame, tall: int | None = Non
 # ---- points in the plane ----
 
 
-def _regions(points: DataFrame, regions: int, sample: int) -> tuple[list[bool], list[float]]:
+def _regions(points: DataFrame, regions: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each inner node of a balanced tree over a bounded sample splits by cx rather than cy, and where; node i has the children 2 i and 2 i + 1."""
     some = np.array([tuple(r) for r in points.select("cy", "cx").orderBy(F.xxhash64("cy", "cx"), "cy", "cx").limit(sample).collect()], float).reshape(-1, 2)
-    wide, cuts, members = [False], [0.0], {1: some}
-    for node in range(1, regions):
+    return _split(some, regions)
+
+
+def _split(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of _regions over points (cy, cx), for a power of two of leaves."""
+    wide, cuts, members = np.zeros(leaves, bool), np.zeros(leaves), {1: points}
+    for node in range(1, leaves):
         own = members.pop(node)
         by = int(np.argmax(np.ptp(own, axis=0))) if len(own) else 0
         cut = float(np.median(own[:, by])) if len(own) else 0.0
-        wide.append(bool(by))
-        cuts.append(cut)
+        wide[node], cuts[node] = bool(by), cut
         members[2 * node], members[2 * node + 1] = own[own[:, by] <= cut], own[own[:, by] > cut]
     return wide, cuts
 
 
-def _in_region(rows: DataFrame, tree: tuple[list[bool], list[float]]) -> DataFrame:
-    """rows (.., cy, cx) with the number of their region."""
-    wide, cuts = (F.array(*map(F.lit, x)) for x in tree)
-    rows = rows.withColumn("region", F.lit(1))
-    for _ in range(len(tree[0]).bit_length() - 1):
-        side = F.when(F.get(wide, F.col("region")), F.col("cx")).otherwise(F.col("cy"))
-        rows = rows.withColumn("region", 2 * F.col("region") + (side > F.get(cuts, F.col("region"))).cast("int"))
-    return rows
+def _leaf(tree: tuple[np.ndarray, np.ndarray], cy: np.ndarray, cx: np.ndarray) -> np.ndarray:
+    """The leaf of each place, numbered from the number of leaves on."""
+    wide, cuts = tree
+    at = np.ones(len(cy), np.int64)
+    for _ in range(len(cuts).bit_length() - 1):
+        at = 2 * at + (np.where(wide[at], cx, cy) > cuts[at])
+    return at
+
+
+def _in_region(rows: DataFrame, tree: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rows (id, cy, cx) with the number of their region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cy, cx = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cy", "cx"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_leaf(tree, cy, cx))], [*batch.schema.names, "region"])
+
+    name = rows.columns[0]
+    rows = rows.select(F.col(name).cast("long").alias(name), F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
+    return rows.mapInArrow(run, f"{name} long, cy double, cx double, region long")
+
+
+def _gap(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between the boxes (low, high) and (a, b) of places, shapes as they broadcast."""
+    return (np.maximum(np.maximum(low - b, a - high), 0.0) ** 2).sum(-1)
+
+
+def nearest_of(asked: np.ndarray, held: np.ndarray, owner: np.ndarray, leaf: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each place asked (cy, cx) the least owner of the nearest places held, and the squared distance.
+
+    Both are dealt to the leaves of a tree over what is held. Places look in their own leaf first, and then in those whose box is as near as what they found.
+    """
+    order = np.argsort(owner, kind="stable")  # so that the first of equals has the least owner
+    held, owner = held[order], owner[order]
+    tree = _split(held, 1 << max(0, len(held) // leaf).bit_length())
+    leaves = len(tree[1])
+    of = _leaf(tree, *held.T) - leaves
+    by = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[by], np.arange(leaves + 1))
+    full = np.flatnonzero(starts[1:] > starts[:-1])
+    low, high = (np.stack([f(held[by], starts[full]) for f in (np.minimum.reduceat, np.maximum.reduceat)])) if len(full) else np.zeros((2, 0, 2))
+    found, best = np.zeros(len(asked), np.int64), np.full(len(asked), np.inf)
+    own = _leaf(tree, *asked.T) - leaves
+    queue = np.argsort(own, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, own[queue][1:] != own[queue][:-1])), len(queue))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        for first in range(a, b, leaf):
+            rows = queue[first : min(first + leaf, b)]
+            places = asked[rows]
+            lo, hi = places.min(0), places.max(0)
+            gaps = _gap(low, high, lo, hi)
+            near = gaps.argmin()
+
+            def nearest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                y, x = (places[:, k, None] - held[members, k] for k in (0, 1))
+                d = y * y + x * x
+                at = d.argmin(1)
+                return members[at], d[np.arange(len(at)), at]
+
+            some = by[starts[full[near]] : starts[full[near] + 1]]
+            _, d = nearest(some)
+            reach = full[gaps <= d.max() * (1 + 1e-12)]
+            members = np.sort(np.concatenate([by[starts[k] : starts[k + 1]] for k in reach]))
+            for part in range(0, len(members), 1 << 15):
+                at, d = nearest(members[part : part + (1 << 15)])
+                less = d < best[rows]
+                best[rows[less]], found[rows[less]] = d[less], at[less]
+    return owner[found], best
 
 
-def _in_blocks(asked: DataFrame, held: DataFrame, task_points: int, task_asked: int) -> DataFrame:
-    """(lost, owner, d2): for each asked point its nearest in each shard of the region it looks at, of equals the one of least owner. The tables of counts have a row a region."""
+def _in_blocks(asked: DataFrame, held: DataFrame, task_points: int, task_asked: int, boxes: tuple[np.ndarray, ...] | None = None) -> DataFrame:
+    """(lost, owner, d2, cy, cx, region): for each asked point its nearest in each shard of the region it looks at, of equals the one of least owner, with a null region.
+    Given the boxes (region, low, high) of all regions also, with a null owner, the others that hold places as near. The tables of counts have a row a region."""
     shards = held.groupBy("region").agg(F.ceil(F.count("*") / task_points).alias("shards"))
     blocks = asked.groupBy("region").agg(F.ceil(F.count("*") / task_asked).alias("blocks"))
     share = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    left = asked.join(F.broadcast(blocks), "region").join(F.broadcast(shards), "region").select("region", F.explode(upto("shards")).alias("shard"), share("blocks", "lost").alias("block"), "lost", "cy", "cx")
+    # a region can be without points, so that what is asked there finds nothing
+    left = asked.join(F.broadcast(blocks), "region").join(F.broadcast(shards), "region", "left").na.fill(1, ["shards"])
+    left = left.select("region", F.explode(upto("shards")).alias("shard"), share("blocks", "lost").alias("block"), "lost", "cy", "cx")
     right = held.join(F.broadcast(shards), "region").join(F.broadcast(blocks), "region").select("region", share("shards", "cy", "cx").alias("shard"), F.explode(upto("blocks")).alias("block"), "owner", "cy", "cx")
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"lost": [], "owner": [], "d2": []})
-        b = b.sort_values("owner", ignore_index=True)
-        found, d2 = np.empty(len(a), np.int64), np.empty(len(a))
-        for i in range(0, len(a), 256):
-            y, x = (a[c].to_numpy()[i : i + 256, None] - b[c].to_numpy() for c in ("cy", "cx"))
-            d = y * y + x * x
-            at = d.argmin(1)  # the first of equals has the least owner
-            found[i : i + 256], d2[i : i + 256] = b.owner.to_numpy()[at], d[np.arange(len(at)), at]
-        return pd.DataFrame({"lost": a.lost.to_numpy(), "owner": found, "d2": d2})
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        places, lost = a[["cy", "cx"]].to_numpy(float), a.lost.to_numpy()
+        owner, d2 = nearest_of(places, b[["cy", "cx"]].to_numpy(float), b.owner.to_numpy()) if len(a) and len(b) else (np.zeros(len(a), np.int64), np.full(len(a), np.inf))
+        none = pd.array([None] * len(a), "Int64")
+        out = [pd.DataFrame({"lost": lost, "owner": pd.array(owner, "Int64"), "d2": d2, "cy": places[:, 0], "cx": places[:, 1], "region": none})[np.isfinite(d2)]]
+        if boxes is not None and len(a):
+            region, low, high = boxes
+            near = np.flatnonzero((region != key[0]) & (_gap(low, high, places.min(0), places.max(0)) <= d2.max() * (1 + 1e-12)))
+            for k in near:
+                at = np.flatnonzero(_gap(low[k], high[k], places, places) <= d2 * (1 + 1e-12))
+                out.append(pd.DataFrame({"lost": lost[at], "owner": none[at], "d2": d2[at], "cy": places[at, 0], "cx": places[at, 1], "region": pd.array(np.full(len(at), region[k]), "Int64")}))
+        return pd.concat([x for x in out if len(x)] or out)
 
     keys = ["region", "shard", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "lost long, owner long, d2 double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "lost long, owner long, d2 double, cy double, cx double, region long")
 
 
-def nearest_places(asked: DataFrame, held: DataFrame, task_points: int = 8192, task_asked: int = 8192, regions: int = 128, sample: int = 4096) -> DataFrame:
+def nearest_places(asked: DataFrame, held: DataFrame, task_points: int = 1 << 15, task_asked: int = 1 << 15, regions: int = 2048, sample: int = 1 << 15) -> DataFrame:
     """(lost, owner): for each point asked (lost, cy, cx) the owner of the nearest point held (owner, cy, cx), the least owner of equals.
 
     Places where several points lie are merged. A tree over a bounded sample deals the rest to regions, small ones where many lie and large
-    ones where few do; regions of over `task_points` are shared among tasks. A point looks in its own region first, then in all
+    ones where few do; regions of over `task_points` are shared among tasks, and each task has a tree of its own. A point looks in its own region first, then in all
     that hold a place as near as what it found; their extents are exact.
     """
     scratch = Scratch(asked.sparkSession, "places")
     seen = Observation()
-    held = scratch.keep(held.groupBy("cy", "cx").agg(F.min("owner").alias("owner")).observe(seen, F.count(F.lit(1)).alias("n")))
+    held = scratch.keep(held.groupBy("cy", "cx").agg(F.min("owner").alias("owner")).select("owner", "cy", "cx").observe(seen, F.count(F.lit(1)).alias("n")))
     total = seen.get["n"] or 0
-    tree = _regions(held, 1 << max(0, min(regions, total // task_points, sample // 16).bit_length() - 1), sample)
+    tree = _regions(held, 1 << max(0, min(regions, 2 * total // task_points, sample // 16).bit_length() - 1), sample)
     held, asked = (scratch.keep(_in_region(df, tree)) for df in (held, asked.select("lost", "cy", "cx")))
-    boxes = held.groupBy("region").agg(*[f(c).alias(f"{n}_{c}") for c in ("cy", "cx") for n, f in (("low", F.min), ("high", F.max))])
-    first = scratch.keep(_in_blocks(asked, held, task_points, task_asked))
-    # a region can be without points, so that what is asked there has found nothing yet
-    bound = asked.join(first.groupBy("lost").agg(F.min("d2").alias("d2")), "lost", "left").withColumn("d2", F.coalesce("d2", F.lit(float("inf"))))
-    extents = boxes.agg(F.collect_list(F.struct(F.col("region").alias("to"), "low_cy", "high_cy", "low_cx", "high_cx")).alias("boxes"))  # a row a region: at most `regions`
-    gap: Column = lambda b, c: F.greatest(b[f"low_{c}"] - F.col(c), F.col(c) - b[f"high_{c}"], F.lit(0.0))
-    near = bound.join(F.broadcast(extents)).select("lost", "cy", "cx", F.explode(F.filter("boxes", lambda b: (b["to"] != F.col("region")) & (gap(b, "cy") * gap(b, "cy") + gap(b, "cx") * gap(b, "cx") <= F.col("d2") * (1 + 1e-12)))).alias("b"))
-    more = _in_blocks(scratch.keep(near.select("lost", "cy", "cx", F.col("b.to").alias("region"))), held, task_points, task_asked)
-    return first.union(more).groupBy("lost").agg(F.min(F.struct("d2", "owner")).alias("b")).select("lost", "b.owner")
+    extents = held.groupBy("region").agg(*[f(c) for f in (F.min, F.max) for c in ("cy", "cx")]).collect()  # a row a region: at most `regions`
+    extents = np.array([tuple(r) for r in extents], float).reshape(-1, 5)
+    boxes = extents[:, 0].astype(np.int64), extents[:, 1:3], extents[:, 3:]
+    first = scratch.keep(_in_blocks(asked, held, task_points, task_asked, boxes))
+    more = _in_blocks(first.where("owner is null").select("lost", "cy", "cx", "region").distinct(), held, task_points, task_asked)
+    found = first.where("owner is not null").select("lost", "d2", "owner").union(more.select("lost", "d2", "owner"))
+    return found.groupBy("lost").agg(F.min(F.struct("d2", "owner")).alias("b")).select("lost", "b.owner")
