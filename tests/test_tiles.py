@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from perfusia.operators import runs, skeleton
+from perfusia.operators import nearest, runs, skeleton, transport
 
 
 def exchanges(df) -> int:
@@ -19,6 +19,57 @@ def test_neighbours_of_pixels_take_one_shuffle(spark, monkeypatch, tall, wide):
     rng = np.random.default_rng(2)
     pixels = {(int(r) - 7, int(c) - 5) for r, c in rng.integers(0, 30, (400, 2))}
     graph = skeleton.skeleton_graph(spark.createDataFrame([*pixels, *pixels], "r int, c int"))
+    assert exchanges(graph) == 1
     want = [(r, c, r + dr, c + dc, i) for r, c in pixels for i, (dr, dc) in enumerate(skeleton.STEPS) if (r + dr, c + dc) in pixels]
     assert sorted(map(tuple, graph.collect())) == sorted(want)
-    assert exchanges(graph) == 1
+
+
+def test_owners_are_found_in_tiles_and_far_ones_after(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TALL", 40)  # tiles of ten rows
+    monkeypatch.setattr(runs, "WIDE", 12)
+    monkeypatch.setattr(nearest, "REACH", 3)
+    rng = np.random.default_rng(4)
+    points = [(int(y) - 9, int(x), int(s), int(p)) for y, x, s, p in zip(rng.integers(0, 40, 60), rng.integers(0, 30, 60), rng.integers(0, 20, 60), rng.integers(0, 5, 60))]
+    targets = {(int(y) - 9, int(x)) for y, x in rng.integers(0, 60, (300, 2))}
+    asked, held = spark.createDataFrame([*targets, *targets], "y int, x int"), spark.createDataFrame(points, "y int, x int, segment_id long, pos int")
+    near = lambda y, x: min(((py - y) ** 2 + (px - x) ** 2, s, p) for py, px, s, p in points)
+    around = {(r.y, r.x): r.segment_id for r in nearest.nearest_around(runs.of_mask(asked), held, 3).collect()}
+    assert around == {t: near(*t)[1] if near(*t)[0] <= 9 else None for t in targets} and None in around.values()
+    found = nearest.nearest_points(asked, held).collect()
+    assert len(found) == len(targets) and {(r.y, r.x): r.segment_id for r in found} == {t: near(*t)[1] for t in targets}
+    assert exchanges(nearest.nearest_around(runs.of_mask(asked), held, 3)) == 1
+
+
+@pytest.mark.parametrize("stretch", [(1.0, 1.0), (1e4, 1.0), (0.0, 1.0)])
+def test_places_by_a_tree_of_a_task(stretch):
+    rng = np.random.default_rng(9)
+    held, asked = (np.round(rng.random((n, 2)) * 40) * stretch for n in (3000, 700))
+    owner = rng.permutation(3000)
+    got, d2 = nearest.nearest_of(asked, held, owner, leaf=16)
+    for place, o, d in zip(asked, got, d2):
+        all_of = ((place - held) ** 2).sum(1)
+        assert d == all_of.min() and o == owner[all_of == all_of.min()].min()
+
+
+def test_values_meet_in_tiles_as_runs(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TALL", 20)
+    monkeypatch.setattr(runs, "WIDE", 7)
+    rng = np.random.default_rng(1)
+    rows = {(int(s), int(y) - 2, int(x) - 3, int(x) - 3 + int(n)) for s, y, x, n in zip(rng.integers(0, 9, 40), rng.integers(0, 14, 40), rng.integers(0, 20, 40), rng.integers(0, 9, 40))}
+    kept = {}
+    for s, y, a, b in sorted(rows):  # runs of a segment are apart
+        kept.setdefault((s, y), (s, y, a, b))
+    strokes = spark.createDataFrame(list(kept.values()), "segment_id long, y int, x0 int, x1 int")
+    pixels = runs.pixels(strokes, ("segment_id", "y"))
+    known = spark.createDataFrame([(k, None if k == 2 else k / 3, -float(k)) for k in range(6)], "segment_id long, oxygen double, carbon_dioxide double")
+    values = {r.segment_id: (r.oxygen, r.carbon_dioxide) for r in transport.complete_concentrations(pixels, known).collect()}
+    assert values == {r.segment_id: (r.oxygen, r.carbon_dioxide) for r in transport.complete_concentrations(strokes, known).collect()} and set(values) > set(range(6))
+    inside = [(s, y, x) for s, y, a, b in kept.values() for x in range(a, b + 1) if 0 <= y < 11 and 0 <= x < 18]
+    last = {}
+    for s, y, x in sorted(inside):
+        last[y, x] = values[s]
+    sums = {(y, x): [sum(v for v in vs if v is not None) if set(vs) != {None} else None for vs in zip(*[values[s] for s, v, w in inside if (v, w) == (y, x)])] for _, y, x in inside}
+    for own in (strokes, pixels):
+        assert {(r.y, r.x): (r.oxygen, r.carbon_dioxide) for r in transport.boundary_concentration_maps(11, 18, own, known).collect()} == last
+        got = {(r.y, r.x): (r.oxygen, r.carbon_dioxide) for r in transport.boundary_source_maps(11, 18, own, known).collect()}
+        assert got.keys() == sums.keys() and all(a is None and b is None or abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], sums[k]))
