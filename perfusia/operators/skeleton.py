@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from perfusia.operators import runs
 from perfusia.operators.components import components
@@ -132,8 +132,106 @@ def contract(graph: DataFrame, stops: DataFrame, scratch: Scratch) -> tuple[Data
     return arcs, scratch.keep(links.select("link", F.col("first.at").alias("at"), F.col("first.ord").alias("first"), "to", "length"))
 
 
+class _Walks:
+    """The skeleton in a tile and around, and a queue's search on it for each edge that begins in the tile. What would need pixels further out, or over `most`
+    of them, isn't settled."""
+
+    def __init__(self, ty: int, tx: int, tall: int, wide: int, halo: int, most: int):
+        # a frame of one pixel without skeleton; the outermost pixels inside it have neighbours that aren't known
+        self.y0, self.x0, self.high, self.across, self.most = ty * tall - halo - 1, tx * wide - halo - 1, tall + 2 * halo + 2, wide + 2 * halo + 2, most
+        self.halo = halo
+        self.on = np.zeros((self.high, self.across), np.uint8)
+        self.cells: bytes | None = None
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kind, sr, sc, er, ec = (rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2, 7))
+        bones = kind == 0
+        self.on[sr[bones] - self.y0, sc[bones] - self.x0] = 1
+        edges = np.flatnonzero(kind)
+        if not len(edges):
+            return
+        if self.cells is None:
+            frame = np.zeros_like(self.on)
+            frame[[1, -2]] = frame[:, [1, -2]] = 1
+            self.cells = (self.on + (self.on & frame)).tobytes()
+        steps = [dr * self.across + dc for dr, dc in STEPS]
+        inside = (er > self.y0) & (er < self.y0 + self.high - 1) & (ec > self.x0) & (ec < self.x0 + self.across - 1)
+        start, end = ((r - self.y0) * self.across + c - self.x0 for r, c in ((sr, sc), (er, ec)))
+        found = [self._way(a, b, steps) if near else None for a, b, near in zip(start[edges].tolist(), end[edges].tolist(), inside[edges].tolist())]
+        sizes = np.array([len(w or ()) for w in found], np.int32)
+        at = np.fromiter((p for w in found for p in w or ()), np.int64, int(sizes.sum()))
+        places = pa.StructArray.from_arrays([pa.array((at // self.across + self.y0).astype(np.int32)), pa.array((at % self.across + self.x0).astype(np.int32))], ["r", "c"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), places)
+        settled = pa.array([w is not None for w in found])
+        own = rows.take(pa.array(edges))
+        yield pa.RecordBatch.from_arrays([*own.columns[7:], *own.columns[3:7], settled, lists], [*own.schema.names[7:], *own.schema.names[3:7], "settled", "way"])
+
+    def _way(self, start: int, end: int, steps: list[int]) -> list[int] | None:
+        """Pixels from start to end; none if there is no path, None if that isn't known here."""
+        if start == end:
+            return [start]
+        cells, before, queue = self.cells, {start: start}, [start]
+        if not cells[start] or not cells[end]:
+            return []
+        for at in queue:
+            if cells[at] == 2 or len(queue) > self.most:
+                return None
+            for step in steps:
+                to = at + step
+                if cells[to] and to not in before:
+                    before[to] = at
+                    if to == end:
+                        way = [end]
+                        while way[-1] != start:
+                            way.append(before[way[-1]])
+                        return way[::-1]
+                    queue.append(to)
+        return []
+
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def walked(skeleton: DataFrame, ends: DataFrame, halo: int = 64, most: int = 4096) -> DataFrame:
+    """ends (edge_id, sr, sc, er, ec) with settled and way (r, c), the pixels of the path a queue finds or none: those whose search stays within `halo`
+    pixels of the tile they begin in and meets up to `most`. One shuffle of pixels and edges; a task holds one tile."""
+    tall, wide = runs.TALL, runs.WIDE
+    none, edge = F.lit(None), ends.schema["edge_id"].dataType
+    over = lambda c, n: runs.tiles_of(F.col(c), F.col(c), n, halo)
+    bones = skeleton.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    bones = bones.select(over("r", tall).alias("ty"), "*").select("ty", over("c", wide).alias("tx"), F.lit(0).alias("kind"), F.col("r").alias("sr"), F.col("c").alias("sc"), F.lit(0).alias("er"), F.lit(0).alias("ec"), none.cast(edge).alias("edge_id"))
+    asked = ends.select(F.floor(F.col("sr") / tall), F.floor(F.col("sc") / wide), F.lit(1), *[F.col(c).cast("int") for c in ("sr", "sc", "er", "ec")], "edge_id")
+    way = StructType([StructField("r", IntegerType()), StructField("c", IntegerType())])
+    schema = StructType([StructField("edge_id", edge), *[StructField(c, IntegerType()) for c in ("sr", "sc", "er", "ec")], StructField("settled", BooleanType()), StructField("way", ArrayType(way))])
+    return runs.streamed(bones.union(asked), lambda ty, tx: _Walks(ty, tx, tall, wide, halo, most), schema, ["kind"])
+
+
+def traced_ways(skeleton: DataFrame, ends: DataFrame, on_missing: str = "fail") -> DataFrame:
+    """(edge_id, way): the pixels (r, c) of a shortest path for each of ends (edge_id, sr, sc, er, ec), in order. Edges that a tile settles are traced there, the
+    others by trace_far.
+
+    on_missing: fail, or drop edges without a path.
+    """
+    scratch, seen = Scratch(skeleton.sparkSession, "walks"), Observation()
+    counts = F.count_if(~F.col("settled")).alias("open"), F.count_if(F.col("settled") & (F.size("way") == 0)).alias("missing")
+    found = scratch.keep(walked(skeleton, ends).observe(seen, *counts))
+    if on_missing == "fail" and seen.get["missing"]:
+        raise ValueError("no path along the skeleton between the ends of an edge")
+    near = found.where("size(way) > 0").select("edge_id", "way")
+    if not seen.get["open"]:
+        return near
+    far = trace_far(skeleton, found.where("not settled").select("edge_id", "sr", "sc", "er", "ec"), on_missing)
+    lists = far.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("pos", "r", "c"))).alias("way"))
+    return near.union(lists.select("edge_id", F.transform("way", lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c")))))
+
+
 def trace_paths(skeleton: DataFrame, ends: DataFrame, on_missing: str = "fail") -> DataFrame:
-    """(edge_id, pos, r, c): a shortest path for each of ends (edge_id, sr, sc, er, ec), its pixels in order.
+    """(edge_id, pos, r, c): traced_ways, a row for each pixel."""
+    return traced_ways(skeleton, ends, on_missing).select("edge_id", F.posexplode("way").alias("pos", "p")).select("edge_id", "pos", "p.r", "p.c")
+
+
+def trace_far(skeleton: DataFrame, ends: DataFrame, on_missing: str = "fail") -> DataFrame:
+    """(edge_id, pos, r, c): a shortest path for each of ends (edge_id, sr, sc, er, ec), its pixels in order, however far it goes.
 
     on_missing: fail, or drop edges without a path.
     """
@@ -179,12 +277,5 @@ def edge_centerlines(skeleton: DataFrame, nodes: DataFrame, edges: DataFrame, he
     snapped = nearest_skeleton_pixel(nodes.select(F.col("node_id").alias("id"), "row", "col"), skeleton, height, width)
     start = snapped.select(F.col("id").alias("start_node"), "sr", "sc")
     end = snapped.select(F.col("id").alias("end_node"), F.col("sr").alias("er"), F.col("sc").alias("ec"))
-    traced = trace_paths(skeleton, edges.join(start, "start_node").join(end, "end_node"), on_missing)
-    return as_centerlines(traced)
-
-
-def as_centerlines(traced: DataFrame) -> DataFrame:
-    """Pixels (edge_id, pos, r, c) as arrays of (x, y) points."""
-    point = F.struct("pos", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
-    lists = traced.groupBy("edge_id").agg(F.sort_array(F.collect_list(point)).alias("p"))
-    return lists.select("edge_id", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    ways = traced_ways(skeleton, edges.select("edge_id", "start_node", "end_node").join(start, "start_node").join(end, "end_node"), on_missing)
+    return ways.select("edge_id", F.transform("way", lambda p: F.struct(p["c"].cast("double").alias("x"), p["r"].cast("double").alias("y"))).alias("points"))

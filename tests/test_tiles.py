@@ -73,3 +73,25 @@ def test_values_meet_in_tiles_as_runs(spark, monkeypatch):
         assert {(r.y, r.x): (r.oxygen, r.carbon_dioxide) for r in transport.boundary_concentration_maps(11, 18, own, known).collect()} == last
         got = {(r.y, r.x): (r.oxygen, r.carbon_dioxide) for r in transport.boundary_source_maps(11, 18, own, known).collect()}
         assert got.keys() == sums.keys() and all(a is None and b is None or abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], sums[k]))
+
+
+def test_paths_that_stay_near_are_walked_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TALL", 8)
+    monkeypatch.setattr(runs, "WIDE", 8)
+    rng = np.random.default_rng(3)
+    image = rng.random((30, 30)) < 0.45
+    pixels = [(int(r), int(c)) for r, c in zip(*np.nonzero(image))]
+    some = [pixels[k] for k in rng.integers(0, len(pixels), 120)]
+    ends = spark.createDataFrame([(k, *a, *b) for k, (a, b) in enumerate(zip(some[:60], some[60:]))] + [(60, *pixels[0], *pixels[0]), (61, -3, -3, -3, -3)], "edge_id int, sr int, sc int, er int, ec int")
+    bones = spark.createDataFrame(pixels, "r int, c int")
+    want = {}
+    for r in skeleton.trace_far(bones, ends, "drop").orderBy("edge_id", "pos").collect():
+        want.setdefault(r.edge_id, []).append((r.r, r.c))
+    settled = {r.edge_id: [tuple(p) for p in r.way] for r in skeleton.walked(bones, ends, halo=4).where("settled").collect()}
+    assert 0 < len(settled) < 62 and all(way == want.get(k, []) for k, way in settled.items()) and any(settled.values())
+    monkeypatch.setattr(skeleton.walked, "__defaults__", (4, 4096))
+    assert {r.edge_id: [tuple(p) for p in r.way] for r in skeleton.traced_ways(bones, ends, "drop").collect()} == want
+    plan = skeleton.walked(bones, ends)
+    assert exchanges(plan) == 1
+    with pytest.raises(ValueError):
+        skeleton.traced_ways(bones, ends).count()
