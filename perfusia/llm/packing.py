@@ -192,8 +192,9 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1 / 2048, text_batch: int = 1 << 22, cached: int = 800_000) -> DataFrame:
-    """Pieces of documents (doc_id, text) in columns PIECES. cached: parts of texts whose ids a worker keeps."""
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1 / 2048, text_batch: int = 1 << 22, cached: int = 800_000, keep_cache: bool = True) -> DataFrame:
+    """Pieces of documents (doc_id, text) in columns PIECES. cached: parts of texts whose ids a worker keeps; keep_cache: from task to task. A worker
+    waits with what it keeps while other stages run."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
                         yield flush()
         if ids:
             yield flush()
+        if not keep_cache:
+            coder.clear()
 
     return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PIECES)
 
