@@ -182,6 +182,16 @@ def test_near_copies_match_brute_force(spark, block, turns):
     assert similar.near_copies(frame.limit(0), ("k",)).count() == 0
 
 
+def test_near_copies_run_no_step_that_decides_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "links", lambda *a: pytest.fail("set prefixes find every pair that neighbouring fingerprints would"))
+    rng = random.Random(3)
+    base = words(rng, 80).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "edit"]), words(rng, 80)]
+    frame = docs(spark, enumerate(texts)).selectExpr("doc_id as k", "text")
+    named = {r.k: r.component for r in similar.near_copies(frame, ("k",)).collect()}
+    assert named[0] == named[1] != named[2]
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(1)
     rows, centre = [], rng.standard_normal((3, 16))
