@@ -46,7 +46,9 @@ def save_frames(found: Iterator[Frame], folder: str) -> None:
 
 
 def reconstruct_mask(bones: DataFrame, height: int, width: int) -> DataFrame:
-    """Union of disks of the local radius around skeleton pixels (r, c, radius)."""
+    """Union of disks of the local radius around skeleton pixels (r, c, radius). Pixels of a band of rows are drawn together, so that a shuffle moves
+    each once and then what their disks are together, not the rows of every disk."""
+    bones = scaling.banded(bones)
     point = F.array(F.struct(F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y")))
     segments = bones.select(F.monotonically_increasing_id().alias("segment_id"), point.alias("centerline"), F.array("radius").alias("radii"))
     return raster.vessel_mask(segments, height, width)
@@ -54,10 +56,12 @@ def reconstruct_mask(bones: DataFrame, height: int, width: int) -> DataFrame:
 
 def domain_from_structure(name: str, folder: str, mask: DataFrame, bones: DataFrame, distance: DataFrame, nodes: DataFrame, edges: DataFrame, source: tuple[int, int], shape: tuple[int, int]) -> dict[str, DataFrame]:
     """Scales extracted geometry, rebuilds the vessel mask at the grid's resolution, saves all parts and gives the cells, scaled nodes and edges."""
-    scaled = scaling.scale_skeleton(bones, distance, source, shape)
-    simulation_mask = raster.fit_mask(reconstruct_mask(scaled, *shape), *shape)
+    scratch = Scratch(mask.sparkSession, "domain")
+    placed = scratch.keep(scaling.banded(scaling.with_distance(bones, distance)))
+    scaled = scratch.keep(scaling.scaled_pixels(placed, source, shape))
+    simulation_mask = scratch.keep(raster.fit_mask(reconstruct_mask(scaled, *shape), *shape))
     parts = {
-        "raw_mask": mask, "skeleton": bones, "distance_map": distance, "reconstructed_mask": reconstruct_mask(bones.join(distance, ["r", "c"]), *source),
+        "raw_mask": mask, "skeleton": bones, "distance_map": distance, "reconstructed_mask": reconstruct_mask(placed, *source),
         "scaled_skeleton": scaled.select("r", "c"), "scaled_distance_map": scaled, "simulation_mask": simulation_mask, "nodes": nodes, "edges": edges,
         "scaled_nodes": scaling.scale_nodes(nodes, source, shape), "scaled_edges": scaling.scale_edges(edges, source, shape),
     }

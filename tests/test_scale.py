@@ -102,3 +102,20 @@ def test_components_are_solved_in_their_span_of_ids(spark, monkeypatch, per_span
     for g, w, key in zip(got, want, ("node_id", "segment_id")):
         g, w = ([tuple(r) for r in x.orderBy(key).collect()] for x in (g, w))
         assert len(g) == len(w) and np.allclose([x[1:] for x in g], [x[1:] for x in w], rtol=1e-9) and [x[0] for x in g] == [x[0] for x in w]
+
+
+def test_disks_that_stand_together_move_as_few_runs(spark):
+    """A line of pixels with a disk each: what is shuffled are the rows of their union, not those of every disk."""
+    from perfusia.operators import scaling
+    from perfusia.plans import simulate
+
+    h, w = 60, 90
+    bones = spark.createDataFrame([(r, c) for c in range(80) for r in (10, 40)], "r int, c int")
+    radius = bones.where("c < 70").withColumn("radius", 3.0 + bones.c % 2)
+    placed = scaling.banded(scaling.with_distance(bones.union(bones), radius.union(radius.where("c = 5")))).collect()
+    assert [(p.r, p.c, p.radius) for p in placed] == [(r, c, 3.0 + c % 2) for r in (10, 40) for c in range(70)]
+    segments = spark.createDataFrame([(i, [(float(p.c), float(p.r))], [p.radius]) for i, p in enumerate(placed)], "segment_id long, centerline array<struct<x:double,y:double>>, radii array<double>")
+    assert raster.vessel_runs(segments.coalesce(1), h, w).count() < 200  # 1,120 rows of disks
+    want = {(r + dy, c + dx) for r, c, q in placed for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx * dx <= q * q and 0 <= c + dx < w}
+    got = list(map(tuple, simulate.reconstruct_mask(spark.createDataFrame(placed), h, w).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
