@@ -119,3 +119,12 @@ def test_disks_that_stand_together_move_as_few_runs(spark):
     want = {(r + dy, c + dx) for r, c, q in placed for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx * dx <= q * q and 0 <= c + dx < w}
     got = list(map(tuple, simulate.reconstruct_mask(spark.createDataFrame(placed), h, w).collect()))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_coupled_run_keeps_its_vessels_as_runs(spark, monkeypatch):
+    from perfusia.plans import catalogue, simulate
+
+    given = []
+    monkeypatch.setattr(simulate, "vessel_coupling", lambda bones, nodes, edges, vessel, *shape: given.append(vessel) or {"sources": vessel})
+    catalogue.queries()["r15_coupled_run"](spark, "/root/testdata/sf0.001")
+    assert given[0].columns == ["y", "x0", "x1"]
