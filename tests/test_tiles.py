@@ -95,3 +95,41 @@ def test_paths_that_stay_near_are_walked_in_tiles(spark, monkeypatch):
     assert exchanges(plan) == 1
     with pytest.raises(ValueError):
         skeleton.traced_ways(bones, ends).count()
+
+
+def test_merged_pieces_amount_to_the_whole(monkeypatch):
+    """Links of two parts, each folded to a piece of several strips of packed conductances, and the pieces merged: as if eliminated at once."""
+    import numpy as np
+    import pandas as pd
+
+    from perfusia.operators import dissect
+
+    monkeypatch.setattr(dissect, "STRIP", 12)
+    rng = np.random.default_rng(2)
+    links = [(a, b, float(rng.random())) for k in (0, 10) for a in range(k, k + 16) for b in range(a + 1, k + 16) if not (k and b < 16)]
+    frame = lambda part, own: pd.DataFrame([(part, a, b, g, 0.0) for a, b, g in own] + [(part, 3 + 15 * part, None, 0.5, 4.0 + part)], columns=["part", "a", "b", "g", "right"])
+    parts = [frame(0, [x for x in links if x[1] < 16]), frame(1, [x for x in links if x[1] >= 16])]
+    first, second = np.arange(0, 8), np.arange(18, 24)
+    pieces = [dissect.Front.of_links(p, inner).piece() for p, inner in zip(parts, (first, second))]
+    assert all(len(p) > 2 and len(p) < 10 for p in pieces)  # strips, not a row for each pair
+    both = pd.concat(pieces).rename(columns={"part": "piece"}).assign(part=0)
+    merged = dissect.Front.of_pieces(both, np.arange(8, 14))
+    want = dissect.Front.of_links(pd.concat(parts).assign(part=0), np.r_[first, second, 8:14])
+    got, whole = (dissect.Front.of_pieces(x.piece().assign(piece=0), np.zeros(0, int)) for x in (merged, want))
+    assert got.inside.border.tolist() == [14, 15, 16, 17, 24, 25]
+    assert all(np.allclose(getattr(got, c), getattr(whole, c), rtol=1e-12) for c in ("between", "ground", "right"))
+
+
+def test_flow_reads_lengths_without_drawing_lines(spark):
+    """Resistances of a network from tables need no centerlines, but still fail where an end isn't a node."""
+    import pytest
+
+    from perfusia.operators import flow, network
+
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 30.0)], "node_id long, row double, col double")
+    edge = "edge_id long, start_node long, end_node long, length_px double, mean_radius double"
+    segments = network.network_from_tables(nodes, spark.createDataFrame([(5, 0, 1, 30.0, 2.0)], edge))[1]
+    found = flow.segment_resistances(segments)
+    assert "centerline" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
+    with pytest.raises(Exception, match="end doesn't exist"):
+        flow.segment_resistances(network.network_from_tables(nodes, spark.createDataFrame([(5, 0, 9, 30.0, 2.0)], edge))[1]).collect()
