@@ -111,7 +111,7 @@ def test_merged_pieces_amount_to_the_whole(monkeypatch):
     parts = [frame(0, [x for x in links if x[1] < 16]), frame(1, [x for x in links if x[1] >= 16])]
     first, second = np.arange(0, 8), np.arange(18, 24)
     pieces = [dissect.Front.of_links(p, inner).piece() for p, inner in zip(parts, (first, second))]
-    assert all(len(p) > 2 and len(p) < 10 for p in pieces)  # strips, not a row for each pair
+    assert [len(p) for p in pieces] == [8, 10]  # strips, not a row for each pair
     both = pd.concat(pieces).rename(columns={"part": "piece"}).assign(part=0)
     merged = dissect.Front.of_pieces(both, np.arange(8, 14))
     want = dissect.Front.of_links(pd.concat(parts).assign(part=0), np.r_[first, second, 8:14])
@@ -133,3 +133,19 @@ def test_flow_reads_lengths_without_drawing_lines(spark):
     assert "centerline" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
     with pytest.raises(Exception, match="end doesn't exist"):
         flow.segment_resistances(network.network_from_tables(nodes, spark.createDataFrame([(5, 0, 9, 30.0, 2.0)], edge))[1]).collect()
+
+
+def test_small_parts_share_a_group(spark, monkeypatch):
+    """A chain in parts of a few nodes: a group of rows is many parts."""
+    from perfusia.operators import dissect, flow
+    from perfusia.sources.scratch import Scratch
+
+    sizes, whole = [], dissect._together
+    monkeypatch.setattr(dissect, "_together", lambda rows, more, pieces: sizes.append((pieces, rows.select("part").distinct().count(), len(whole(rows, more, pieces).applyInPandas(lambda a, b: a[["part"]].head(1), "part long").collect()))) or whole(rows, more, pieces))
+    links = spark.range(599).selectExpr("id as a", "id + 1 as b", "1.0D as g")
+    ground = spark.createDataFrame([(0, 1.0, 601.0), (599, 1.0, 0.0)], "node long, g double, right double")
+    places = spark.range(600).selectExpr("id as node", "id as place")
+    found = flow.solve_large(links, ground, places, 8, Scratch(spark, "chain"))
+    assert sizes[0] == (False, 128, 4)
+    got = {r.node_id: r.pressure for r in found.collect()}
+    assert sorted(got) == list(range(600)) and all(abs(got[n] - (600 - n)) < 1e-7 for n in got)
