@@ -18,8 +18,9 @@ import heapq
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import public_tokenizers
@@ -46,14 +47,14 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        # byte-level merges see each byte as a visible character: itself, or one from 256 on in order
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in shown]
-        self.visible = {b: 256 + i for i, b in enumerate(hidden)}
+        tokens = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
+        # byte-level merges see a space as this character
+        self.spaced[[i for x, i in tokens.items() if x.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def parts(self, text: str) -> list[str]:
@@ -75,47 +76,65 @@ class CachedTokenizer:
         first, *rest = SEAM.split(text)
         return [SOUGHT + first, *(f"{SOUGHT} {x}" for x in rest)]
 
-    def ids_of(self, keys: list[str]) -> list[list[int]]:
-        """A word of letters goes to the merges at once; the rest is split first."""
-        tokenize, out, other = self.tokenizer.model.tokenize, [], []
-        for key in keys:
-            if key.isalpha():
-                out.append([t.id for t in tokenize("\u0120" + key.encode().decode("latin-1").translate(self.visible))])
-            else:
-                other.append(key[1:] if key[:1] in (BARE, SOUGHT) else " " + key)
-                out.append(None)
-        found = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
-        return [next(found).ids if x is None else x for x in out]
+    def ids_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys, one after another, and how many each has. Words of letters are encoded as one text, in which each starts at a token with a space in front."""
+        words = [i for i, key in enumerate(keys) if key.isalpha()]
+        others = [i for i, key in enumerate(keys) if not key.isalpha()]
+        asked = [" " + " ".join([keys[i] for i in words])] if words else []
+        asked += [keys[i][1:] if keys[i][:1] in (BARE, SOUGHT) else " " + keys[i] for i in others]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
+        starts = np.flatnonzero(self.spaced[found[0]]) if words else np.zeros(0, np.int64)
+        if len(starts) != len(words):
+            raise ArithmeticError(f"{len(words)} words were told apart as {len(starts)}")
+        lengths = np.zeros(len(keys), np.int64)
+        lengths[words] = np.diff(starts, append=len(found[0])) if words else 0
+        lengths[others] = list(map(len, found[len(asked) - len(others) :]))
+        # words and others stand in two runs; each key's ids are taken from where they are
+        order = np.array(words + others, np.int64)
+        first = np.zeros(len(keys), np.int64)
+        first[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(found)[_runs(first, lengths)], lengths
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        """The place of each key in starts and lengths, with those met first learned; the length of an unsafe one is -1."""
+        base = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        new = [*islice(reversed(self.index), len(self.index) - base)][::-1]
+        if new:
+            safe = np.fromiter((not self.unsafe(key) for key in new), bool, len(new))
+            lengths = np.full(len(new), -1, np.int64)
+            if safe.any():
+                ids, lengths[safe] = self.ids_of([*compress(new, safe)])
+                self.pool = np.concatenate([self.pool, ids])
+            taken = np.maximum(lengths, 0)
+            self.starts = np.concatenate([self.starts, len(self.pool) - taken.sum() + np.cumsum(taken) - taken])
+            self.lengths = np.concatenate([self.lengths, lengths])
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.most:
             self.clear()
         cut = [self.parts(t) for t in texts]
-        flat = [*chain.from_iterable(cut)]
-        places = list(map(self.index.get, flat))
-        missing = {x for x, i in zip(flat, places) if i is None}
-        if unsafe := {x for x in missing if self.unsafe(x)}:  # these are never kept, so they always show here
-            cut = [p if unsafe.isdisjoint(p) else self.sought(t) for t, p in zip(texts, cut)]
-            flat = [*chain.from_iterable(cut)]
-            missing = {x for x in flat if x not in self.index}
-        if missing:
-            ids = self.ids_of(keys := list(missing))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.index)
-            self.index.update(zip(keys, range(base, base + len(keys))))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
-        if missing or unsafe:
-            places = map(self.index.__getitem__, flat)
-        at = np.fromiter(places, np.int64, len(flat))
+        at = self.places([*chain.from_iterable(cut)])
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        unsafe = self.lengths[at] < 0
+        if unsafe.any():  # the texts that hold these are cut at seams instead
+            own = np.split(at, np.cumsum(counts)[:-1])
+            for i in np.unique(np.repeat(np.arange(len(cut)), counts)[unsafe]).tolist():
+                own[i] = self.places(self.sought(texts[i]))
+            counts, at = np.fromiter(map(len, own), np.int64, len(own)), np.concatenate(own)
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        tokens = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        tokens = self.pool[_runs(self.starts[at], lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each run, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 _TOKENIZERS: dict[tuple[str, int], CachedTokenizer] = {}
 
 

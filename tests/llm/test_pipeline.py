@@ -184,3 +184,24 @@ def test_chat_of_odd_rows(spark):
     turns = examples.where("conv_id = 1").orderBy("example").select(chat_format.parse(examples.text).alias("t")).collect()[-1].t
     assert [(t.role, t.text) for t in turns] == [("", ""), ("user", "a\\b <|im_end|> \\"), ("assistant", "<|im_start|>"), ("assistant", "<|im_start|>")]
     assert chat_format.expand(frame.limit(0)).count() == 0
+
+
+def test_words_are_encoded_as_one_text():
+    """Ids of parts of a text, told apart where a word starts; unsafe parts cost a search for seams in their own texts only."""
+    import numpy as np
+    import public_tokenizers
+
+    from perfusia.llm import packing
+
+    coder = packing.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    keys = ["word", "straße", "\x02bare", "漢字", "x1,", "ʰa", "Ⅷ", "it's"]
+    ids, lengths = coder.ids_of(keys)
+    want = [coder.tokenizer.encode(k[1:] if k[0] == "\x02" else " " + k, add_special_tokens=False).ids for k in keys]
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+    texts, asked = ["a  b c", "a b\tc. d", "", "\n\n x\n", "plain words only", "a\x02 b"], []
+    whole = coder.sought
+    coder.sought = lambda text: asked.append(text) or whole(text)
+    for _ in range(2):
+        got = coder.encode(texts)
+        assert all(np.array_equal(g, coder.tokenizer.encode(t, add_special_tokens=False).ids) for g, t in zip(got, texts))
+    assert "plain words only" not in asked
