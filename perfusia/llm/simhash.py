@@ -104,7 +104,8 @@ def links(distinct: DataFrame, scratch: Scratch, segments: int = 16, crowded: in
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (fp) within REACH bits."""
     cells = _cells(distinct, segments)
     many = cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-    met = scratch.keep(cells.join(many, "cell"))
+    # Spark sizes both by the fingerprints that they come from, at a sixteenth of what they are, and would broadcast them
+    met = scratch.keep(cells.join(many.hint("merge"), "cell"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +140,9 @@ def near_duplicates(documents: DataFrame, width: int = 3, segments: int = 16, cr
     prints = scratch.keep(fingerprints(documents, width, carry))
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     grouped = components(links(distinct.select("fp"), scratch, segments, crowded), scratch)
-    named = scratch.keep(distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    named = scratch.keep(distinct.join(grouped.hint("merge"), distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(names, "component").select("fp", "component", "component_id"), "fp").select("doc_id", *carry, "fp", "component", "component_id")
+    return prints.join(named.join(names.hint("merge"), "component").select("fp", "component", "component_id").hint("merge"), "fp").select("doc_id", *carry, "fp", "component", "component_id")
 
 
 def op7_simhash_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,15 @@ def test_simhash_matches_brute_force(spark, crowded):
     assert [found[i].component_id for i in range(len(texts))] == brute_components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
 
 
+def test_simhash_broadcasts_no_cells(spark, monkeypatch):
+    plans, keep = [], simhash.Scratch.keep
+    monkeypatch.setattr(simhash.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    rng = random.Random(6)
+    assert simhash.near_duplicates(docs(spark, enumerate(words(rng, 30) for _ in range(20)))).count() == 20
+    met = [p for p in plans if "members" in p and "cell" in p]
+    assert met and not any("BroadcastExchange" in p for p in met)
+
+
 def five_words(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
