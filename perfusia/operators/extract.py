@@ -8,8 +8,10 @@ five pixels around, so a tile with a border of five a layer comes out as in the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -47,60 +49,105 @@ def thin_layers(image: np.ndarray, y0: int, x0: int, layers: int) -> np.ndarray:
     return peeled(image, y0, x0, layers)[0]
 
 
-def peeled(image: np.ndarray, y0: int, x0: int, layers: int) -> tuple[np.ndarray, bool]:
-    """thin_layers, and whether the last layer took something, so that there may be more."""
+def peeled(image: np.ndarray, y0: int, x0: int, layers: int, inside: tuple[slice, slice] = (slice(None), slice(None))) -> tuple[np.ndarray, bool]:
+    """thin_layers, and whether the last layer took something inside, so that there may be more."""
     on = np.pad(image, 1)
-    h, w = image.shape
-    shifted = lambda dy, dx: on[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
-    kind = 2 * ((y0 + np.arange(h)[:, None]) % 2) + (x0 + np.arange(w)) % 2
+    h, w = on.shape
+    flat, steps = on.reshape(-1), [dy * w + dx for dy, dx in AROUND]
+    within = np.zeros_like(on)
+    within[1:-1, 1:-1][inside] = True
+    within, took = within.reshape(-1), False
     for _ in range(layers):
-        border = image_of(on) & ~(shifted(-1, 0) & shifted(1, 0) & shifted(0, -1) & shifted(0, 1))
-        before = on.sum()
+        at = np.flatnonzero(image_of(on) & ~(on[:-2, 1:-1] & on[2:, 1:-1] & on[1:-1, :-2] & on[1:-1, 2:]))
+        y, x = np.divmod(at, w - 2)
+        at, kind = (y + 1) * w + x + 1, 2 * ((y0 + y) % 2) + (x0 + x) % 2
+        gone = []
         for k in range(4):
-            code = sum(shifted(dy, dx).astype(np.uint8) << b for b, (dy, dx) in enumerate(AROUND))
-            on[1:-1, 1:-1] &= ~(border & (kind == k) & GOES[code])
-        if on.sum() == before:
-            return image_of(on), False
-    return image_of(on), True
+            own = at[kind == k]
+            code = np.zeros(len(own), np.uint8)
+            for b, step in enumerate(steps):
+                code |= flat[own + step].view(np.uint8) << np.uint8(b)
+            gone.append(own[GOES[code]])
+            flat[gone[-1]] = False
+        gone = np.concatenate(gone)
+        took = bool(within[gone].any())
+        if not len(gone):
+            break
+    return image_of(on), took
 
 
 def image_of(padded: np.ndarray) -> np.ndarray:
     return padded[1:-1, 1:-1].copy()
 
 
-def thinned(mask: DataFrame, tile: int = 256, layers: int = 8) -> DataFrame:
-    """The skeleton (r, c) of a mask (y, x), whose components and holes it keeps."""
+class _Layers:
+    """The mask of a tile and around it; what some layers leave of the tile comes as runs."""
+
+    def __init__(self, ty: int, tx: int, tall: int, wide: int, layers: int):
+        self.tall, self.wide, self.layers, self.halo = tall, wide, layers, REACH * layers
+        self.y0, self.x0 = ty * tall - self.halo, tx * wide - self.halo
+        self.ends = np.zeros((tall + 2 * self.halo, wide + 2 * self.halo + 1), np.int32)
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        y, x0, x1 = (c.to_numpy().astype(np.int64) for c in rows.columns[2:])
+        np.add.at(self.ends, (y - self.y0, np.maximum(x0 - self.x0, 0)), 1)
+        np.add.at(self.ends, (y - self.y0, np.minimum(x1 - self.x0 + 1, self.ends.shape[1] - 1)), -1)
+        return iter(())
+
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        # beyond what is set there is background
+        high, left = (np.flatnonzero(self.ends.any(axis)) for axis in (1, 0))
+        top, left = int(high[0]), int(left[0])
+        image = np.cumsum(self.ends[top : high[-1] + 1, left:-1], axis=1) > 0
+        mine = tuple(slice(max(self.halo - first, 0), max(self.halo + size - first, 0)) for first, size in ((top, self.tall), (left, self.wide)))
+        if not image[mine].any():
+            return
+        image, took = peeled(image, self.y0 + top, self.x0 + left, self.layers, mine)
+        y, x0, x1 = (v + o for v, o in zip(runs.of_image(image[mine]), (self.y0 + top + mine[0].start, *[self.x0 + left + mine[1].start] * 2)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in (y, x0, x1)), pa.array(np.full(len(y), took))], ["y", "x0", "x1", "more"])
+
+
+def thinned(mask: DataFrame, tile: int | None = None, layers: int = 8) -> DataFrame:
+    """The skeleton (r, c) of a mask (y, x), or of runs, whose components and holes it keeps."""
     scratch = Scratch(mask.sparkSession, "thinning")
-    halo = REACH * layers
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        y, x = own.r.to_numpy(np.int64), own.c.to_numpy(np.int64)
-        mine = lambda y, x: (y // tile == key[0]) & (x // tile == key[1])
-        if not mine(y, x).any():
-            return pd.DataFrame({"r": [], "c": [], "open": []})
-        y0, x0 = y.min(), x.min()  # around the tile's pixels there is background
-        image = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
-        image[y - y0, x - x0] = True
-        image, open_ = peeled(image, int(y0), int(x0), layers)
-        y, x = np.nonzero(image)
-        y, x = y + y0, x + x0
-        kept = mine(y, x)
-        return pd.DataFrame({"r": y[kept].astype("int32"), "c": x[kept].astype("int32"), "open": open_})
-
-    low = lambda c: F.floor((F.col(c) - halo) / tile)
-    high = lambda c: F.floor((F.col(c) + halo) / tile)
-    now = scratch.keep(mask.select(F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c")).distinct())
+    held = scratch.keep(runs.of_mask(mask).select(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]))
+    return runs.pixels(thinned_runs(held, tile, tile, layers)).withColumnsRenamed({"y": "r", "x": "c"})
+
+
+def thinned_runs(mask: DataFrame, tall: int | None = None, wide: int | None = None, layers: int = 8) -> DataFrame:
+    """The skeleton as runs (y, x0, x1) of a durable table of runs, which may overlap. A round is one shuffle of runs."""
+    scratch = Scratch(mask.sparkSession, "layers")
+    tall, wide, halo = tall or runs.TALL, wide or runs.WIDE, REACH * layers
+    box = mask.agg(*[f(c) for c, f in (("y", F.min), ("y", F.max), ("x0", F.min), ("x1", F.max))]).first()
+    if box[0] is None:
+        return mask.select("y", "x0", "x1")
+    # tiles beside the mask have a border of it only, which nobody needs
+    over = lambda a, b, size, low, high: F.explode(F.sequence(F.greatest(F.floor((F.col(a) - halo) / size), F.lit(low // size)), F.least(F.floor((F.col(b) + halo) / size), F.lit(high // size))))
+    now = mask
     while True:
-        near = now.select("r", "c", F.explode(F.sequence(low("r"), high("r"))).alias("ty")).select("r", "c", "ty", F.explode(F.sequence(low("c"), high("c"))).alias("tx"))
+        dealt = now.select(over("y", "y", tall, *box[:2]).alias("ty"), "y", "x0", "x1").select("ty", over("x0", "x1", wide, *box[2:]).alias("tx"), "y", "x0", "x1")
         seen = Observation()
-        peel = near.groupBy("ty", "tx").applyInPandas(run, "r int, c int, open boolean")
-        after = scratch.keep(peel.observe(seen, F.count_if("open").alias("n")).select("r", "c"))
-        scratch.drop(now)
+        peel = runs.streamed(dealt, lambda ty, tx: _Layers(ty, tx, tall, wide, layers), "y int, x0 int, x1 int, more boolean")
+        after = scratch.keep(peel.observe(seen, F.count_if("more").alias("n")).select("y", "x0", "x1"))
+        if now is not mask:
+            scratch.drop(now)
         now = after
         if not seen.get["n"]:  # in no tile did the last layer take anything
             return now
 
 
+def summary(mask: DataFrame, bones: DataFrame) -> DataFrame:
+    """One row of a skeleton and its mask, both runs: euler of the skeleton, its pixels that thinning would still take, and those outside the mask. One shuffle."""
+
+    def counts(y0: int, x0: int, thin: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
+        own = thin[1:-1, 1:-1]
+        return [np.array([n], np.int64) for n in (_corners(thin), (own & GOES[_code(thin)]).sum(), (own & ~whole[1:-1, 1:-1]).sum())]
+
+    found = runs.by_tiles([bones, mask], counts, "euler long, deletable long, outside long", 1)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return found.agg((total("euler") / 4).cast("long").alias("euler"), total("deletable").alias("deletable"), total("outside").alias("outside"))
+
+
 def distance_map(mask: DataFrame, height: int, width: int) -> DataFrame:
     """(r, c, radius): the distance of each pixel of a mask (y, x) to the nearest background pixel of the image; without any background there is no row."""
     m = mask.select("y", "x").distinct()
@@ -114,29 +161,33 @@ def distance_map(mask: DataFrame, height: int, width: int) -> DataFrame:
     return found.select(F.col("y").alias("r"), F.col("x").alias("c"), F.sqrt((dy * dy + dx * dx).cast("double")).alias("radius"))
 
 
+#: What a square of four pixels, by which are set, adds to four times components less holes.
+CORNERS = np.zeros(16, np.int64)
+CORNERS[[1, 2, 4, 8]], CORNERS[[7, 11, 13, 14]], CORNERS[[6, 9]] = 1, -1, -2
+
+
+def _corners(image: np.ndarray) -> int:
+    """The sum over squares whose first pixel lies inside an image with a border of one."""
+    n = image.astype(np.int8)
+    return int(CORNERS[n[1:-1, 1:-1] + 2 * n[1:-1, 2:] + 4 * n[2:, 1:-1] + 8 * n[2:, 2:]].sum())
+
+
+def _code(image: np.ndarray) -> np.ndarray:
+    """Which neighbours are set, for the cells inside an image with a border of one."""
+    h, w = (n - 2 for n in image.shape)
+    return sum(image[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w].astype(np.uint8) << b for b, (dy, dx) in enumerate(AROUND))
+
+
 def euler(mask: DataFrame) -> DataFrame:
     """One row (euler) of a mask (y, x) of eight neighbours a pixel: components less holes, from the squares of four
     pixels: a quarter of those that hold one, less those that hold three, less twice those that hold two across."""
-    weight = np.zeros(16, np.int64)
-    weight[[1, 2, 4, 8]], weight[[7, 11, 13, 14]], weight[[6, 9]] = 1, -1, -2
-
-    def squares(y0: int, x0: int, image: np.ndarray) -> list[np.ndarray]:
-        n = image.astype(np.int8)
-        own = n[1:-1, 1:-1] + 2 * n[1:-1, 2:] + 4 * n[2:, 1:-1] + 8 * n[2:, 2:]
-        return [weight[own].sum(keepdims=True).ravel()]
-
-    found = runs.by_tiles([runs.of_mask(mask)], squares, "weight long", 1)
+    found = runs.by_tiles([runs.of_mask(mask)], lambda y0, x0, image: [np.array([_corners(image)], np.int64)], "weight long", 1)
     return found.agg((F.coalesce(F.sum("weight"), F.lit(0)) / 4).cast("long").alias("euler"))
 
 
 def deletable(bones: DataFrame) -> DataFrame:
     """Pixels (r, c) that thinning would still take: none of a skeleton."""
-
-    def goes(image: np.ndarray) -> np.ndarray:
-        h, w = (n - 2 for n in image.shape)
-        code = sum(image[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w].astype(np.uint8) << b for b, (dy, dx) in enumerate(AROUND))
-        return image_of(image) & GOES[code]
-
+    goes = lambda image: image_of(image) & GOES[_code(image)]
     return runs.painted([runs.of_mask(bones.select(F.col("r").alias("y"), F.col("c").alias("x")))], goes, 1).withColumnsRenamed({"y": "r", "x": "c"})
 
 

@@ -83,6 +83,22 @@ def test_thinning_ends_with_the_round_that_settles_all(spark, monkeypatch):
     assert extract.deletable(bones).count() == 0 and extract.euler(bones.toDF("y", "x")).first()[0] == 1
 
 
+def test_thinning_keeps_runs(spark, monkeypatch):
+    from perfusia.sources.scratch import Scratch
+
+    rows, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: rows.append((kept := keep(self, df)).count()) or kept)
+    image = np.zeros((9, 3000), bool)
+    image[:7], image[3, 1000:1010] = True, False
+    mask = spark.createDataFrame([(y, a, b) for y in range(7) for a, b in ((0, 1500), (1400, 2999)) if y != 3] + [(3, 0, 999), (3, 1010, 2999)], "y int, x0 int, x1 int")
+    bones = extract.thinned(mask, 512, 2)
+    assert {tuple(r) for r in bones.collect()} == {tuple(p) for p in np.argwhere(extract.thin_layers(image, 0, 0, 100)).tolist()}
+    assert max(rows) < 1500  # of 20,990 pixels
+    kept = extract.thinned_runs(keep(Scratch(spark, "mask"), mask))
+    assert extract.summary(mask, kept).first() == (0, 0, 0)
+    assert extract.summary(mask.where("y < 3"), mask).first().outside == 4 * 3000 - 10
+
+
 @pytest.mark.parametrize("per_span, most", [(16, 1 << 19), (16, 40), (1 << 16, 1 << 19)])
 def test_components_are_solved_in_their_span_of_ids(spark, monkeypatch, per_span, most):
     """Chains within spans and across, one too large, one without a fixed node, fixed nodes without links; labels that are given take the other way."""
