@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from perfusia.operators import runs
@@ -84,41 +84,46 @@ def row_pass(g: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 class _Owners:
-    """The targets of a tile and the points in it and around, the first in order of segment and pos where several lie."""
+    """The targets of a tile and the points in it and around, of several the least segment; what the targets are nearest to comes as runs."""
 
     def __init__(self, ty: int, tx: int, tall: int, wide: int, reach: int, halo: int, made: Callable[[np.ndarray], np.ndarray]):
         self.y0, self.x0, self.tall, self.wide, self.reach, self.halo, self.made = ty * tall, tx * wide, tall, wide, reach, halo, made
         self.ends = np.zeros((tall + 2 * halo, wide + 2 * halo + 1), np.int32)
         self.segment = np.zeros((tall + 2 * reach, wide + 2 * reach), np.int64)
-        self.pos = np.full(self.segment.shape, -1, np.int64)
+        self.held = np.zeros(self.segment.shape, bool)
 
     def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kind, y, x0, x1, segment, pos = (c.to_numpy().astype(np.int64) for c in rows.columns[2:])
+        kind, y, x0, x1, segment = (c.to_numpy().astype(np.int64) for c in rows.columns[2:])
         y, x0, x1 = y - self.y0, x0 - self.x0, x1 - self.x0
         runs_, points = kind == 0, np.flatnonzero(kind)
         row = y[runs_] + self.halo
         np.add.at(self.ends, (row, np.maximum(x0[runs_] + self.halo, 0)), 1)
         np.add.at(self.ends, (row, np.minimum(x1[runs_] + self.halo + 1, self.ends.shape[1] - 1)), -1)
-        points = points[np.lexsort((pos[points], segment[points], x0[points], y[points]))]
-        first = np.append(True, (y[points][1:] != y[points][:-1]) | (x0[points][1:] != x0[points][:-1]))[: len(points)]
-        points = points[first]
-        at = y[points] + self.reach, x0[points] + self.reach
-        held, own = self.pos[at], self.segment[at]
-        less = (held < 0) | (segment[points] < own) | ((segment[points] == own) & (pos[points] < held))
-        at = at[0][less], at[1][less]
-        self.segment[at], self.pos[at] = segment[points][less], pos[points][less]
+        first, last = np.maximum(x0[points], -self.reach), np.minimum(x1[points], self.wide + self.reach - 1)
+        n = last - first + 1
+        of = np.repeat(np.arange(len(n)), n)
+        place = (y[points] + self.reach)[of] * self.segment.shape[1] + (first + self.reach - (np.cumsum(n) - n))[of] + np.arange(len(of))
+        own = segment[points][of]
+        order = np.lexsort((own, place))
+        order = order[np.append(True, place[order][1:] != place[order][:-1])[: len(order)]]
+        place, own = place[order], own[order]
+        held, least = self.held.reshape(-1), self.segment.reshape(-1)
+        least[place] = np.where(held[place], np.minimum(least[place], own), own)
+        held[place] = True
         return iter(())
 
     def finished(self) -> Iterator[pa.RecordBatch]:
         held = np.flatnonzero(self.ends.any(1))
-        rows = slice(max(held[0] - 2 * self.halo, 0), min(held[-1] + 2 * self.halo + 1, len(self.ends))) if len(held) else slice(0, 0)
-        y, x = np.nonzero(self.made(np.cumsum(self.ends[rows, :-1], axis=1) > 0)) if len(held) else (np.zeros(0, np.int64),) * 2
+        if not len(held):
+            return
+        rows = slice(max(held[0] - 2 * self.halo, 0), min(held[-1] + 2 * self.halo + 1, len(self.ends)))
+        y, x = np.nonzero(self.made(np.cumsum(self.ends[rows, :-1], axis=1) > 0))
         y = y + rows.start
-        py, px = np.nonzero(self.pos >= 0)
-        order = np.lexsort((self.pos[py, px], self.segment[py, px]))
-        none = np.int32(len(order))
-        rank = np.full(self.pos.shape, none, np.int32)
-        rank[py[order], px[order]] = np.arange(len(order), dtype=np.int32)
+        places = np.flatnonzero(self.held)
+        named, rank_of = np.unique(self.segment.reshape(-1)[places], return_inverse=True)
+        none = np.int32(len(named))
+        rank = np.full(self.segment.shape, none, np.int32)
+        rank.reshape(-1)[places] = rank_of
         best, left = np.full(len(y), none, np.int32), np.arange(len(y))
         for ring in _rings(self.reach):
             if not len(left):
@@ -128,8 +133,10 @@ class _Owners:
                 np.minimum(found, rank[y[left] + self.reach + dy, x[left] + self.reach + dx], out=found)
             best[left] = found
             left = left[found == none]
-        segments = np.append(self.segment[py[order], px[order]], 0)[best]
-        yield pa.RecordBatch.from_arrays([pa.array((y + self.y0).astype(np.int32)), pa.array((x + self.x0).astype(np.int32)), pa.array(segments, mask=best == none)], ["y", "x", "segment_id"])
+        first = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1) | (best[1:] != best[:-1]))[: len(y)])
+        last = np.append(first[1:], len(y))[: len(first)] - 1
+        segments = pa.array(np.append(named, 0)[best[first]], mask=best[first] == none)
+        yield pa.RecordBatch.from_arrays([*(pa.array((v + o).astype(np.int32)) for v, o in ((y[first], self.y0), (x[first], self.x0), (x[last], self.x0))), segments], ["y", "x0", "x1", "segment_id"])
 
 
 def _rings(reach: int) -> list[list[tuple[int, int]]]:
@@ -143,34 +150,48 @@ def _rings(reach: int) -> list[list[tuple[int, int]]]:
 
 
 def nearest_around(targets: DataFrame, points: DataFrame, reach: int = REACH, made: Callable[[np.ndarray], np.ndarray] = lambda m: m, halo: int = 0) -> DataFrame:
-    """(y, x, segment_id) of nearest_points, segment_id null where no point lies within `reach`. The targets are the cells for which `made` is true, given an
-    image of the runs (y, x0, x1) `targets` with a border of `halo` cells more. One shuffle of runs and points, a task holds one tile."""
+    """(y, x, segment_id) of nearest_points, segment_id null where no point lies within `reach`; see runs_around."""
+    return runs.pixels(runs_around(targets, points, reach, made, halo), ("y", "segment_id")).select("y", "x", "segment_id")
+
+
+def runs_around(targets: DataFrame, points: DataFrame, reach: int = REACH, made: Callable[[np.ndarray], np.ndarray] = lambda m: m, halo: int = 0, first: int | None = None) -> DataFrame:
+    """Runs (y, x0, x1, segment_id) of target pixels with their nearest segment, null where none lies within `reach`. The targets are the cells for which `made` is true, given an
+    image of the runs (y, x0, x1) `targets` with a border of `halo` cells more. Points are pixels (y, x, segment_id) or runs (y, x0, x1, segment_id). One shuffle of runs, a task holds one tile.
+    Given `first`, before which no point lies, tiles before it get none."""
     tall, wide = runs.TALL // 4, runs.WIDE
-    none = F.lit(0).cast("long")
-    asked = targets.select(F.lit(0).alias("kind"), "y", "x0", "x1", none.alias("segment_id"), none.alias("pos"), F.lit(halo).alias("halo"))
-    held = points.select(F.lit(1), "y", "x", "x", F.col("segment_id").cast("long"), F.col("pos").cast("long"), F.lit(reach))
-    rows = asked.union(held)
-    over = lambda low, high, size: runs.tiles_of(F.col(low), F.col(high), size, F.col("halo"))
-    dealt = rows.select(over("y", "y", tall).alias("ty"), "*").select("ty", over("x0", "x1", wide).alias("tx"), "kind", "y", "x0", "x1", "segment_id", "pos")
-    return runs.streamed(dealt, lambda ty, tx: _Owners(ty, tx, tall, wide, reach, halo, made), "y int, x int, segment_id long")
+    own = runs.of_mask(points.select("y", *(["x0", "x1"] if "x0" in points.columns else ["x"]), "segment_id"), ("segment_id",))
+
+    def dealt(rows: DataFrame, kind: int, segment: Column, border: int, first: int | None) -> DataFrame:
+        over = lambda low, high, size: runs.tiles_of(F.col(low), F.col(high), size, border, first)
+        there = rows.select(over("y", "y", tall).alias("ty"), "*").select("ty", over("x0", "x1", wide).alias("tx"), "*")
+        return there.select("ty", "tx", F.lit(kind).alias("kind"), "y", "x0", "x1", segment.cast("long").alias("segment_id"))
+
+    rows = dealt(targets, 0, F.lit(0), halo, None).union(dealt(own, 1, F.col("segment_id"), reach, first))
+    return runs.streamed(rows, lambda ty, tx: _Owners(ty, tx, tall, wide, reach, halo, made), "y int, x0 int, x1 int, segment_id long")
 
 
 def nearest_points(targets: DataFrame, points: DataFrame, tall: int | None = None, made: Callable[[np.ndarray], np.ndarray] | None = None, halo: int = 0) -> DataFrame:
-    """(y, x, segment_id): for each target pixel the segment of the nearest point (y, x, segment_id, pos), of equals the first in order of segment_id and pos.
+    """(y, x, segment_id): for each target pixel the segment of the nearest point (y, x, segment_id, ..), of equals the least segment_id.
 
-    Targets are pixels, or what `made` makes of the image of runs (see nearest_around). What finds a point near it finds it in its tile; the rest, or all where
+    Targets are pixels, or what `made` makes of the image of runs (see runs_around). What finds a point near it finds it in its tile; the rest, or all where
     `tall` is given, goes through the distance transform.
     """
     if tall is not None:
         return far_points(targets, points, tall)
-    asked = runs.of_mask(targets)
-    seen = Observation()
-    found = nearest_around(asked, points, REACH, *((made, halo) if made else ()))
-    found = Scratch(targets.sparkSession, "around").keep(found.observe(seen, F.count_if(F.col("segment_id").isNull()).alias("far")))
+    return runs.pixels(nearest_runs(targets, points, made, halo), ("y", "segment_id")).select("y", "x", "segment_id")
+
+
+def nearest_runs(targets: DataFrame, points: DataFrame, made: Callable[[np.ndarray], np.ndarray] | None = None, halo: int = 0, first: int | None = None) -> DataFrame:
+    """nearest_points as a durable table of runs (y, x0, x1, segment_id) that don't overlap; the points may be runs too. `first` is that of runs_around."""
+    seen, scratch = Observation(), Scratch(targets.sparkSession, "around")
+    found = runs_around(runs.of_mask(targets), points, REACH, *((made, halo) if made else (lambda m: m, 0)), first)
+    found = scratch.keep(found.observe(seen, F.count_if(F.col("segment_id").isNull()).alias("far")))
     if not seen.get["far"]:
         return found
-    far = found.where("segment_id is null").select("y", "x")
-    return found.where("segment_id is not null").union(far_points(far, points).select("y", "x", "segment_id"))
+    far = runs.pixels(found.where("segment_id is null"))
+    spots = points if "x0" not in points.columns else runs.pixels(points, ("y", "segment_id"))
+    spots = spots if "pos" in spots.columns else spots.withColumn("pos", F.lit(0))
+    return scratch.keep(found.where("segment_id is not null").union(far_points(far, spots).select("y", F.col("x").alias("x0"), F.col("x").alias("x1"), "segment_id")))
 
 
 def far_points(targets: DataFrame, points: DataFrame, tall: int | None = None) -> DataFrame:

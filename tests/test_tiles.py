@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from perfusia.operators import nearest, runs, skeleton, transport
+from perfusia.operators import nearest, raster, runs, skeleton, transport
 
 
 def exchanges(df) -> int:
@@ -40,6 +40,21 @@ def test_owners_are_found_in_tiles_and_far_ones_after(spark, monkeypatch):
     assert exchanges(nearest.nearest_around(runs.of_mask(asked), held, 3)) == 1
 
 
+def test_owners_of_a_boundary_are_kept_as_runs(spark, monkeypatch):
+    from perfusia.sources.scratch import Scratch
+
+    rows, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: rows.append((kept := keep(self, df)).count()) or kept)
+    line = lambda y, a, b: [(float(x), float(y)) for x in range(a, b)]
+    segments = spark.createDataFrame([(7, line(9, 0, 700), [2.0]), (3, line(9, 699, 1300), [2.0]), (5, line(12, 100, 200), [0.0])], "segment_id long, centerline array<struct<x:double,y:double>>, radii array<double>")
+    shape = (30, 1400)
+    vessel = raster.vessel_runs(segments, *shape)
+    found = {(r.y, r.x): r.segment_id for r in raster.reconstructed_boundary_pixel_map(segments, vessel, *shape).collect()}
+    assert len(rows) == 1 and rows[0] < 60 < 2500 < len(found)
+    want = nearest.nearest_points(raster.boundary_mask(vessel), raster.centerline_spots(segments, *shape), tall=8)
+    assert found == {(r.y, r.x): r.segment_id for r in want.collect()}
+
+
 @pytest.mark.parametrize("stretch", [(1.0, 1.0), (1e4, 1.0), (0.0, 1.0)])
 def test_places_by_a_tree_of_a_task(stretch):
     rng = np.random.default_rng(9)
