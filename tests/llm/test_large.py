@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -191,6 +192,25 @@ def test_near_copies_match_brute_force(spark, block, turns):
     assert similar.near_copies(frame.limit(0), ("k",)).count() == 0
 
 
+def test_near_copies_gather_no_lists(spark, monkeypatch):
+    plans, keep = [], similar.Scratch.keep
+    monkeypatch.setattr(similar.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    rng = random.Random(16)
+    base = [words(rng, 60).split() for _ in range(4)]
+    texts = [" ".join(["edit" if at == 9 * k else w for at, w in enumerate(b)]) for b in base for k in range(4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert similar.near_copies(rows, ("id",), block=2).select("component").distinct().count() == 4
+    assert plans and not any("collect_list" in p for p in plans)
+
+
+def test_whole_groups_cross_batches():
+    keys, nodes = [1, 1, 1, 2, 3, 3, 3, 3, 4, 4], list(range(10))
+    made = lambda part: pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(nodes[part]), pa.array([bytes([k]) for k in nodes[part]])], ["key", "node", "sketch"])
+    for size in (1, 2, 3, 4, 10):
+        got = [[(c[1][p:q].tolist(), s[p:q]) for p, q in bounds] for c, s, bounds in similar._whole_groups((made(slice(k, k + size)) for k in range(0, 10, size)), 1)]
+        assert [n for g in got for n, _ in g] == [[0, 1, 2], [3], [4, 5, 6, 7], [8, 9]] and all(s == [bytes([k]) for k in n] for g in got for n, s in g)
+
+
 def test_near_copies_run_no_step_that_decides_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *a: pytest.fail("set prefixes find every pair that neighbouring fingerprints would"))
     rng = random.Random(3)
